@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, quality
+from . import lines, minhash, quality
 from .common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_quality_rules, quality_statistics, op8_line_dedup)}
+    return {f.__name__: f for f in (op6_quality_rules, quality_statistics, op8_line_dedup, op5_near_dedup)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -80,5 +84,24 @@ FROM kept
 """
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) END) AS s FROM base
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (na + nb - c)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM sets JOIN least ON doc_id = a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"quality_statistics": QUALITY_SQL, "op8_line_dedup": LINES_SQL}
+    return {"quality_statistics": QUALITY_SQL, "op8_line_dedup": LINES_SQL, "op5_near_dedup": NEAR_SQL}
