@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, quality
+from . import lines, minhash, mixing, neighbours, packing, passages, quality, secrets, toxicity, warc
 from .common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,45 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op2"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), Workspace(spark, "op3"))
+    return warc.read(archives)
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), Workspace(spark, "op7"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "op9"), tokenizer_path())
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.copies(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
+    return mix.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_quality_rules, quality_statistics, op8_line_dedup, op5_near_dedup)}
+    all_of = (op1_secrets, op2_toxicity, op3_warc, op4_repeated_passages, op5_near_dedup, op6_quality_rules, quality_statistics, op7_nearest, op8_line_dedup, op9_packing, op10_mixing)
+    return {f.__name__: f for f in all_of}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
