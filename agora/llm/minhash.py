@@ -198,6 +198,13 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` without those that a smaller doc_id of their component stands for, all columns as they are."""
-    gone = ws.keep(near_duplicates(docs, ws).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    """``docs`` without those that a smaller doc_id of their component stands for, all columns as they are.
+
+    Of rows with equal ids one stays; rows with a null id, which are linked with nothing, all stay.
+    """
+    gone = ws.keep(near_duplicates(docs, ws).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    repeated = ws.keep(docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
