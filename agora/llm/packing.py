@@ -8,6 +8,7 @@ pieces, ranks them within their lengths and looks each one's place up in the pla
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ LIMIT, END = 2048, 0
 #: Plans of up to so many rows are broadcast; longer ones (other limits) are joined.
 PLAN_ROWS = 200_000
 
-_CACHE_WORDS, _CACHE_CHARS = 400_000, 40
+_CACHE_WORDS, _CACHE_CHARS = 600_000, 40
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -44,6 +45,23 @@ class Encoder:
         self.mark = special[0] if special and by_word else None
         self.between = f" {self.tokenizer.id_to_token(self.mark)} " if self.mark is not None else None
 
+        self.plain = self._of_letters(path) if by_word else None
+
+    def _of_letters(self, path: str):
+        """The same model behind a plain splitter, right for words of small letters, whose last tokens the vocabulary marks."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        ends = self.tokenizer.model.end_of_word_suffix if hasattr(self.tokenizer.model, "end_of_word_suffix") else None
+        if not ends:
+            return None
+        other = Tokenizer.from_file(path)
+        other.normalizer = normalizers.NFC()
+        other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = other.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(ends)]] = True
+        return other
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -55,35 +73,61 @@ class Encoder:
             part = plain[a : a + 20_000]
             ids = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
             cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:
-                found.update((w, self._whole(w)) for w in part)
-                continue
-            raw, ends = ids.tobytes(), [*(cut * 4).tolist(), len(ids) * 4]
-            start = 0
-            for w, end in zip(part, ends, strict=True):
-                found[w] = raw[start:end]
-                start = end + 4
+            found.update(zip(part, _split(ids, cut, cut + 1), strict=True) if len(cut) == len(part) - 1 else ((w, self._whole(w)) for w in part))
         return found
 
+    def _learn_small(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words in small letters, with marks of the end of a sentence or not: letters and marks are apart for the vocabulary."""
+        letters, others, found = {}, [], {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and self.plain is not None:
+                letters[w] = core
+            else:
+                others.append(w)
+        new = list({c for c in letters.values() if c not in self.known})
+        fresh = {}
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.last[ids])[:-1] + 1
+            fresh.update(zip(part, _split(ids, cut, cut), strict=True) if len(cut) == len(part) - 1 else ((w, self._whole(w)) for w in part))
+        tails = {w[len(c) :] for w, c in letters.items()}
+        tails = {t: self.known[t] if t in self.known else self._whole(t) for t in tails}
+        for w, c in letters.items():
+            found[w] = (fresh[c] if c in fresh else self.known[c]) + tails[w[len(c) :]]
+        return found | fresh | self._learn(others) if others else found | fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.mark is None:
             return [self._whole(t) for t in texts]
-        split = [_words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        fresh = self._learn(list(new))
+        split, ids, new = [], [], [set(), set()]
+        get = self.known.get
+        for t in texts:
+            small = _NOT_LATIN.search(t) is None
+            words = _words(t.lower() if small else t)
+            have = list(map(get, words))
+            if None in have:
+                new[small].update(w for w, v in zip(words, have, strict=True) if v is None)
+            split.append(words)
+            ids.append(have)
+        fresh = (self._learn(list(new[0])) if new[0] else {}) | (self._learn_small(list(new[1])) if new[1] else {})
+        out = [b"".join(have if None not in have else [fresh[w] if v is None else v for w, v in zip(words, have, strict=True)]) for words, have in zip(split, ids, strict=True)]
         if len(self.known) + len(fresh) > _CACHE_WORDS:
-            keep = {w for s in split for w in s} & self.known.keys()
-            self.known = {w: self.known[w] for w in keep}
-        long = {w: v for w, v in fresh.items() if len(w) > _CACHE_CHARS}
-        self.known.update((w, v) for w, v in fresh.items() if w not in long)
-        if long:
-            get = lambda w: long[w] if w in long else self.known[w]
-        else:
-            get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            self.known = {}
+        self.known.update((w, v) for w, v in fresh.items() if len(w) <= _CACHE_CHARS)
+        return out
+
+
+def _split(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *(starts * 4).tolist()], [*(ends * 4).tolist(), len(raw)], strict=True)]
 
 
+#: Beyond these letters, lower case is left to the tokenizer.
+_NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_MARKS = ".,!?;:"
 _SPACES = str.maketrans("\t\n\r", "   ")
 
 
