@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,11 @@ class Workspace:
         for frame in frames:
             self.remove(frame._agora_path)
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of plans that are done: it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def remove(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -165,8 +165,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     pairs = members.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = ws.keep(pairs, "pairs")
     involved = ws.keep(members.select("doc_id").distinct(), "involved")
+    ws.sweep()
     texts = ws.keep(docs.join(involved, "doc_id", "left_semi"), "texts")
+    ws.sweep()
     tested = ws.keep(confirm(pairs, texts), "tested")
+    ws.sweep()
     links = tested.filter("linked").select("a", "b")
     labels = ws.keep(components(links, ws), "labels")
     for turn in range(STAR_ROUNDS + 1):
