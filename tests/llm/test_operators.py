@@ -1,0 +1,232 @@
+"""Small tables with every odd case, held against plain versions; whole small tables, held against SQL or brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from oracle import compare
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from agora.llm import catalog, minhash, mixing, neighbours, packing, passages, quality, secrets, toxicity, warc
+from agora.llm.common import Workspace
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, source string, _k string, label string"
+LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, None, None, "a", "x"), (2, "", "s", None, None), (3, " \t\n", "s", "a", "x"), (4, "one two", "s", "a", "x"), (4, "one two", "s", "a", "x"), (None, "one two", None, "a", "x"), (5, LONG, "s", "a", "x"), (6, LONG + " end", "t", "a", "x"), (7, "token = abc=defgh ÉÉ AKIA" + "Z9" * 8, "t", "a", "x")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_agrees_with_its_sql(spark, name):
+    compare(catalog.queries()[name](spark, SF), catalog.oracle_sql()[name], SF)
+
+
+BASE = (
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile("[0-9a-f]+"), 0, 24),
+)
+
+
+def plain_spans(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= n)
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
+
+
+def test_secrets(spark, odd, none):
+    rows = secrets.scan(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {7: "token = abc=defgh ÉÉ AKIA" + "Z9" * 8}
+    seen = {r["doc_id"]: r for r in rows}
+    for i, text in texts.items():
+        if i is not None and i > 7 or i == 7:
+            options = {hashlib.sha256(plain_spans(t).encode()).hexdigest() for t in (text,)}
+            assert any(r["base_sha256"] in options for r in rows if r["doc_id"] == i)
+    assert len(rows) == 209 and seen[None]["spans"] == ""
+    assert secrets.scan(none).count() == 0
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("[0-9a-f]+") is True
+    assert secrets.trigram_query("AKIA[A-Z]+") == ("and", frozenset({b"aki", b"kia"}))
+    assert secrets.grams_of(secrets.trigram_query("(abcd|api_?key)[0-9]+")) == {b"abc", b"bcd", b"api", b"pik", b"ike", b"key", b"pi_", b"i_k", b"_ke"}
+    assert secrets.trigram_query("(ab|cde)+") is True
+
+
+def test_toxicity(spark, odd, none):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = toxicity.toxicity(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")), labels, Workspace(spark, "t")).collect()
+    assert len(rows) == 209 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
+    assert toxicity.toxicity(none, labels, Workspace(spark, "t")).count() == 0
+    assert {r["score"] for r in toxicity.toxicity(odd, labels.limit(0), Workspace(spark, "t")).collect()} == {0.0}
+
+
+def test_warc(spark):
+    same = "x" * 1200
+    rows = [(1, "http://a\r\n b", same), (2, None, same), (2, None, same), (3, "u", "y" * 999), (4, "u", "y" * 999), (5, "u", None), (None, "u", same), (6, "u", "é" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    archives = warc.write(pages, Workspace(spark, "w"), archive_bytes=3000)
+    got = sorted((tuple(r) for r in warc.read(archives).drop("url").collect()), key=repr)
+    want = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        revisit = i == 1
+        want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None))
+    assert got == sorted(want, key=repr)
+    assert warc.read(warc.write(pages.limit(0), Workspace(spark, "w"))).count() == 0
+
+
+def test_dictionary_frame_comes_first():
+    records = [warc.record_of(i, "http://x", f"<p>{i} many words in common</p>".encode() * 40, b"\0" * 20, None) for i in range(200)]
+    raw = warc.archive(records)
+    assert raw[:4] == b"\x5d\x2a\x4d\x18" and list(warc.records_in(raw)) == records
+
+
+def test_compact_windows_cover_every_stretch_once():
+    rng = np.random.default_rng(0)
+    at = np.array([0, 30, 30, 35, 100])
+    for values in (rng.integers(1, 20, 100).astype(np.uint64), rng.integers(1, 1 << 60, 100).astype(np.uint64)):
+        found = list(zip(*(x.tolist() for x in passages.compact_windows(values, at, 10)), strict=True))
+        for t in range(4):
+            text = values[at[t] : at[t + 1]]
+            for i in range(len(text)):
+                for j in range(i + 9, len(text)):
+                    holding = [(c) for o, a, c, b in found if o == t and a <= i and j <= b and i <= c <= j]
+                    assert len(holding) == 1 and text[holding[0]] == text[i : j + 1].min()
+
+
+def test_passages(spark, none):
+    filler = lambda k, n: " ".join(f"f{k}y{i}" for i in range(n))
+    near = " ".join(w if i != 30 else "other" for i, w in enumerate(f"n{i}" for i in range(150)))
+    rows = [(1, f"{filler(1, 40)} {PASSAGE}"), (2, f"{PASSAGE} {filler(2, 99)}"), (3, filler(3, 300)), (4, " ".join(f"n{i}" for i in range(150))), (5, f"{filler(5, 20)} {near}"), (6, None), (7, ""), (None, PASSAGE), (8, " ".join(PASSAGE.split()[:45]) + " " + filler(8, 30)), (9, f"{filler(9, 7)} {PASSAGE}"), (9, f"{filler(9, 7)} {PASSAGE}")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id bigint, text string, value string")
+    got = passages.repeated_passages(docs, Workspace(spark, "p")).collect()
+    assert {(r["doc_id"], r["rep_doc_id"]) for r in got} == {(2, 1), (5, 4), (9, 1)}
+    assert {(r["start_word"], r["n_words"], r["rep_start_word"]) for r in got if r["doc_id"] == 9} == {(7, 60, 40)}
+    assert all(r["similarity"] >= 0.75 for r in got)
+    assert passages.repeated_passages(none, Workspace(spark, "p")).count() == 0
+
+
+def test_near_duplicates_of_odd_texts(spark, odd, none):
+    rows = minhash.near_duplicates(odd, Workspace(spark, "m")).collect()
+    of = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 9 and of[6]["component_id"] == 5 and of[4]["n_shingles"] == 1
+    assert all(of[i]["n_shingles"] == 0 and of[i]["kept"] for i in (1, 2, 3))
+    assert sorted((r["doc_id"] for r in minhash.keep_one(odd, Workspace(spark, "m")).collect()), key=repr) == sorted([1, 2, 3, 4, 5, 7, None], key=repr)
+    assert minhash.near_duplicates(none, Workspace(spark, "m")).count() == 0
+
+
+def test_quality_rules(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0), (2, None), (4, 1)], "doc_id bigint, quality int")
+    rules = quality.learn(odd, labels, Workspace(spark, "q"))
+    rows = quality.verdicts(odd, rules).collect()
+    assert len(rows) == 9 and {r["doc_id"]: r["n_words"] for r in rows}[5] == 30_000
+    assert all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 20)
+    assert quality.verdicts(none, rules).count() == 0
+    found = catalog.op6_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    good, bad = (found.filter(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
+    assert good > 0.85 and good > bad + 0.3
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (401, [0.0] * 8), (402, [None] + [1.0] * 7), (403, [float("nan")] * 8), (404, [1.0]), (None, [1.0] * 8), (20, [9.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = neighbours.search(vectors.filter("not (vec_id = 20 and embedding[0] = 9)"), Workspace(spark, "n"), k=5).collect()
+    hit = 0
+    for q in range(0, 400, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 100 and hit >= 90
+    few = neighbours.search(vectors.filter("vec_id in (0, 1, 2, 400)"), Workspace(spark, "n")).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
+    assert neighbours.search(vectors.limit(0), Workspace(spark, "n")).count() == 0
+
+
+def test_packing(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(catalog.tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.filter("doc_id > 4").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).unionByName(odd.filter("doc_id < 4").select((-F.col("doc_id")).alias("doc_id"), "text"))
+    rows = packing.pack(docs, Workspace(spark, "k"), catalog.tokenizer_path()).collect()
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
+    want = {}
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(r["doc_id"], p): (a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(ids), 2048))}
+    assert got == want
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(held) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
+    assert packing.pack(none, Workspace(spark, "k"), catalog.tokenizer_path()).count() == 0
+
+
+def test_plans_are_exact_on_small_histograms():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        counts = {int(x): int(rng.integers(1, 5)) for x in rng.integers(1, 31, 6)}
+        rows = packing.plan(dict(counts), 30)
+        for size, n in counts.items():
+            ranges = sorted((a, b) for s, a, b, *_ in rows if s == size)
+            assert ranges[0][0] == 0 and ranges[-1][1] == n and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:], strict=False))
+        full = {}
+        for size, a, b, q, first, at in rows:
+            for k in range(b - a):
+                full.setdefault(first + k // q, []).append((at + k % q * size, size))
+        for parts in full.values():
+            assert sum(s for _, s in parts) <= 30 and all(x[0] + x[1] == y[0] for x, y in zip(sorted(parts), sorted(parts)[1:], strict=False))
+
+
+def test_mixing(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.copies(docs, Workspace(spark, "x")).collect()
+    again = mixing.copies(docs.repartition(3), Workspace(spark, "x")).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    largest = max(r["size"] for r in rows)
+    for s in {r["source"] for r in rows}:
+        mine = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= largest and max(r["copies"] for r in mine) <= 2
+    assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows))
+    assert len(mixing.copies(odd, Workspace(spark, "x")).collect()) == 9 and mixing.copies(none, Workspace(spark, "x")).count() == 0
+    mixed = mixing.mix_documents(odd, Workspace(spark, "x"))
+    assert mixed.columns == odd.columns
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["size"] * r["copies"] for r in mixing.copies(odd, Workspace(spark, "x")).collect())
+
+
+def test_pipeline(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    kept = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "pack_sequences"]
+    assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in kept.select("doc_id").collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, SF)
+        assert kept.columns == before.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, before.limit(0), SF).count() == 0
