@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, chunks, mix, shingle_hashes, word_hashes
@@ -132,21 +132,39 @@ def _rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.repeat(counts, counts)), pa.array(found.view(np.int64))], ["doc_id", "n", "shingle"])
 
 
+def _possible(shingles: DataFrame, ws: Workspace) -> DataFrame:
+    """``shingles`` (doc_id, label, n, shingle) with ``df`` and ``c``, without documents that can be linked with no other label.
+
+    A shingle that only one label has is in no intersection that matters, so ``c``, the number of a document's other
+    shingles, bounds all of its intersections. One below three quarters of the set rules the document out.
+    """
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    common = ws.keep(shingles.select("doc_id", "label", "n", "shingle").join(shared.select("shingle", "df"), "shingle"), "common")
+    counts = common.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(100 * F.col("c") >= PERCENT * F.col("n"))
+    return ws.keep(common.join(counts.select("doc_id", "c"), "doc_id"), "possible")
+
+
 def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     """Every pair of ``members`` (doc_id, label) of different labels that can be linked: an exact way, for what stars left.
 
-    Two linked sets share a shingle among the rarest quarter of either, so only those are joined on.
+    Two linked sets have at least (na + nb) * 75 / 175 shingles in common, all of them among those that several labels
+    have. So they share one among the rarest of either: the larger set's rarest quarter, the smaller one's rarest
+    seventh, places that its own label's shingles take up included. A pair is made only where both sets have enough
+    shared shingles for it, which sets that differ from one text in places of their own haven't.
     """
-    mine = members.select("doc_id").distinct()
-    shingles = ws.keep(texts.join(mine, "doc_id", "left_semi").mapInArrow(_rare_pairs, "doc_id bigint, n bigint, shingle bigint"), "shingles")
-    counts = ws.keep(shingles.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
-    ranked = shingles.join(counts, "shingle").groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    prefix = F.slice("s", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1)
-    rare = ranked.select("doc_id", "n", F.explode(prefix).alias("e")).filter("e.df > 1").select("doc_id", "n", F.col("e.shingle").alias("shingle"))
-    rare = ws.keep(rare.join(members.select("doc_id", "label").distinct(), "doc_id"), "rare")
-    other = rare.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "shingle")
-    close = (100 * F.col("nb") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("nb"))
-    return rare.join(other, "shingle").filter((F.col("b") < F.col("doc_id")) & (F.col("lb") != F.col("label")) & close).select(F.col("doc_id").alias("a"), "b").distinct()
+    mine = members.select("doc_id", "label").distinct()
+    found = texts.join(mine.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_rare_pairs, "doc_id bigint, n bigint, shingle bigint")
+    rows = _possible(ws.keep(found.join(mine, "doc_id"), "shingles"), ws)
+    rows = _possible(rows.select("doc_id", "label", "n", "shingle"), ws)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) + F.col("n") - F.col("c")
+    rare = rows.withColumn("place", place).filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
+    rare = ws.keep(rare.select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
+    small = rare.filter((100 + PERCENT) * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
+    small = small.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "shingle")
+    smaller = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id")))
+    enough = (100 + PERCENT) * F.least("c", "cb") >= PERCENT * (F.col("n") + F.col("nb"))
+    pairs = rare.join(small, "shingle").filter(smaller & enough & (F.col("lb") != F.col("label")) & (100 * F.col("nb") >= PERCENT * F.col("n")))
+    return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
