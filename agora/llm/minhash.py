@@ -3,8 +3,10 @@
 A text's set is its distinct shingles of five words. One hash of each shingle gives its bin and its value; a bin's
 least value is the bin's entry, and an empty bin borrows that of the first filled bin in an order of its own, the same
 for all texts. Bands of entries are bucket keys. In a bucket every member is compared with the least member only, on
-full sets; members that this leaves in more than one component are compared with the next least, and so on, so a
-bucket makes as many pairs as it has members in a round. Documents with equal sets are one before any of this.
+full sets, so a bucket makes as many pairs as it has members. Where this leaves members in more than one component, an
+exact search among those members finds the links that a star can miss: only sets that share one of their rarest
+shingles, at places where enough of both is still to come, are compared. Documents with equal sets are one before any
+of this.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ WIDTH = 5
 BINS, BANDS = 128, 32
 #: Links hold from this similarity on, in hundredths.
 PERCENT = 75
-#: So many rounds of stars; buckets of more than that many unlike members go on by rare shingles.
-STAR_ROUNDS = 3
 
 _ORDER = np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(1 << 50)).reshape(BINS, BINS), axis=1)
 _LAST = np.uint64(64 - BINS.bit_length() + 1)
@@ -148,9 +148,9 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
     """Every pair of ``members`` (doc_id, label) of different labels that can be linked: an exact way, for what stars left.
 
     Two linked sets have at least (na + nb) * 75 / 175 shingles in common, all of them among those that several labels
-    have. So they share one among the rarest of either: the larger set's rarest quarter, the smaller one's rarest
-    seventh, places that its own label's shingles take up included. A pair is made only where both sets have enough
-    shared shingles for it, which sets that differ from one text in places of their own haven't.
+    have. With the rarest first, places that only the own label's shingles take up before those, the first one they share
+    stands where as many are still to come in either. A pair is made only from such places, and only where both sets
+    have enough shared shingles for it: sets that differ from one text in places of their own haven't.
     """
     mine = members.select("doc_id", "label").distinct()
     found = texts.join(mine.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_rare_pairs, "doc_id bigint, n bigint, shingle bigint")
@@ -160,9 +160,10 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
     rare = rows.withColumn("place", place).filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
     rare = ws.keep(rare.select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
     small = rare.filter((100 + PERCENT) * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
-    small = small.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("c").alias("cb"), "shingle")
+    small = small.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("at"), "shingle")
     smaller = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id")))
-    enough = (100 + PERCENT) * F.least("c", "cb") >= PERCENT * (F.col("n") + F.col("nb"))
+    to_come = F.least("c", "cb", F.col("n") - F.col("place") + 1, F.col("nb") - F.col("at") + 1)
+    enough = (100 + PERCENT) * to_come >= PERCENT * (F.col("n") + F.col("nb"))
     pairs = rare.join(small, "shingle").filter(smaller & enough & (F.col("lb") != F.col("label")) & (100 * F.col("nb") >= PERCENT * F.col("n")))
     return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
 
@@ -190,27 +191,15 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     ws.sweep()
     links = tested.filter("linked").select("a", "b")
     labels = ws.keep(components(links, ws), "labels")
-    for turn in range(STAR_ROUNDS + 1):
-        # a centre has met all others of its bucket and leaves; buckets within one component are done
-        labelled = members.filter("doc_id <> centre").select("bucket", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        left = ws.keep(labelled.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "left")
-        centres = ws.keep(left.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", "centre"), "centres")
-        members = ws.keep(left.join(centres, "bucket"), "members")
-        if turn < STAR_ROUNDS:
-            of_centre = members.filter("doc_id = centre").select("bucket", F.col("label").alias("lb"))
-            new = members.join(ws.keep(of_centre, "of-centre"), "bucket").filter("label <> lb").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-        else:
-            new = pairs_by_rare_shingles(members.select("doc_id", "label").distinct(), texts, ws)
-        pairs = ws.keep(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if members.isEmpty():
-            break
-        if pairs.isEmpty():
-            continue
-        more = ws.keep(confirm(pairs, texts), "tested")
-        tested = tested.unionByName(more)
-        if not more.filter("linked").isEmpty():
-            links = links.unionByName(more.filter("linked").select("a", "b"))
-            labels = ws.keep(components(links, ws), "labels")
+    # a centre has met all others of its bucket and leaves; buckets within one component are done
+    labelled = members.filter("doc_id <> centre").select("bucket", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    left = ws.keep(labelled.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "left")
+    open_ones = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    members = ws.keep(left.join(open_ones, "bucket", "left_semi").select("doc_id", "label").distinct(), "members")
+    pairs = ws.keep(pairs_by_rare_shingles(members, texts, ws).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = ws.keep(confirm(pairs, texts).filter("linked").select("a", "b"), "tested")
+    if not more.isEmpty():
+        labels = ws.keep(components(links.unionByName(more), ws), "labels")
     keyed = sketched.drop("bands").join(classes, ["k1", "k2"], "left")
     named = keyed.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     # an empty set has a class of its own
