@@ -230,3 +230,21 @@ def test_pipeline(spark):
         assert kept.columns == before.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), SF).count() == 0
+
+
+def test_exact_search_misses_no_linked_pair(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for k in range(16):
+            some = [f"x{rng.integers(1 << 40)}" if rng.random() < 0.008 else w for w in base]
+            texts[100 * group + k] = " ".join(some[: 60 - k])
+    label = {i: i if i % 3 else i - i % 100 for i in texts}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, words(t)) for i, t in texts.items())}
+    want = {(a, b) for a in sets for b in sets if b < a and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    members = spark.createDataFrame(list(label.items()), "doc_id bigint, label bigint")
+    got = {(r["a"], r["b"]) for r in minhash.pairs_by_rare_shingles(members, docs, Workspace(spark, "m")).collect()}
+    assert len(want) > 50
+    assert not want - got
