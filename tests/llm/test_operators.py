@@ -248,3 +248,15 @@ def test_exact_search_misses_no_linked_pair(spark):
     got = {(r["a"], r["b"]) for r in minhash.pairs_by_rare_shingles(members, docs, Workspace(spark, "m")).collect()}
     assert len(want) > 50
     assert not want - got
+
+
+def test_passages_with_a_wide_gap():
+    w = [f"w{i}" for i in range(98)]
+    for other in (w[:45] + [f"o{i}" for i in range(8)] + w[53:], w[:49] + [f"o{i}" for i in range(12)] + w[49:]):
+        around = [f"a{i}" for i in range(30)] + other + [f"b{i}" for i in range(30)]
+        ids = {}
+        x, y = (np.array([ids.setdefault(s, len(ids)) for s in zip(*(t[i:] for i in range(5)), strict=False)], np.int64) for t in (w, around))
+        for one, two in ((x, y), (y, x)):
+            (a, b, ra, rb, alike), = passages.matched(one, two)
+            u, v = set(one[a : b + 1].tolist()), set(two[ra : rb + 1].tolist())
+            assert 0.75 <= alike == len(u & v) / len(u | v) and min(b - a, rb - ra) + 1 == 94
