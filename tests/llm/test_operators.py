@@ -260,3 +260,16 @@ def test_passages_with_a_wide_gap():
             (a, b, ra, rb, alike), = passages.matched(one, two)
             u, v = set(one[a : b + 1].tolist()), set(two[ra : rb + 1].tolist())
             assert 0.75 <= alike == len(u & v) / len(u | v) and min(b - a, rb - ra) + 1 == 94
+
+
+def test_passages_of_covered_documents(spark):
+    """B is a near copy of A and covered by it; C has from B a passage that A has edited, with most of its least shingles."""
+    rows, want = [], set()
+    for k in range(20):
+        long = [f"l{k}x{i}" for i in range(400)]
+        edited = [f"e{k}x{i}" if i in (195, 210, 225) else w for i, w in enumerate(long)]
+        quoted = [f"x{k}x{i}" for i in range(40)] + long[180:240] + [f"y{k}x{i}" for i in range(40)]
+        rows += [(3 * k + j, " ".join(w)) for j, w in enumerate((edited, long, quoted))]
+        want |= {(3 * k + 1, 3 * k), (3 * k + 2, 3 * k + 1)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), Workspace(spark, "p")).collect()
+    assert {(r["doc_id"], r["rep_doc_id"]) for r in got} == want
