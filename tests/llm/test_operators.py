@@ -273,3 +273,34 @@ def test_passages_of_covered_documents(spark):
         want |= {(3 * k + 1, 3 * k), (3 * k + 2, 3 * k + 1)}
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), Workspace(spark, "p")).collect()
     assert {(r["doc_id"], r["rep_doc_id"]) for r in got} == want
+
+
+def test_passages_against_brute_force(spark):
+    """Near passages whose frequent lines stand in smaller documents too, chains and nested passages: every one is found."""
+    rng = np.random.default_rng(3)
+    rows: list[tuple[int, list[str]]] = []
+    fill = lambda n: [f"z{v}" for v in rng.integers(0, 1 << 40, n)]
+    for k in range(15):
+        base = [f"b{k}x{i}" for i in range(80)]
+        for _ in range(5):  # the lines of a passage, each apart from the others
+            rows.append((len(rows), [w for i in range(0, 80, 20) for w in base[i : i + 20] + fill(30)]))
+        for start, stop, edits in ((0, 80, ()), (5, 61, (24, 43)), (0, 80, (30, 55)), (10, 70, (33,)), (15, 65, (40,)), (0, 80, (11, 61))):
+            text = [f"e{v}" if i in edits else base[i] for i, v in zip(range(start, stop), rng.integers(0, 1 << 40, stop - start), strict=True)]
+            rows.append((len(rows), fill(25) + text + fill(25)))
+    order = rng.permutation(len(rows))
+    docs = spark.createDataFrame([(int(j), " ".join(rows[j][1])) for j in order], "doc_id bigint, text string")
+    covered = {i: set() for i, _ in rows}
+    for r in passages.repeated_passages(docs, Workspace(spark, "p")).collect():
+        assert r["rep_doc_id"] < r["doc_id"] and r["similarity"] >= 0.75
+        covered[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        covered[r["rep_doc_id"]].update(range(r["rep_start_word"], r["rep_start_word"] + r["rep_n_words"]))
+    ids: dict = {}
+    texts = [np.array([ids.setdefault(s, len(ids)) for s in zip(*(t[i:] for i in range(5)), strict=False)], np.int64) for _, t in rows]
+    pairs = [(i, j, m) for i in range(len(rows)) for j in range(i) for m in passages.matched(texts[i], texts[j])]
+    assert len(pairs) == 60
+    for i, j, (a, b, ra, rb, _) in pairs:
+        assert len(covered[i] & set(range(a, b + 5))) > (b - a) / 2 and len(covered[j] & set(range(ra, rb + 5))) > (rb - ra) / 2
+    # what stars leave: of every passage, rare shingles lead to the partner
+    left = passages.windows(docs).withColumn("need", F.lit(True))
+    candidates = {(r["doc_id"], r["rep"]) for r in passages._rare(left, docs, Workspace(spark, "p")).collect()}
+    assert {(i, j) for i, j, _ in pairs} <= candidates
