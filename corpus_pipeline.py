@@ -45,7 +45,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Learning, rounding at random and packing have no SQL; the tests hold the stages against plain versions.
+#: Learning, rounding at random and packing have no SQL; the tests look at columns, ids and empty input.
 ORACLE_SQL = None
 
 
