@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ WORD = "[^\\x20\\x09-\\x0D]"
 BLANKS = "\t\n\x0b\x0c\r "
 
 #: Texts are worked on in chunks of about so many bytes, which bounds the memory of a Python worker.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,18 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Workspace:
     """Intermediate tables in the folder that the cluster shares.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one is made.
+    The folder is ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone, as in tests, a
+    temporary one is made.
     Tables lie below the application's id, so whatever a result still reads can be removed once the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="agora-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
         self.path = f"{root}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
     def folder(self, label: str) -> str:
         self._n += 1
@@ -50,13 +55,13 @@ class Workspace:
         path = self.folder(label)
         frame.write.parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
-        kept._agora_path = path
+        self._paths[kept] = path
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         for frame in frames:
-            self.remove(frame._agora_path)
+            self.remove(self._paths.pop(frame))
 
     def sweep(self) -> None:
         """Lets Spark remove the shuffle files of plans that are done: it does so when the driver's garbage is collected."""
@@ -140,7 +145,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number modulo 2**64, and those of its inverse."""
     have = _POWERS.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 200_000)
+        size = max(n, CHUNK_BYTES + 100_000)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS[0] = have = (np.cumprod(up), np.cumprod(down))

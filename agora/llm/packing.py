@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import Workspace, chunks
 
 LIMIT, END = 2048, 0
-#: Plans of up to so many rows are broadcast; longer ones (other limits) are joined.
-PLAN_ROWS = 200_000
+#: Plans of up to so many rows (48 bytes each) are sent to the tasks; longer ones (other limits) are joined.
+PLAN_ROWS = 500_000
 
-_CACHE_WORDS, _CACHE_CHARS = 600_000, 40
+#: Bytes of a worker's store of words, with about 180 bytes a word besides its letters and ids; longer words aren't kept.
+_CACHE_BYTES, _WORD_BYTES, _CACHE_CHARS = 48_000_000, 180, 40
+#: Bytes of texts encoded together.
+_ENCODE_BYTES = 500_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -41,6 +46,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         special = [k for k, v in self.tokenizer.get_added_tokens_decoder().items() if v.special]
         self.mark = special[0] if special and by_word else None
         self.between = f" {self.tokenizer.id_to_token(self.mark)} " if self.mark is not None else None
@@ -114,11 +120,21 @@ class Encoder:
             ids.append(have)
         fresh = (self._learn(list(new[0])) if new[0] else {}) | (self._learn_small(list(new[1])) if new[1] else {})
         out = [b"".join(have if None not in have else [fresh[w] if v is None else v for w, v in zip(words, have, strict=True)]) for words, have in zip(split, ids, strict=True)]
-        if len(self.known) + len(fresh) > _CACHE_WORDS:
-            self.known = {}
-        self.known.update((w, v) for w, v in fresh.items() if len(w) <= _CACHE_CHARS)
+        self._store(fresh, split)
         return out
 
+    def _store(self, fresh: dict[str, bytes], split: list[list[str]]) -> None:
+        """Keeps new words; a full store starts again with the words that the texts at hand repeat."""
+        fresh = {w: v for w, v in fresh.items() if len(w) <= _CACHE_CHARS}
+        self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _WORD_BYTES * len(fresh)
+        if self.held > _CACHE_BYTES:
+            often = [w for w, n in Counter(chain.from_iterable(split)).items() if n > 1 and len(w) <= _CACHE_CHARS]
+            known, self.known = self.known, {}
+            self.known.update((w, known.get(w) or fresh[w]) for w in often if w in known or w in fresh)
+            self.held = sum(len(w) + len(v) for w, v in self.known.items()) + _WORD_BYTES * len(self.known)
+            return
+        self.known.update(fresh)
+
 
 def _split(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]:
     raw = ids.tobytes()
@@ -148,7 +164,7 @@ def pieces(docs: DataFrame, ws: Workspace, tokenizer: str, limit: int = LIMIT) -
         encoder, part, seen = _encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", _ENCODE_BYTES):
                 row, piece, start, length, crc, nth = [], [], [], [], [], []
                 for i, ids in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
                     ids += end
@@ -296,12 +312,32 @@ def pack(docs: DataFrame, ws: Workspace, tokenizer: str, limit: int = LIMIT) ->
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``limit`` rows
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    rows = plan(histogram, limit)
-    places = ws.spark.createDataFrame(rows, "length bigint, a bigint, b bigint, q bigint, first bigint, at bigint")
-    if len(rows) <= PLAN_ROWS:
-        places = F.broadcast(places)
+    rows = sorted(plan(histogram, limit))
     ranked = cut.join(starts, ["length", "_part"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
+    if len(rows) <= PLAN_ROWS:
+        return _placed(ranked, np.array(rows, np.int64).reshape(-1, 6), ws)
+    places = ws.spark.createDataFrame(rows, "length bigint, a bigint, b bigint, q bigint, first bigint, at bigint")
     nth = F.col("_rank") - F.col("a")
     placed = ranked.join(places, "length").filter((F.col("_rank") >= F.col("a")) & (F.col("_rank") < F.col("b")))
     sequence, offset = F.col("first") + F.floor(nth / F.col("q")), F.col("at") + F.pmod(nth, F.col("q")) * F.col("length")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("bigint").alias("sequence_id"), offset.alias("offset"))
+
+
+def _placed(ranked: DataFrame, rows: np.ndarray, ws: Workspace) -> DataFrame:
+    """Pieces with their places: those of a length lie in order in the plan, so each is found by halving."""
+    shared = ws.spark.sparkContext.broadcast(rows)
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = shared.value
+        top = int(rows[:, 2].max(initial=0)) + 1
+        keys = rows[:, 0] * top + rows[:, 1]
+        for b in batches:
+            size, rank = (b.column(c).to_numpy() for c in ("length", "_rank"))
+            at = rows[np.searchsorted(keys, size * top + rank, side="right") - 1] if b.num_rows else rows[:0]
+            nth = rank - at[:, 1]
+            places = [at[:, 4] + nth // at[:, 3], at[:, 5] + nth % at[:, 3] * size]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, places)], [*kept, "sequence_id", "offset"])
+
+    kind = ranked.schema["doc_id"].dataType.simpleString()
+    return ranked.select(*kept, "_rank").mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
