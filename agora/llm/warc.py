@@ -71,9 +71,8 @@ def train(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstd.ZstdCompre
         return None
 
 
-def archive(records: list[bytes]) -> bytes:
-    """The bytes of an archive."""
-    known = train(records)
+def archive(records: list[bytes], known: zstd.ZstdCompressionDict | None) -> bytes:
+    """The bytes of an archive: the dictionary, if there is one, in a skippable frame, then a frame per record."""
     out = io.BytesIO()
     if known is not None:
         raw = known.as_bytes()
@@ -109,12 +108,20 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _where(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    """The file system of a path, for the stores that Arrow opens: local, hdfs, s3 (also as s3a or s3n), gs, abfs(s)."""
+    scheme, _, rest = path.partition("://")
+    if not rest:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    try:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"archives can't be written to {scheme}: set spark.checkpoint.dir to a local, hdfs, s3, gs or abfs folder") from e
 
 
 def write(pages: DataFrame, ws: Workspace, least: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes a record per row of ``pages`` (page_id, url, html) and returns the table of archives: path, n_records, n_bytes.
+    """Writes a record per row of ``pages`` (page_id, url, html) and returns the table of archives: path, n_records, n_bytes, dictionary_bytes.
 
+    An archive with too few or too small records to train on has no dictionary: its dictionary_bytes are 0.
     A null html is an empty payload; a null url leaves its field out. Repeated rows are records each; of equal payloads
     all rows of the largest page_id are responses. Rows with a null page_id are responses. An empty table has no archives.
     """
@@ -133,10 +140,11 @@ def write(pages: DataFrame, ws: Workspace, least: int = REVISIT_BYTES, archive_b
 
         def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            raw = archive(held)
-            with store.open_output_stream(f"{at}/{name}") as out:
+            known = train(held)
+            raw = archive(held, known)
+            with store.open_output_stream(f"{at}/{name}", compression=None) as out:
                 out.write(raw)
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(held)], "n_bytes": [len(raw)]})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(held)], "n_bytes": [len(raw)], "dictionary_bytes": [0 if known is None else len(known.as_bytes())]})
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -151,7 +159,7 @@ def write(pages: DataFrame, ws: Workspace, least: int = REVISIT_BYTES, archive_b
         if held:
             yield close()
 
-    return ws.keep(rows.mapInArrow(save, "path string, n_records bigint, n_bytes bigint"), "manifest")
+    return ws.keep(rows.mapInArrow(save, "path string, n_records bigint, n_bytes bigint, dictionary_bytes bigint"), "manifest")
 
 
 def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -165,7 +173,7 @@ def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, at = _where(path)
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     raw = f.read()
                 rows: list[dict] = []
                 for record in records_in(raw):
