@@ -106,8 +106,9 @@ def mine(docs: DataFrame, labels: DataFrame, ws: Workspace) -> Model:
     for value in (0, 1):
         one = known.filter(F.col("toxic") == value).orderBy(order, "doc_id").limit(SAMPLE_PER_LABEL)
         sample = one if sample is None else sample.unionByName(one)
-    # at most 2 * SAMPLE_PER_LABEL rows
-    sample = ws.keep(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ws.keep(sample, "sample")), "doc_id").select("toxic", "text"), "sampled-texts")
+    # one text per doc_id, so at most 2 * SAMPLE_PER_LABEL rows
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ws.keep(sample, "sample")), "doc_id")
+    sample = ws.keep(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("toxic", "text"), "sampled-texts")
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -283,7 +284,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     ``labels`` (doc_id, toxic) are learned from only where crc32 of doc_id as text isn't divisible by 5; null labels
     don't count, and of several labels the greatest does. Null and empty texts get the score of a text in which no voter
     fires. A null doc_id counts as the empty text and is held out. Without labels of both kinds there are no voters and
-    every score is 0. Repeated rows each get a row; no other column is read.
+    every score is 0. Of repeated rows the greatest text is learned from, and each gets a row; no other column is read.
+    Very long texts count like others, by rates a word; an empty table gives no rows.
     """
     model = mine(docs, labels, ws)
     if not len(model.hashes):
