@@ -15,18 +15,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rules = quality.learn(docs, table(spark, sf_dir, "labels"), Workspace(spark, "op6"))
-    return quality.verdicts(docs, rules)
+    ws = Workspace(spark, "op6")
+    measured = quality.measured(docs, ws)
+    return quality.verdicts(measured, quality.learn(measured, table(spark, sf_dir, "labels"), ws))
 
 
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op6 that SQL can express: its statistics and its base rule."""
-    return quality.verdicts(table(spark, sf_dir, "documents"), quality.DecisionList()).drop("kept")
+    measured = quality.measured(table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
+    return quality.verdicts(measured, quality.DecisionList()).drop("kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_lines(table(spark, sf_dir, "documents"), Workspace(spark, "op8"))
-    return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    out = lines.cleaned(table(spark, sf_dir, "documents"), Workspace(spark, "op8"))
+    return out.select("row.doc_id", "row.source", "n_lines", "n_dropped", "text")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +111,7 @@ WITH split AS (
 ), totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 hot AS (
   SELECT h.source, list(line) AS lines FROM (SELECT source, line, count(*) AS n FROM held GROUP BY ALL) h
-  JOIN totals t ON h.source IS NOT DISTINCT FROM t.source WHERE n >= 10 AND n > 0.05 * total GROUP BY h.source
+  JOIN totals t ON h.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > 0.05 * total GROUP BY h.source
 ), kept AS (
   SELECT s.doc_id, s.source, s.x, s.text,
     list_filter(s.x, lambda l: NOT coalesce(list_contains(hot.lines, trim(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), false)) AS k

@@ -13,38 +13,61 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, Workspace
 
-RATIO, MIN_PAGES = 0.05, 10
+#: A line is boilerplate if over this share of a site's pages hold it, and so many pages at least: what one page alone
+#: holds is never boilerplate.
+RATIO, MIN_PAGES = 0.05, 2
+
+
+def host_of(url: Column) -> Column:
+    """The host of a url in lower case, null where there is none."""
+    host = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.when(host != "", F.lower(host))
+
+
+def site_of(pages: DataFrame) -> Column:
+    """A page's site: the host of its url where the table has urls, its source where it has not."""
+    ways = [host_of(F.col("url").cast("string"))] if "url" in pages.columns else []
+    ways += [F.col("source").cast("string")] if "source" in pages.columns else []
+    return F.coalesce(*ways) if ways else F.lit(None).cast("string")
 
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
 
 
-def boilerplate(pages: DataFrame, ws: Workspace, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per site with boilerplate: ``_site``, ``_hot`` (hashes of its lines that over ``ratio`` of its pages hold, ``min_pages`` at least)."""
-    lines = F.array_distinct(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD)), _key))
+def boilerplate(pages: DataFrame, ws: Workspace, *, site: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """One row per site with boilerplate: site (a struct, so that null sites meet), lines (the hashes of its boilerplate)."""
+    lines = F.array_distinct(F.transform(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), lambda x: x.rlike(WORD)), _key))
     # a page counts itself as the line null
-    held = pages.select(F.coalesce(F.col(site), F.lit("")).alias("_site"), F.col(site).isNull().alias("_none"), F.explode(F.concat(lines, F.array(F.lit(None).cast("bigint")))).alias("_line"))
-    counts = ws.keep(held.groupBy("_site", "_none", "_line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "line-counts")
-    totals = counts.filter(F.col("_line").isNull()).select("_site", "_none", F.col("n").alias("total"))
-    over = counts.filter(F.col("_line").isNotNull()).join(totals, ["_site", "_none"]).filter(F.col("n") > ratio * F.col("total"))
-    return ws.keep(over.groupBy("_site", "_none").agg(F.array_sort(F.collect_list("_line")).alias("_hot")), "boilerplate")
+    held = pages.select(F.struct((site_of(pages) if site is None else site).alias("name")).alias("site"), F.explode(F.concat(lines, F.array(F.lit(None).cast("bigint")))).alias("line"))
+    counts = held.groupBy("site", "line").agg(F.count("*").alias("n"))
+    counts = ws.keep(counts.filter(F.col("line").isNull() | (F.col("n") >= min_pages)), "line-counts")
+    totals = counts.filter(F.col("line").isNull()).select("site", F.col("n").alias("total"))
+    over = counts.filter(F.col("line").isNotNull()).join(totals, "site").filter(F.col("n") > ratio * F.col("total"))
+    return ws.keep(over.groupBy("site").agg(F.array_sort(F.collect_list("line")).alias("lines")), "boilerplate")
 
 
-def drop_lines(pages: DataFrame, ws: Workspace, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The pages, boilerplate lines gone from ``text``, with two more columns: ``_n_lines`` and ``_n_dropped``.
+def cleaned(pages: DataFrame, ws: Workspace, *, site: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Per page: row (a struct of all its columns), text without boilerplate, n_lines (before) and n_dropped."""
+    hot = boilerplate(pages, ws, site=site, text=text, ratio=ratio, min_pages=min_pages)
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.struct((site_of(pages) if site is None else site).alias("name")).alias("site"))
+    rows = rows.join(hot, "site", "left")
+    split = F.split(F.col("row").getField(text).cast("string"), "\n")
+    kept = F.when(F.col("lines").isNull(), split).otherwise(F.filter(split, lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("lines"), _key(x)))))
+    rows = rows.select("row", split.alias("all"), kept.alias("kept"))
+    n = F.coalesce(F.when(F.col("all").isNotNull(), F.size("all")), F.lit(1)).cast("bigint")
+    dropped = F.coalesce(F.when(F.col("all").isNotNull(), F.size("all") - F.size("kept")), F.lit(0)).cast("bigint")
+    return rows.select("row", F.array_join("kept", "\n").alias("text"), n.alias("n_lines"), dropped.alias("n_dropped"))
+
 
-    A line is what stands between line feeds, compared without white space around it. Lines without a word are never
-    boilerplate. A null text stays null, and a page that loses every line stays, with an empty text. Pages without a
-    site are a site of their own. Repeated rows are pages each.
+def drop_lines(pages: DataFrame, ws: Workspace, *, site: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The pages with all their columns, boilerplate lines gone from ``text``.
+
+    A line is what stands between line feeds, compared without white space around it, however long. Lines without a word
+    are never boilerplate, nor is a line that one page alone holds; on sites of under ``min_pages / ratio`` pages
+    ``min_pages`` pages are enough. A null text stays null and an empty one empty; both count as pages. A page that loses
+    every line stays, with an empty text. The site is the host of ``url`` or the ``source`` (or what the caller says); pages without
+    one are a site of their own. Repeated rows are pages each. Columns of any name stay as they are. An empty table gives none.
     """
-    hot = boilerplate(pages, ws, site=site, text=text, ratio=ratio, min_pages=min_pages)
-    keyed = pages.withColumn("_site", F.coalesce(F.col(site), F.lit(""))).withColumn("_none", F.col(site).isNull())
-    joined = keyed.join(hot, ["_site", "_none"], "left")
-    kept = F.when(F.col("_hot").isNull(), F.split(text, "\n")).otherwise(
-        F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("_hot"), _key(x))))
-    )
-    names = [c for c in pages.columns if c != text]
-    out = joined.select(*pages.columns, kept.alias("_kept"), F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("bigint").alias("_n_lines"))
-    out = out.select(*names, F.array_join("_kept", "\n").alias(text), F.coalesce(F.size("_kept"), F.lit(1)).cast("bigint").alias("_left"), "_n_lines")
-    return out.select(*pages.columns, "_n_lines", (F.col("_n_lines") - F.when(F.col(text).isNull(), F.col("_n_lines")).otherwise(F.col("_left"))).alias("_n_dropped"))
+    out = cleaned(pages, ws, site=site, text=text, ratio=ratio, min_pages=min_pages)
+    return out.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in pages.columns))

@@ -20,6 +20,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Base rule: fewer words than this, or more than this share of words in repeated windows.
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
+#: Labelled documents that a list is learned from, at most about so many: their ids and labels are broadcast (12 bytes each).
+LABELLED_ROWS = 500_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines", "n_distinct_words")
 #: What conditions are about: ratios of the counts, so that they hold for texts of any length.
@@ -218,21 +220,48 @@ def fit(labelled: DataFrame, ws: Workspace, *, stats: str = "stats", label: str
     return DecisionList([[Condition(k, above, float(cuts[k][b])) for k, above, b in rule] for rule in found])
 
 
-def learn(docs: DataFrame, labels: DataFrame, ws: Workspace, **options) -> DecisionList:
-    """Learns from every document that ``labels`` (doc_id, quality: 0 is bad) covers; null labels don't count, and a document with labels of both kinds counts once for each."""
-    good = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
-    return fit(docs.select("doc_id", "text").join(good, "doc_id").select("doc_id", statistics(F.col("text")).alias("stats"), "bad"), ws, **options)
+def measured(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """A written table of doc_id and ``stats``, a row per document: texts are gone through once, for learning and verdicts alike."""
+    return ws.keep(docs.select("doc_id", statistics(F.col("text").cast("string")).alias("stats")), "statistics")
 
 
-def verdicts(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """Per document, its statistics and the verdict: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def known(labels: DataFrame, ws: Workspace, rows: int = LABELLED_ROWS) -> DataFrame:
+    """doc_id and ``bad`` of about ``rows`` labelled documents, by a hash of doc_id; of all, if there are no more. Small enough to broadcast."""
+    all_of = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
+    all_of = ws.keep(all_of, "labels")
+    n = all_of.count()
+    share = min(1 << 30, (rows << 30) // max(n, 1))
+    return F.broadcast(all_of.filter(F.pmod(F.xxhash64("doc_id", F.lit("known")), F.lit(1 << 30)) < share))
 
-    A null or empty text has no words and fails. Repeated rows each get a row. No other column is read, whatever its name.
+
+def learn(stats: DataFrame, labels: DataFrame, ws: Workspace, *, rows: int = LABELLED_ROWS, **options) -> DecisionList:
+    """Learns from the statistics (doc_id, stats) of documents that ``labels`` (doc_id, quality: 0 is bad) cover.
+
+    Null labels don't count, and a document with labels of both kinds counts once for each. Beyond ``rows`` labelled
+    documents about so many of them are learned from. Without labels or documents the list is empty.
+    """
+    return fit(stats.join(known(labels, ws, rows), "doc_id"), ws, **options)
+
+
+def learn_from_texts(docs: DataFrame, labels: DataFrame, ws: Workspace, *, rows: int = LABELLED_ROWS, **options) -> DecisionList:
+    """``learn`` for where no table of statistics is wanted: only the labelled texts are gone through, and no text is shuffled."""
+    texts = docs.select("doc_id", "text").join(known(labels, ws, rows), "doc_id")
+    return fit(texts.select("doc_id", statistics(F.col("text").cast("string")).alias("stats"), "bad"), ws, **options)
+
+
+def verdicts(stats: DataFrame, rules: DecisionList) -> DataFrame:
+    """Per row of ``measured``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    A null or empty text has no words and fails. Repeated rows each get a row; very long texts are measured whole. No
+    other column is read, whatever its name. An empty table gives no rows.
     """
-    all_of = docs.select("doc_id", let(statistics(F.col("text")), lambda s: F.struct(s.alias("s"), base_failed(s).alias("failed"), rules.keeps(s).alias("keeps"))).alias("v"))
-    return all_of.select("doc_id", *(F.col(f"v.s.{k}") for k in COUNTS[:5]), F.col("v.failed").alias("base_failed"), (~F.col("v.failed") & F.col("v.keeps")).alias("kept"))
+    s = F.col("stats")
+    return stats.select("doc_id", *(s[k].alias(k) for k in COUNTS[:5]), base_failed(s).alias("base_failed"), (~base_failed(s) & rules.keeps(s)).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The documents that neither the base rule nor the list rejects, with all their columns."""
-    return docs.filter(let(statistics(F.col("text")), lambda s: ~base_failed(s) & rules.keeps(s)))
+    """The documents that neither the base rule nor the list rejects, with all their columns, whatever their names.
+
+    Null and empty texts go. Repeated rows are judged each. An empty table gives none.
+    """
+    return docs.filter(let(statistics(F.col("text").cast("string")), lambda s: ~base_failed(s) & rules.keeps(s)))
