@@ -21,6 +21,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK_ROWS, FAN_IN = 4000, 256
 #: Tables of sources up to this many rows are broadcast.
 SMALL = 20_000
+#: Equal rows that one task writes at most.
+GROUP_ROWS = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -104,23 +106,29 @@ def _round(level: int, last: bool):
     return of_block
 
 
-def copies(docs: DataFrame, ws: Workspace, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies.
+def _keys(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """What tells rows apart: id, source, size and a hash of the text. Rows that agree in all four can stand for each other."""
+    return [doc_id.cast("string").alias("doc_id"), source.cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text.cast("string")).alias("hash")]
 
-    A null text has size 0; documents without words are rounded on their own. Null sources are one source, the last.
-    Repeated rows are rounded each. Reruns agree: chance comes from a hash of doc_id. No other column is read. An empty
-    table gives no rows.
+
+def taken(docs: DataFrame, ws: Workspace, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Per group of equal rows (``_keys``): these keys, doc_id in its own type as ``id``, ``m`` rows, source_size, target, and ``total``, the copies of all its rows together.
+
+    A group is rounded as one: the whole part of m * rate is taken for sure, so rows of one id, however many, are one
+    row here and no block grows with them.
     """
-    sized = ws.keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
-    per = ws.keep(targets(sized, ws, weights, share, most).withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK_ROWS)), "targets")
+    named = F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text").alias("t"))
+    groups = docs.select(named.alias("r")).select(F.col("r.d").alias("id"), *_keys(F.col("r.d"), F.col("r.s"), F.col("r.t"))).groupBy("id", "doc_id", "source", "size", "hash")
+    sized = ws.keep(groups.agg(F.count("*").alias("m")), "sizes")
+    per = ws.keep(targets(sized.select("source", (F.col("size") * F.col("m")).alias("size")), ws, weights, share, most).withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK_ROWS)), "targets")
     n, blocks = per.agg(F.count("*"), F.max("blocks")).first()
     # null sources, in a struct, meet by equality
     side = per.select(F.struct(F.col("source")).alias("_of"), "source_size", "target", "number", "blocks")
     side = F.broadcast(side) if n <= SMALL else side
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    coin = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("copies"))
+    coin = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit("")), "size", "hash", F.lit("copies"))
     rows = sized.withColumn("_of", F.struct(F.col("source"))).join(side, "_of").drop("_of")
-    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("coin", coin).withColumn("p", F.col("rate") - F.col("whole"))
+    rows = rows.withColumn("rate", rate * F.col("m")).withColumn("whole", F.floor("rate")).withColumn("coin", coin).withColumn("p", F.col("rate") - F.col("whole"))
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise((F.pmod("coin", F.lit(1 << 20)) < F.col("p") * (1 << 20)).cast("double")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("coin"), F.col("blocks"))).drop("rate", "blocks")
     done, level = None, 0
@@ -134,15 +142,48 @@ def copies(docs: DataFrame, ws: Workspace, weights: Sequence[float] = WEIGHTS, s
             break
         blocks, level = -(-blocks // FAN_IN), level + 1
         rows = rounded.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / FAN_IN))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
+    return done.select("id", "doc_id", "source", "size", "hash", "m", "source_size", "target", (F.col("whole") + F.col("p")).cast("bigint").alias("total"))
+
+
+def copies(docs: DataFrame, ws: Workspace, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies.
+
+    A null text has size 0; documents without words are rounded on their own. Null sources are one source, the last.
+    Repeated rows each get a row; rows that agree in id, source and text are rounded together, and the first ones of them
+    are taken once more than the others. Reruns agree: chance comes from a hash of doc_id, size and text. No other column
+    is read, whatever its name. Very long texts are counted whole. An empty table gives no rows.
+    """
+    groups = taken(docs, ws, weights, share, most)
+    # a group of very many rows is told apart in parts first, so that no task writes it alone
+    parts = F.when(F.col("m") > GROUP_ROWS, F.sequence(F.lit(0), F.col("m") - 1, F.lit(GROUP_ROWS))).otherwise(F.array(F.lit(0).cast("bigint")))
+    large = groups.filter(F.col("m") > GROUP_ROWS).withColumn("_a", F.explode(parts)).repartition(F.col("_a"), F.col("hash"))
+    both = groups.filter(F.col("m") <= GROUP_ROWS).withColumn("_a", F.lit(0).cast("bigint")).unionByName(large)
+    rows = both.withColumn("_i", F.explode(F.sequence(F.col("_a"), F.least(F.col("_a") + GROUP_ROWS, F.col("m")) - 1)))
+    each = F.floor(F.col("total") / F.col("m")) + (F.col("_i") < F.pmod("total", "m")).cast("bigint")
+    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", each.cast("int").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
-    """``docs``, every row as often as the mix takes it, all columns as they are."""
-    keys = ["_d", "_s", "_n"]
-    key = lambda size: (F.struct(F.col("doc_id").cast("string")).alias("_d"), F.struct(F.col("source").cast("string")).alias("_s"), size.alias("_n"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    taken = copies(docs, ws, **options).select(*key(F.col("size")), F.col("copies").alias("_copies")).withColumn("_k", nth).filter("_copies > 0")
-    rows = docs.select(*key(size_of(F.col("text"))), F.struct(*docs.columns).alias("_row")).withColumn("_k", nth)
-    out = rows.join(taken, [*keys, "_k"])
-    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    """``docs``, every row as often as the mix takes it, all columns as they are, whatever their names.
+
+    Texts are shuffled once, to meet their number of copies. Null texts, null sources and repeated rows are as in
+    ``copies``; an empty table gives none.
+    """
+    row = lambda c: F.col("row").getField(c)
+    key = lambda cols: F.struct(*cols).alias("key")
+    groups = ws.keep(taken(docs, ws, **options).select(key(map(F.col, ("doc_id", "source", "size", "hash"))), "m", "total"), "taken")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", key(_keys(row("doc_id"), row("source"), row("text"))))
+    out = rows.join(groups.filter("m = 1 and total > 0"), "key").select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
+    repeated = groups.filter("m > 1 and total > 0")
+    if not repeated.isEmpty():
+        # rows of a group are numbered within the parts of the input that they stand in, and the parts' numbers are added up
+        some = ws.keep(rows.join(repeated, "key").withColumn("part", F.spark_partition_id()), "repeated")
+        before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = some.groupBy("key", "part").count().select("key", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+        nth = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0))) - 1 + F.col("before")
+        numbered_rows = some.join(starts, ["key", "part"]).withColumn("nth", nth)
+        each = (F.floor(F.col("total") / F.col("m")) + (F.col("nth") < F.pmod("total", "m")).cast("bigint")).cast("int")
+        more = numbered_rows.withColumn("n", each).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        out = out.unionByName(more)
+    return out.select(*(row(c).alias(c) for c in docs.columns))
