@@ -27,7 +27,11 @@ SAMPLE_PER_LABEL, CANDIDATES, VOTERS = 4000, 600, 62
 PREFIXES = (4, 5, 6, 7, 8)
 #: A voter fires above one of these rates (occurrences a word).
 RATES = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
-ROUNDS, STEPS, LABEL_ACCURACY = 12, 8, 0.98
+ROUNDS, TURNS, STEPS, LABEL_ACCURACY = 12, 3, 8, 0.98
+#: Voters that correlate by more than this within a class share their weight.
+ALIKE = 0.2
+#: What a row without a label weighs in the classifier, beside 1 for one with a label.
+UNLABELLED = 0.1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -219,7 +223,11 @@ def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def fit_label_model(model: Model, patterns: DataFrame) -> Model:
-    """Expectation maximisation over ``patterns`` (mask, label, n): firing rates in each class, the prior, then correlations."""
+    """Firing rates in each class, the prior, and correlations, from ``patterns`` (mask, label, n).
+
+    Correlations and expectation maximisation take turns: voters that say the same first share their weight, by the
+    posteriors so far, so that they don't pull the classes to themselves, and are looked at again by better posteriors.
+    """
     k = len(model.hashes)
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
@@ -227,27 +235,29 @@ def fit_label_model(model: Model, patterns: DataFrame) -> Model:
         g = posterior(model, fires, _column(b, "label"))
         return np.concatenate([[(g * n).sum(), n.sum()], (g * n) @ fires, n @ fires])
 
-    for _ in range(ROUNDS):
-        s = _summed(patterns, moments, 2 + 2 * k)
-        toxic, rows = s[0], s[1]
-        if not rows:
-            return model
-        model.prior = float(np.clip(toxic / rows, 1e-4, 0.5))
-        both = np.clip((s[2 : 2 + k] + 0.1) / (toxic + 1), 1e-4, 1 - 1e-4)
-        model.on_toxic, model.on_clean = both, np.clip((s[2 + k :] - s[2 : 2 + k] + 0.1) / (rows - toxic + 1), 1e-5, 1 - 1e-4)
-
     def pairs(b: pa.RecordBatch) -> np.ndarray:
         fires, n = _bits(_column(b, "mask"), k), _column(b, "n").astype(float)
         g = posterior(model, fires, _column(b, "label"))
-        return np.concatenate([((fires * (g * n)[:, None]).T @ fires).reshape(-1), ((fires * ((1 - g) * n)[:, None]).T @ fires).reshape(-1)])
-
-    second = _summed(patterns, pairs, 2 * k * k).reshape(2, k, k)
-    load = np.zeros((k, k))
-    for m, rate, size in ((second[0], model.on_toxic, toxic), (second[1], model.on_clean, rows - toxic)):
-        spread = np.sqrt(rate * (1 - rate))
-        load = np.maximum(load, (m / max(size, 1) - np.outer(rate, rate)) / np.outer(spread, spread))
-    np.fill_diagonal(load, 0)
-    model.shared = 1 / (1 + np.where(load > 0.1, load, 0).sum(1))
+        sides = [g * n, (1 - g) * n]
+        return np.concatenate([x for w in sides for x in ([w.sum()], w @ fires, ((fires * w[:, None]).T @ fires).reshape(-1))])
+
+    for _ in range(TURNS):
+        load = np.zeros((k, k))
+        for side in _summed(patterns, pairs, 2 * (1 + k + k * k)).reshape(2, -1):
+            n = max(side[0], 1.0)
+            rate = np.clip(side[1 : 1 + k] / n, 1e-4, 1 - 1e-4)
+            spread = np.sqrt(rate * (1 - rate))
+            load = np.maximum(load, (side[1 + k :].reshape(k, k) / n - np.outer(rate, rate)) / np.outer(spread, spread))
+        np.fill_diagonal(load, 0)
+        model.shared = 1 / (1 + np.where(load > ALIKE, load, 0).sum(1))
+        for _ in range(ROUNDS // TURNS):
+            s = _summed(patterns, moments, 2 + 2 * k)
+            toxic, rows = s[0], s[1]
+            if not rows:
+                return model
+            model.prior = float(np.clip(toxic / rows, 1e-4, 0.5))
+            both = np.clip((s[2 : 2 + k] + 0.1) / (toxic + 1), 1e-4, 1 - 1e-4)
+            model.on_toxic, model.on_clean = both, np.clip((s[2 + k :] - s[2 : 2 + k] + 0.1) / (rows - toxic + 1), 1e-5, 1 - 1e-4)
     return model
 
 
@@ -265,7 +275,8 @@ def fit_classifier(model: Model, rows: DataFrame, ridge: float = 2.0) -> Model:
         x = _inputs(b.column("rates").flatten().to_numpy().reshape(b.num_rows, k), model)
         y = posterior(model, _bits(_column(b, "mask"), k), _column(b, "label"))
         p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-        return np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).reshape(-1), x.T @ (y - p)])
+        w = np.where(_column(b, "label") < 0, UNLABELLED, 1.0)
+        return np.concatenate([((x * (w * p * (1 - p))[:, None]).T @ x).reshape(-1), x.T @ (w * (y - p))])
 
     for _ in range(STEPS):
         s = _summed(rows, step, size * size + size)
