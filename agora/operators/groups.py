@@ -21,20 +21,38 @@ def positions(votes: DataFrame, units: list, c: VoteCols = VoteCols()) -> DataFr
     return of.select(c.participant, F.array(*(F.coalesce(F.try_element_at("_m", F.lit(u)), F.lit(0.0)) for u in units)).alias("v"))
 
 
+def group_quality(rows: DataFrame, group: str, vector: str, k: int) -> DataFrame:
+    """How far apart groups are for their width, one row: n, quality.
+
+    Per group the least mean squared distance of pairs with another group, over that of pairs within (1 for a group of
+    one; groups of equal vectors don't count), averaged over ``k`` and lowered by 1 / (1 + the deviation of sizes). No
+    pairs are made: the mean squared distance follows from means and mean squared lengths.
+    """
+    at = rows.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    of = at.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("c"), F.sum("q").alias("q")).join(sizes, group)
+    other = of.select(F.col(group).alias("_other"), F.col("c").alias("_c"), F.col("q").alias("_q"))
+    dot = F.aggregate(F.zip_with("c", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    own = F.aggregate(F.transform("c", lambda a: a * a), F.lit(0.0), lambda a, x: a + x)
+    within = F.when(F.col("n") <= 1, 1.0).otherwise(2.0 * F.col("n") / (F.col("n") - 1) * (F.col("q") - own))
+    apart = of.join(other, F.col(group) != F.col("_other")).withColumn("d", F.col("q") + F.col("_q") - 2 * dot)  # k rows each
+    ratio = apart.groupBy(group).agg(F.min("d").alias("d"), F.first(within).alias("w")).filter("w > 1e-12")
+    score = ratio.agg(F.sum(F.col("d") / F.col("w")).alias("s"))
+    mean = F.sum("n") / k
+    spread = sizes.agg(F.sum("n").alias("n"), F.sqrt((F.sum(F.col("n") * F.col("n")) - F.sum("n") * mean) / k).alias("sd"))
+    return score.crossJoin(spread).select("n", (F.coalesce("s", F.lit(0.0)) / k / (1 + F.col("sd"))).alias("quality"))
+
+
 def opinion_groups(votes: DataFrame, k: int | None = None, c: VoteCols = VoteCols()) -> DataFrame:
-    """Per participant: its group, from 0 by size. k: 2 to 5, the one whose groups are most apart for their width; 2 for fewer than ten participants."""
+    """Per participant: its group, from 0 by size. k: 2 to 5, the one of the best ``group_quality``; 2 for fewer than ten participants."""
     units = [r[0] for r in votes.select(c.unit).distinct().orderBy(c.unit).collect()]  # columns of the matrix
     rows = positions(votes, units, c).withColumn("features", array_to_vector("v")).persist()
     n = rows.count()
     best, fitted = -1.0, None
-    for tried in ([k] if k else [2] if n < 10 else [2, 3, 4, 5]):
+    tries = [k] if k else [2] if n < 10 else [2, 3, 4, 5]
+    for tried in tries:
         model = KMeans(k=max(2, min(tried, max(2, n))), seed=SEED, maxIter=ROUNDS, tol=TOLERANCE, featuresCol="features", predictionCol="_g").fit(rows)
-        sizes, centres = [float(s) for s in model.summary.clusterSizes], model.clusterCenters()
-        apart = [min(math.dist(a, b) for j, b in enumerate(centres) if j != i) if len(centres) > 1 else 0.0 for i, a in enumerate(centres)]
-        width = math.sqrt(model.summary.trainingCost / max(n, 1)) or 1e-9
-        mean = sum(sizes) / len(sizes)
-        spread = math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)) / max(mean, 1)
-        quality = sum(apart) / len(apart) / width / (1 + math.sqrt(spread))
+        quality = group_quality(model.transform(rows), "_g", "v", tried).first()["quality"] if len(tries) > 1 else 0.0
         if quality > best:
             best, fitted = quality, model
     out = fitted.transform(rows).select(c.participant, "_g")

@@ -35,6 +35,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], policy: dict[str
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds rows whose keys aren't there yet; of several new rows with equal keys the least stays."""
+    new = new.groupBy(*keys).agg(F.min(F.struct(*(c for c in new.columns if c not in keys), F.lit(0))).alias("_n")).select(*(F.col(c) if c in keys else F.col(f"_n.{c}").alias(c) for c in new.columns))
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns), allowMissingColumns=True)
 
 
@@ -83,3 +85,18 @@ def numbered_slugs(rows: DataFrame, base: str, order: str, taken: DataFrame | No
         top = taken.groupBy(stem.alias(base)).agg(F.max(number).alias("_top"))
         out = out.join(top, base, "left").withColumn("_n", F.col("_n") + F.coalesce(F.col("_top") + 1, F.lit(0))).drop("_top")
     return out.withColumn("slug", F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string")))).drop("_n")
+
+
+def copied(rows: DataFrame, id: str, **changes: Column) -> DataFrame:
+    """Rows to be inserted anew, with what they are copies of: ``changes`` set columns, the id goes to copied_from_id."""
+    return rows.withColumn("copied_from_id", F.col(id)).drop(id).withColumns(changes)
+
+
+def inserted_or_existing(inserted: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """New rows, and the existing ones whose keys are not among them, with ``found``."""
+    return inserted.withColumn("found", F.lit("inserted")).unionByName(unmatched(existing, inserted, keys).withColumn("found", F.lit("existing")))
+
+
+def bulk_load(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Writes a fresh table, in folders by ``by`` columns if any; what stood there goes."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -48,3 +48,17 @@ def latest_per(rows: DataFrame, keys: tuple[str, ...], ts: str, tie: str) -> Dat
     """The last row of each key: what DISTINCT ON says elsewhere."""
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie).desc())
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def guide_report(races: DataFrame, candidates: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Every candidate of every race with the latest submission (``last_at``, null for none) and their number.
+
+    ``races``: race; ``candidates``: race, candidate; ``submissions``: candidate, at. Submissions are summed before they are joined.
+    """
+    last = submissions.groupBy("candidate").agg(F.max("at").alias("last_at"), F.count("*").alias("n_submissions"))
+    return races.join(candidates, "race").join(last, "candidate", "left").fillna(0, ["n_submissions"])
+
+
+def write_csv(report: DataFrame, path: str) -> None:
+    """A report as CSV with a header, one file per partition; quotes within values are doubled."""
+    report.write.mode("overwrite").csv(path, header=True, escape='"')

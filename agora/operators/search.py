@@ -50,9 +50,35 @@ def websearch(text: Column, query: str) -> Column:
     return out if not groups else out & text.isNotNull()
 
 
-def frequency(text: Column, words: list[str]) -> Column:
-    """How many of a text's words are among the query's."""
-    return F.size(F.filter(tokens(F.coalesce(text, F.lit(""))), lambda w: w.isin(words)))
+def rank(text: Column, words: list[str]) -> Column:
+    """How often a text holds any of the words, lowered to below 1; null for never, so that it sorts last.
+
+    Words are compared as they stand, without stemming.
+    """
+    n = F.size(F.filter(tokens(F.coalesce(text, F.lit(""))), lambda w: w.isin(words)))
+    return F.when(n > 0, n / (n + 1))
+
+
+def by_popularity(rows: DataFrame, ranks: list[str], popularity: str, tie: str, limit: int = 20) -> DataFrame:
+    """Search results by their ranks (ascending, null last), then the most popular first, null last."""
+    return rows.orderBy(*(F.asc_nulls_last(r) for r in ranks), F.desc_nulls_last(popularity), tie).limit(limit)
+
+
+def word_similarity(text: Column, query: str) -> Column:
+    """The greatest share of trigrams in common between a text and any run of the query's trigrams."""
+    grams = [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", query.lower()) for i in range(len(w) + 1)]
+    if not grams:
+        return F.lit(0.0)
+    have = trigrams(text)
+    hits = F.transform(F.array(*map(F.lit, grams)), lambda g: F.array_contains(have, g).cast("int"))
+    sums = F.aggregate(hits, F.array(F.lit(0)), lambda a, h: F.concat(a, F.array(F.element_at(a, -1) + h)))
+    n = len(grams)
+
+    def best(p: Column) -> Column:
+        share = lambda s, e: (F.get(p, e) - F.get(p, s)) / (F.size(have) + e - s - (F.get(p, e) - F.get(p, s)))
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.array_max(F.transform(F.sequence(s + 1, F.lit(n)), lambda e: share(s, e)))))
+
+    return F.coalesce(F.element_at(F.transform(F.array(sums), best), 1), F.lit(0.0))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float) -> DataFrame:
@@ -98,9 +124,15 @@ def nickname_search(rows: DataFrame, column: str, query: str, pairs: list[tuple[
 
 
 def related(rows: DataFrame, text: str, query: str, votes: Column, least: float = 0.1, limit: int = 5, tie: str = "id") -> DataFrame:
-    """Texts like a query: trigrams and shared words, more for texts with votes; those above ``least``, best first."""
-    wanted = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS})
-    alike = similarity(F.col(text), F.lit(query))
-    terms = F.size(F.array_intersect(tokens(F.col(text)), F.array(*map(F.lit, wanted)))) / max(1, len(wanted)) if wanted else F.lit(0.0)
-    score = (0.6 * alike + 0.4 * terms) * (1 + F.log(F.greatest(votes, F.lit(1))))
-    return rows.withColumn("score", score).filter(F.col("score") > least).orderBy(F.desc("score"), tie).limit(limit)
+    """Texts like a query, best first: those whose score is above ``least``.
+
+    Looked at are texts with a similarity over 0.1, with the query in them, or with one of its words. The score is 0.4 of
+    the similarity, 0.4 of the words' ``rank`` and 0.2 of what ``word_similarity`` leaves to 1, raised by the logarithm
+    of the votes.
+    """
+    words = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS})
+    alike = similarity(F.lower(F.col(text)), F.lit(query.lower()))
+    found = rank(F.col(text), words)
+    looked_at = rows.withColumns({"_alike": alike, "_rank": F.coalesce(found, F.lit(0.0))}).filter((F.col("_alike") > 0.1) | F.lower(F.col(text)).contains(query.lower()) | (F.col("_rank") > 0))
+    score = (0.4 * F.col("_alike") + 0.4 * F.col("_rank") + 0.2 * (1 - word_similarity(F.lower(F.col(text)), query))) * (1 + F.ln(F.greatest(votes, F.lit(1)).cast("double")))
+    return looked_at.withColumn("score", score).drop("_alike", "_rank").filter(F.col("score") > least).orderBy(F.desc("score"), tie).limit(limit)

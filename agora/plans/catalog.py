@@ -544,13 +544,6 @@ def nickname_search(spark, sf_dir):
     return search.nickname_search(read(spark, sf_dir, "part").select("p_name").distinct(), "p_name", "red", [("red", "rose")])
 
 
-@query()
-def related_statements(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").withColumn("votes", F.lit(1))
-    first = b.orderBy("item_id").select("text").first()
-    return search.related(b, "text", first[0] if first else "", F.col("votes"), tie="item_id").select("item_id", F.round("score", 6).alias("score"))
-
-
 @query("SELECT c_custkey, a FROM (SELECT c_custkey, c_acctbal AS x, (c_custkey % 100)::DOUBLE AS y FROM customer), (VALUES ('low', 0, 10, 2000, 60), ('high', 1500, 30, 9000, 95)) r(a, x0, y0, x1, y1) WHERE x > x0 AND x < x1 AND y > y0 AND y < y1 AND y <> y0")
 def points_in_areas(spark, sf_dir):
     box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]

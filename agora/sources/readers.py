@@ -46,7 +46,7 @@ def results_xml(spark: SparkSession, path: str) -> DataFrame:
     races = spark.read.format("xml").option("rowTag", "Race").schema(schema).load(path)
     votes = lambda c: F.coalesce(c["_earlyBallotsCast"], F.lit(0)) + F.coalesce(c["_ballotsCast"], F.lit(0))
     total = F.aggregate(F.transform(F.coalesce("Candidate", F.array()), votes), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    rows = races.withColumn("total_votes", total).withColumn("c", F.explode("Candidate"))
+    rows = races.withColumn("total_votes", total).withColumn("c", F.explode_outer("Candidate"))
     return rows.select(
         F.col("_name").alias("office_name"), F.col("_key").alias("office_key"), F.col("c._name").alias("candidate_name"), F.col("c._key").alias("candidate_key"),
         F.col("_precinctsReported").alias("precincts_reporting"), F.col("_precinctsParticipating").alias("precincts_total"),
