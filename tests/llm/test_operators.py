@@ -462,7 +462,30 @@ def test_passages_against_brute_force(spark):
     assert len(pairs) == 60
     for i, j, (a, b, ra, rb, _) in pairs:
         assert len(covered[i] & set(range(a, b + 5))) > (b - a) / 2 and len(covered[j] & set(range(ra, rb + 5))) > (rb - ra) / 2
-    # what stars leave: of every passage, rare shingles lead to the partner
-    left = passages.windows(docs).withColumn("need", F.lit(True))
-    candidates = {(r["doc_id"], r["rep"]) for r in passages._rare(left, docs, Workspace(spark, "p")).collect()}
-    assert {(i, j) for i, j, _ in pairs} <= candidates
+    # what stars leave: of every passage, rare shingles lead to the partner, and its windows stay viable
+    ws = Workspace(spark, "p")
+    left = passages.windows(passages.sketches(docs)).withColumn("open", F.col("cs"))
+    left = left.join(passages._centres(left).select("value"), "value", "left_semi")
+    for rows in (left, passages._viable(left, docs, ws)):
+        candidates = {(r["doc_id"], r["rep"]) for r in passages._rare(rows, docs, ws).collect()}
+        assert {(i, j) for i, j, _ in pairs} <= candidates
+
+
+def test_exact_passages_with_repeats_inside(spark):
+    """A passage of equal words is found whatever repeats around it: its partner holds its first part twice, or all of it several times."""
+    rng = np.random.default_rng(9)
+    fill = lambda n: [f"z{v}" for v in rng.integers(0, 1 << 40, n)]
+    rows, want = [], []
+    for k in range(40):
+        p = [f"p{k}x{i}" for i in range(58 if k % 2 else 118)]
+        rows.append((2 * k, " ".join(fill(20) + p[:30] + fill(25) + p + fill(9) + (p if k % 3 else []))))
+        rows.append((2 * k + 1, " ".join(fill(11) + p + fill(30))))
+        want.append((2 * k + 1, 11, len(p)))
+    rows += [(100 + i, t) for i, t in ((0, " ".join(fill(80))), (1, rows[1][1]), (2, rows[1][1].upper()))]
+    covered: dict = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), Workspace(spark, "p")).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        covered.setdefault(r["rep_doc_id"], set()).update(range(r["rep_start_word"], r["rep_start_word"] + r["rep_n_words"]))
+    for i, start, n in want:
+        assert set(range(start, start + n)) <= covered.get(i, set()), i
+    assert covered[101] == covered[102] == set(range(len(rows[1][1].split()))) and 100 not in covered
