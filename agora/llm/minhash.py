@@ -171,7 +171,7 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns aren't read): doc_id, n_shingles, component_id, kept.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal ids count as one document
+    Null, empty and blank texts have no shingles and are linked with nothing; very long ones are compared whole. Rows with equal ids count as one document
     for links and each get a row. Of a component the row with the least doc_id is kept. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -180,19 +180,18 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     ours = sketched.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     banded = ours.select("doc_id", F.explode("bands").alias("bucket"))
     centres = ws.keep(banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre <> last").select("bucket", "centre"), "centres")
-    members = ws.keep(banded.join(centres, "bucket"), "members")
-    pairs = members.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = ws.keep(pairs, "pairs")
-    involved = ws.keep(members.select("doc_id").distinct(), "involved")
+    starred = ws.keep(banded.join(centres, "bucket"), "starred")
+    first_pairs = ws.keep(starred.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    involved = ws.keep(starred.select("doc_id").distinct(), "involved")
     ws.sweep()
     texts = ws.keep(docs.join(involved, "doc_id", "left_semi"), "texts")
     ws.sweep()
-    tested = ws.keep(confirm(pairs, texts), "tested")
+    tested = ws.keep(confirm(first_pairs, texts), "tested")
     ws.sweep()
     links = tested.filter("linked").select("a", "b")
     labels = ws.keep(components(links, ws), "labels")
     # a centre has met all others of its bucket and leaves; buckets within one component are done
-    labelled = members.filter("doc_id <> centre").select("bucket", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = starred.filter("doc_id <> centre").select("bucket", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     left = ws.keep(labelled.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "left")
     open_ones = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     members = ws.keep(left.join(open_ones, "bucket", "left_semi").select("doc_id", "label").distinct(), "members")
@@ -200,6 +199,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     more = ws.keep(confirm(pairs, texts).filter("linked").select("a", "b"), "tested")
     if not more.isEmpty():
         labels = ws.keep(components(links.unionByName(more), ws), "labels")
+    # what the result reads is sketched, classes and labels
+    ws.drop(centres, starred, first_pairs, involved, texts, tested, left, members, pairs, more)
     keyed = sketched.drop("bands").join(classes, ["k1", "k2"], "left")
     named = keyed.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     # an empty set has a class of its own
