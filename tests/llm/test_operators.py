@@ -462,12 +462,12 @@ def test_passages_against_brute_force(spark):
     assert len(pairs) == 60
     for i, j, (a, b, ra, rb, _) in pairs:
         assert len(covered[i] & set(range(a, b + 5))) > (b - a) / 2 and len(covered[j] & set(range(ra, rb + 5))) > (rb - ra) / 2
-    # what stars leave: of every passage, rare shingles lead to the partner, and its windows stay viable
+    # what stars leave: of every passage, an open value leads to the partner, and its windows stay viable
     ws = Workspace(spark, "p")
     left = passages.windows(passages.sketches(docs)).withColumn("open", F.col("cs"))
     left = left.join(passages._centres(left).select("value"), "value", "left_semi")
     for rows in (left, passages._viable(left, docs, ws)):
-        candidates = {(r["doc_id"], r["rep"]) for r in passages._rare(rows, docs, ws).collect()}
+        candidates = {(r["doc_id"], r["rep"]) for r in passages._open_pairs(rows).collect()}
         assert {(i, j) for i, j, _ in pairs} <= candidates
 
 
