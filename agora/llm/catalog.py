@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, neighbours, packing, passages, quality, secrets, toxicity, warc
+from . import alignment, lines, lm, minhash, mixing, neighbours, packing, passages, quality, secrets, toxicity, warc, whitening
 from .common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,14 +65,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def tokenizer_path() -> str:
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), Workspace(spark, "op11"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), Workspace(spark, "op12"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Workspace(spark, "op13"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def queries() -> dict[str, Query]:
-    all_of = (op1_secrets, op2_toxicity, op3_warc, op4_repeated_passages, op5_near_dedup, op6_quality_rules, quality_statistics, op7_nearest, op8_line_dedup, op9_packing, op10_mixing)
+    all_of = (op1_secrets, op2_toxicity, op3_warc, op4_repeated_passages, op5_near_dedup, op6_quality_rules, quality_statistics, op7_nearest, op8_line_dedup, op9_packing, op10_mixing, op11_lm_scores, op12_alignment, op13_whitening)
     return {f.__name__: f for f in all_of}
 
 
