@@ -7,8 +7,9 @@ token, a link. Counts of linked pairs come from a grouping of all documents.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,68 +21,56 @@ from .common import Workspace, chunks, let
 
 #: Pairs of ids sent to the tasks at once; of more, those that are in over a share of 1 / PAIRS of all (so fewer) are, the rest is joined.
 PAIRS = 2_000_000
-#: Bytes of a worker's store of text pieces, with about so many a piece besides its letters and ids; longer pieces are not kept.
-_CACHE_BYTES, _PIECE_BYTES, _CACHE_CHARS = 80_000_000, 420, 40
-#: Texts may be cut before a blank that follows something other than white space: no token of either tokenizer crosses that place.
-_CUT = re.compile(r"(?<=\S)(?= )")
 _SPACE = "▁"
+#: Fixed value: how a byte-level vocabulary of this kind cuts texts before it merges bytes.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 class Aligner:
-    """Ids and byte lengths of the tokens of both tokenizers, piece by piece, with a bounded store of pieces seen."""
+    """Ids of both tokenizers, and where their tokens end."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        size = self.a.get_vocab_size()
-        letters = _byte_letters()
-        self.a_bytes = [_decoded(self.a.id_to_token(i) or "", letters) for i in range(size)]
+        self.a = _byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.by_piece = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces)
-        self.known: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
-        self.held = 0
-
-    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes, bytes, bytes] | None]:
-        """Per piece, which begins with a blank: ids and lengths of A, ids and lengths of B; None where either loses or changes bytes."""
-        out: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
-        for start in range(0, len(pieces), 10_000):
-            part = pieces[start : start + 10_000]
-            for piece, a, b in zip(part, self.a.encode_batch(part, add_special_tokens=False), self.b.encode([p[1:] for p in part], num_threads=1), strict=True):
-                raw = piece.encode()
-                a_of, b_of = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b]
-                same = b"".join(a_of) == raw == b"".join(b_of)
-                out[piece] = (_ints(a.ids), _ints(map(len, a_of)), _ints(b), _ints(map(len, b_of))) if same else None
+        self.b_flat, self.b_start, self.b_size = _flat([_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: the ids of all texts and their byte lengths, end to end, and the n + 1 places where texts begin.
+
+        A text that is null or empty, or whose bytes B changes, has none.
+        """
+        given = [t or "" for t in texts]
+        raw = [(" " + t).encode() for t in given]
+        a = [self.a[0](" " + t) if t else [] for t in given]
+        b = self.b.encode(given, num_threads=1)
+        ids = [np.fromiter(chain.from_iterable(x), np.int32) for x in (a, b)]
+        at = [np.concatenate([[0], np.cumsum([len(x) for x in y])]) for y in (a, b)]
+        sizes = [self.a[1][ids[0]], self.b_size[ids[1]]]
+        same = np.array([bool(t) for t in given], bool) & self._same(raw, ids[1], sizes[1], at[1])
+        out = []
+        for k in range(2):
+            keep, count = np.repeat(same, np.diff(at[k])), np.where(same, np.diff(at[k]), 0)
+            out.append((ids[k][keep], sizes[k][keep], np.concatenate([[0], np.cumsum(count)])))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes, bytes] | None]:
-        """None for texts without tokens: null, empty, or changed by either tokenizer."""
-        split = [None if not t else _CUT.split(" " + t) if self.by_piece else [" " + t] for t in texts]
-        known = self.known
-        new = list({p for pieces in split if pieces for p in pieces if p not in known})
-        fresh = self.learn(new) if new else {}
-        out: list[tuple[bytes, bytes, bytes, bytes] | None] = []
-        for pieces in split:
-            parts = [fresh[p] if p in fresh else known[p] for p in pieces] if pieces else [None]
-            out.append(None if None in parts else tuple(map(b"".join, zip(*parts, strict=True))))
-        self._store(fresh)
-        return out
+    def _same(self, raw: list[bytes], ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the bytes of B's tokens are a text's own; those of A always are."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        body = self.b_flat[np.arange(ends[-1]) + np.repeat(self.b_start[ids] - ends[:-1], sizes)].tobytes()
+        return np.array([body[ends[x] : ends[y]] == r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)], bool)
+
 
-    def _store(self, fresh: dict) -> None:
-        kept = {p: v for p, v in fresh.items() if len(p) <= _CACHE_CHARS}
-        self.held += sum(_PIECE_BYTES + len(p) + (sum(map(len, v)) if v else 0) for p, v in kept.items())
-        if self.held > _CACHE_BYTES:
-            self.known, self.held = {}, 0
-        self.known.update(kept)
+def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def _ints(values) -> bytes:
-    return np.fromiter(values, "<i4").tobytes()
+def _piece_bytes(model, i: int) -> bytes:
+    piece = model.id_to_piece(i)
+    return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
 
 def _byte_letters() -> dict[str, int]:
@@ -91,8 +80,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _decoded(token: str, letters: dict[str, int]) -> bytes:
-    return bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+def _byte_level(path: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
+    """What encodes a text with a byte-level vocabulary, special tokens' strings as plain text, and each id's number of bytes.
+
+    Where merges stand in the order of their ids, a faster encoder over the same vocabulary gives the same ids.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    letters = _byte_letters()
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    told = json.loads(slow.to_str())
+    ranks = {bytes(letters[c] for c in t): i for t, i in told["model"]["vocab"].items() if all(c in letters for c in t)}
+    sizes = np.zeros(max(told["model"]["vocab"].values()) + 1, np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in told["model"]["merges"]]
+    in_order = [told["model"]["vocab"][m] for m in merged]
+    own = told["pre_tokenizer"] or {}
+    if in_order == sorted(in_order) and len(ranks) == 256 + len(merged) and told["normalizer"] is None and own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space"):
+        return tiktoken.Encoding("own", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
+    return lambda t: slow.encode(t, add_special_tokens=False).ids, sizes
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -104,13 +113,11 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         aligner, row = _ALIGNERS[a_path, b_path], TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in chunks(whole, "text"):
-                found = aligner.encode(batch.column("text").to_pylist())
                 columns = []
-                for k in range(4):
-                    parts = [np.frombuffer(f[k], "<i4") if f else np.zeros(0, "<i4") for f in found]
-                    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                    flat = np.concatenate([np.cumsum(p, dtype=np.int32) if k % 2 else p for p in parts]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
+                for ids, sizes, at in aligner.encode(batch.column("text").to_pylist()):
+                    total = np.concatenate([[0], np.cumsum(sizes)])
+                    ends = total[1:] - np.repeat(total[at[:-1]], np.diff(at))
+                    columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
                 yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *columns], ["row", "doc_id", "a", "a_end", "b", "b_end"])
@@ -120,40 +127,37 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _token_at(ends):
     """Per byte the number (from 0) of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
+    size = lambda i: F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.array_repeat(i, size(i))))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and ``links``: per overlap A's id in the upper half of a long, B's in the lower."""
     a, b, a_end, b_end = (F.col(c) for c in ("a", "b", "a_end", "b_end"))
-    ids = lambda held, at, start, end: F.array_join(F.slice(held, F.get(at, start) + 1, F.get(at, end - 1) - F.get(at, start) + 1), ",")
 
-    def groups(common, at_a, at_b, of_a, of_b):
-        def one(k):
-            start, end = F.coalesce(F.get(common, k - 1), F.lit(0)), F.get(common, k)
-            return F.concat(ids(of_a, at_a, start, end), F.lit("|"), ids(of_b, at_b, start, end))
+    def parts(ids, ends, other):
+        """The ids of each group, comma-joined: after a token whose end is one of the other tokenizer's too, a group ends."""
 
-        return F.sha2(F.array_join(F.transform(F.sequence(F.lit(0), F.size(common) - 1), one), ";"), 256)
+        def one(id, i):
+            end = F.get(ends, i)
+            return F.concat(id, F.when(F.get(other, end - 1).eqNullSafe(F.get(other, end)), ",").otherwise(";"))
+
+        said = F.array_join(F.transform(ids.cast("array<string>"), one), "")
+        return F.split(F.rtrim(said, F.lit(";")), ";")
+
+    def groups(at_a, at_b):
+        both = F.zip_with(parts(a, a_end, at_b), parts(b, b_end, at_a), lambda x, y: F.concat(x, F.lit("|"), y))
+        return F.sha2(F.array_join(both, ";"), 256)
 
     def links(at_a, at_b):
         pair = lambda e: F.shiftleft(F.get(a, F.get(at_a, e - 1)).cast("bigint"), 32) + F.get(b, F.get(at_b, e - 1))
         return F.transform(F.sort_array(F.array_union(a_end, b_end)), pair)
 
-    def both(common):
-        def of(at_a):
-            return let(
-                _token_at(b_end),
-                lambda at_b: F.struct(
-                    F.size(common).cast("bigint").alias("n_groups"),
-                    let(a.cast("array<string>"), lambda of_a: let(b.cast("array<string>"), lambda of_b: groups(common, at_a, at_b, of_a, of_b))).alias("groups_sha256"),
-                    links(at_a, at_b).alias("links"),
-                ),
-            )
-
-        return let(_token_at(a_end), of)
+    def both(at_a, at_b):
+        return F.struct(F.size(F.array_intersect(a_end, b_end)).cast("bigint").alias("n_groups"), groups(at_a, at_b).alias("groups_sha256"), links(at_a, at_b).alias("links"))
 
     nothing = F.struct(F.lit(0).cast("bigint").alias("n_groups"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("links"))
-    found = F.when(F.size(a) > 0, let(F.array_intersect(a_end, b_end), both)).otherwise(nothing)
+    found = F.when(F.size(a) > 0, let(_token_at(a_end), lambda at_a: let(_token_at(b_end), lambda at_b: both(at_a, at_b)))).otherwise(nothing)
     out = tokens.select("row", "doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), found.alias("_f"))
     one_each = F.aggregate(F.col("_f.links"), F.lit(0).cast("bigint"), lambda n, _: n + 1)
     return out.select("row", "doc_id", "n_a", "n_b", "_f.n_groups", one_each.alias("n_links"), "_f.groups_sha256", "_f.links")

@@ -28,7 +28,7 @@ BASE, BITS = 1.3, 12
 SEGMENT_TOKENS, COMMON_WORDS = 1_000_000, 65_536
 #: Words whose exact counts are sent to the tasks (16 bytes each): all if they are so many, else those that are over a share
 #: of 1 / WORDS of all tokens, so fewer; the rest is joined. Filters of up to so many bytes are sent to the tasks.
-WORDS, FILTER_BYTES = 4_000_000, 256_000_000
+WORDS, FILTER_BYTES = 4_000_000, 192_000_000
 #: Pairs counted together before they are shuffled; bytes of probes a task holds at once (filters that are not broadcast).
 FLUSH, PROBE_BYTES = 1_500_000, 16_000_000
 
@@ -323,13 +323,40 @@ def train(docs: DataFrame, words: DataFrame, ws: Workspace) -> tuple[Model, Data
     return Model(layout, tokens, vocabulary, value), segments.select("segment", "bits").unionByName(last)
 
 
+def _fill(rows: DataFrame, held: np.ndarray) -> None:
+    """Rows of a bounded table of longs, fetched as bytes a batch at a time, so that the driver holds them once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in b.columns]).tobytes()], pa.binary())], ["b"])
+
+    at = 0
+    for row in rows.mapInArrow(pack, "b binary").toLocalIterator():
+        part = np.frombuffer(row["b"], np.int64).reshape(len(held), -1)
+        held[:, at : at + part.shape[1]] = part
+        at += part.shape[1]
+
+
+def _whole_filter(bits: DataFrame, segments: int) -> Filter:
+    """The segments of a bounded filter in one array, fetched one by one."""
+    size = np.zeros(segments + 1, np.int64)
+    for r in bits.select("segment", (F.length("bits") / 8).cast("bigint").alias("n")).collect():
+        size[r["segment"]] = r["n"]
+    start = np.cumsum(size) - size
+    whole = np.zeros(int(size.sum()), np.uint64)
+    for r in bits.toLocalIterator():
+        whole[start[r["segment"]] : start[r["segment"]] + size[r["segment"]]] = np.frombuffer(r["bits"], "<u8")
+    return Filter(whole, start, size)
+
+
 def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame, ws: Workspace, filter_bytes: int = FILTER_BYTES, broadcast_words: int = WORDS) -> DataFrame:
     """row, doc_id, n_tokens, n_known, base_score, score. exact: the ``word_counts``."""
     near = exact if model.vocabulary <= broadcast_words else exact.filter(F.col("n") * broadcast_words > model.tokens)
-    table = near.toArrow()  # at most ``broadcast_words``
-    words = table.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    whole = ws.spark.sparkContext.broadcast((words[order], table.column("n").to_numpy()[order]))
+    held = np.empty((2, near.count()), np.int64)  # at most ``broadcast_words``
+    _fill(near.select("word", "n"), held)
+    held = held[:, np.argsort(held[0].view(np.uint64))]
+    whole = ws.spark.sparkContext.broadcast((held[0].view(np.uint64), held[1]))
+    del held
     joined = model.vocabulary > broadcast_words
     below = model.tokens + ADDED * (model.vocabulary + 1)
 
@@ -358,9 +385,7 @@ def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame,
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = bits.agg(F.sum(F.length("bits"))).first()[0]
     if size <= filter_bytes:
-        found = bits.toArrow()
-        parts = {i: np.frombuffer(b, "<u8") for i, b in zip(found.column("segment").to_pylist(), found.column("bits").to_pylist(), strict=True)}
-        shared = ws.spark.sparkContext.broadcast(Filter.of(parts, model.layout.segments))
+        shared = ws.spark.sparkContext.broadcast(_whole_filter(bits, model.layout.segments))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = TaskContext.get().partitionId() << 33
