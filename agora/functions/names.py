@@ -25,6 +25,11 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), "[\\u0300-\\u036F]", "")
 
 
+def slug_of_words(text: Column) -> Column:
+    """Letters without their marks and digits in small letters, one hyphen for whatever stands between."""
+    return F.btrim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.text import similarity, slugify
 from agora.operators.merge import numbered_slugs, unmatched, upsert
+from agora.operators.storage import components
 
 
 def primary_winners(results: DataFrame, races: DataFrame) -> DataFrame:
@@ -112,14 +113,16 @@ def resolve(staged: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def same_persons(filings: DataFrame) -> DataFrame:
-    """Filings with the slug of the person they are of: filings of one base slug are one person's if they share the email, else the address.
-
-    ``filings``: id, base, email, address. Persons of a base are numbered by their least filing.
-    """
-    person = F.coalesce(F.nullif(F.lower(F.trim("email")), F.lit("")), F.nullif(F.lower(F.trim("address")), F.lit("")), F.concat(F.lit("filing "), F.col("id").cast("string")))
-    rows = filings.withColumn("_person", person)
-    persons = numbered_slugs(rows.groupBy("base", "_person").agg(F.min("id").alias("_first")), "base", "_first")
-    return rows.join(persons.select("base", "_person", "slug", "_first"), ["base", "_person"]).select("id", "slug", (F.col("id") != F.col("_first")).alias("repeated"))
+    """Filings with the slug of the person they are of: those of one base that share an e-mail or an address, straight or
+    through others, are one person's. ``filings``: id, base, email, address; blank ones are none, case and blanks around
+    don't count. Persons of a base are numbered by their least filing; ``repeated``: it isn't this one, ``first_id``."""
+    plain = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = filings.withColumns({"_email": plain("email"), "_address": plain("address")})
+    alike = [rows.filter(F.col(c).isNotNull()).groupBy("base", c).agg(F.min("id").alias("b")).join(rows, ["base", c]).select(F.col("id").alias("a"), "b") for c in ("_email", "_address")]
+    edges = alike[0].union(alike[1]).union(rows.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    of = components(edges).withColumnRenamed("component", "first_id")
+    persons = numbered_slugs(filings.join(of.select(F.col("first_id").alias("id")).distinct(), "id").select("base", F.col("id").alias("first_id")), "base", "first_id")
+    return of.join(persons.select("first_id", "slug"), "first_id").select("id", "slug", "first_id", (F.col("id") != F.col("first_id")).alias("repeated"))
 
 
 def bill_status(code: Column) -> Column:

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut, ranked
 from .votes import VoteCols, latest
 
 SEED, ROUNDS, TOLERANCE = 11, 100, 1e-4
 
 
-def positions(votes: DataFrame, units: list, c: VoteCols = VoteCols()) -> DataFrame:
-    """Per participant the vector of votes on ``units``: 1 support, -1 oppose, 0 neutral or none."""
+def positions(votes: DataFrame, c: VoteCols = VoteCols()) -> DataFrame:
+    """Sparse rows (participant, unit, x) of the latest votes: 1 support, -1 oppose, 0 neutral."""
     sign = F.when(F.col(c.position) == c.values[0], 1.0).when(F.col(c.position) == c.values[2], -1.0).otherwise(0.0)
-    of = latest(votes, c).groupBy(c.participant).agg(F.map_from_entries(F.collect_list(F.struct(c.unit, sign))).alias("_m"))
-    return of.select(c.participant, F.array(*(F.coalesce(F.try_element_at("_m", F.lit(u)), F.lit(0.0)) for u in units)).alias("v"))
+    return latest(votes, c).select(c.participant, c.unit, sign.alias("x"))
 
 
 def group_quality(rows: DataFrame, group: str, vector: str, k: int) -> DataFrame:
@@ -43,19 +41,123 @@ def group_quality(rows: DataFrame, group: str, vector: str, k: int) -> DataFrame
     return score.crossJoin(spread).select("n", (F.coalesce("s", F.lit(0.0)) / k / (1 + F.col("sd"))).alias("quality"))
 
 
+def _seeds(rows: DataFrame, people: DataFrame, k: int, c: VoteCols) -> list:
+    """Participants to start from: one by chance, then each with a chance in proportion to its squared distance from the nearest before."""
+    chance = lambda i: (F.pmod(F.xxhash64(F.col(c.participant).cast("string"), F.lit(SEED + i)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    left = people.withColumn("_d", F.lit(1.0))
+    chosen: list = []
+    for i in range(k):
+        # of exponential waiting times with these rates the least one's is each with a chance in proportion to its rate
+        best = left.filter("_d > 1e-12").orderBy(-F.log(chance(i)) / F.col("_d"), c.participant).select(c.participant).first()
+        if best is None:
+            break
+        chosen.append(best[0])
+        own = rows.filter(F.col(c.participant) == F.lit(best[0])).select(c.unit, F.col("x").alias("_y"))
+        size = own.agg(F.coalesce(F.sum(F.col("_y") * F.col("_y")), F.lit(0.0)).alias("_s"))
+        dot = rows.join(own, c.unit).groupBy(c.participant).agg(F.sum(F.col("x") * F.col("_y")).alias("_dot"))
+        near = people.join(dot, c.participant, "left").crossJoin(F.broadcast(size)).select(c.participant, (F.col("q") + F.col("_s") - 2 * F.coalesce("_dot", F.lit(0.0))).alias("_e"))
+        left = left.join(near, c.participant).withColumn("_d", F.least(F.when(F.lit(i == 0), F.col("_e")).otherwise(F.col("_d")), F.col("_e"))).drop("_e")
+    return chosen
+
+
+def _moves(sizes: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(from, to, how many): groups of over twice the least size give to those under it, in order, until one kind is used up."""
+    sizes, out = list(sizes), []
+    large, small = [i for i, n in enumerate(sizes) if n > 2 * least], [i for i, n in enumerate(sizes) if n < least]
+    while large and small:
+        a, b = large[0], small[0]
+        n = min(sizes[a] - least, least - sizes[b])
+        out.append((a, b, n))
+        sizes[a], sizes[b] = sizes[a] - n, sizes[b] + n
+        large, small = large[sizes[a] <= 2 * least :], small[sizes[b] >= least :]
+    return out
+
+
+def _balanced(assigned: DataFrame, t: int, k: int, least: int, c: VoteCols) -> DataFrame:
+    """The members of a group that is too large which are nearest to one that is too small go there, exactly as many as it takes."""
+    counts = dict(assigned.groupBy(F.col(f"g{t}")).count().collect())  # k rows
+    for a, b, n in _moves([counts.get(i, 0) for i in range(k)], least):
+        nearest = ranked(assigned.filter(F.col(f"g{t}") == a).select(c.participant, F.lit(1).alias("_one"), F.get(f"d{t}", F.lit(b)).alias("_d")), ["_one"], [F.col("_d"), F.col(c.participant)])
+        going = nearest.filter(F.col("rank") <= n).select(c.participant, F.lit(b).alias("_to"))
+        assigned = assigned.join(going, c.participant, "left").withColumn(f"g{t}", F.coalesce("_to", f"g{t}")).drop("_to")
+    return assigned
+
+
+def _lloyd(rows: DataFrame, people: DataFrame, n: int, tries: list[int], c: VoteCols) -> DataFrame:
+    """Per participant its group for each number of groups tried, columns g2, g3, ...: rounds for all of them at once.
+
+    Centres are rows (unit, array of all centres' values). Neither votes nor centres pass through the driver, only sizes.
+    """
+    seeds = _seeds(rows, people, max(tries), c)
+    tries = [t for t in tries if t <= len(seeds)] or [max(1, min(len(seeds), tries[0]))]
+    slots = [(t, i) for t in tries for i in range(t)]
+    first = [F.sum(F.when(F.col(c.participant) == F.lit(seeds[i]), F.col("x")).otherwise(0.0)) for _, i in slots]
+    centres = cut(rows.filter(F.col(c.participant).isin(*seeds)).groupBy(c.unit).agg(F.array(*first).alias("m")))
+    for _ in range(ROUNDS):
+        lengths = centres.agg(F.array(*(F.coalesce(F.sum(F.get("m", F.lit(s)) * F.get("m", F.lit(s))), F.lit(0.0)) for s in range(len(slots)))).alias("l"))
+        dots = rows.join(centres, c.unit).groupBy(c.participant).agg(F.array(*(F.sum(F.col("x") * F.get("m", F.lit(s))) for s in range(len(slots)))).alias("p"))
+        apart = people.join(dots, c.participant, "left").crossJoin(F.broadcast(lengths))
+        at = lambda s: F.col("q") + F.get("l", F.lit(s)) - 2 * F.coalesce(F.get("p", F.lit(s)), F.lit(0.0))  # noqa: B023, E731
+        ways = {}
+        for t in tries:
+            own = [s for s, (u, _) in enumerate(slots) if u == t]
+            ways[f"d{t}"] = F.array(*map(at, own))
+        assigned = apart.select(c.participant, *(v.alias(k) for k, v in ways.items()))
+        assigned = cut(assigned.select("*", *((F.array_position(f"d{t}", F.array_min(f"d{t}")) - 1).cast("int").alias(f"g{t}") for t in tries)))
+        sizes = assigned.agg(*(F.count(F.when(F.col(f"g{t}") == i, 1)).alias(f"n{s}") for s, (t, i) in enumerate(slots))).first()
+        for t in tries:
+            mine = [sizes[f"n{s}"] for s, (u, _) in enumerate(slots) if u == t]
+            if _moves(mine, n // (2 * t)):
+                assigned = cut(_balanced(assigned, t, t, n // (2 * t), c))
+                mine = [assigned.filter(F.col(f"g{t}") == i).count() for i in range(t)]
+            sizes = sizes.asDict() if not isinstance(sizes, dict) else sizes
+            sizes |= {f"n{s}": mine[i] for s, (u, i) in enumerate(slots) if u == t}
+        mean = lambda s, t, i: F.sum(F.when(F.col(f"g{t}") == i, F.col("x")).otherwise(0.0)) / max(sizes[f"n{s}"], 1)  # noqa: B023, E731
+        after = rows.join(assigned, c.participant).groupBy(c.unit).agg(F.array(*(mean(s, t, i) for s, (t, i) in enumerate(slots))).alias("m"))
+        after = cut(after)  # a group without members keeps no centre; it gets some by balancing
+        both = after.select(c.unit, F.col("m").alias("_m")).join(centres, c.unit, "left")
+        shift = [F.sum(F.pow(F.get("_m", F.lit(s)) - F.coalesce(F.get("m", F.lit(s)), F.lit(0.0)), F.lit(2))) for s in range(len(slots))]
+        moved = both.agg(F.greatest(*shift, F.lit(0.0)).alias("m")).first()["m"]
+        centres = after
+        if (moved or 0.0) < TOLERANCE:
+            break
+    return assigned.select(c.participant, *(f"g{t}" for t in tries))
+
+
+def _sparse_quality(rows: DataFrame, people: DataFrame, groups: DataFrame, t: int, c: VoteCols) -> float:
+    """``group_quality`` of sparse rows; k x k numbers pass through the driver, no centre."""
+    of = groups.select(c.participant, F.col(f"g{t}").alias("g"))
+    sizes = {r["g"]: (r["n"], r["q"]) for r in people.join(of, c.participant).groupBy("g").agg(F.count("*").alias("n"), F.avg("q").alias("q")).collect()}
+    sums = rows.join(of, c.participant).groupBy("g", c.unit).agg(F.sum("x").alias("s"))
+    dots = {(r["g"], r["h"]): r["p"] for r in sums.join(sums.select(F.col("g").alias("h"), c.unit, F.col("s").alias("_s")), c.unit).groupBy("g", "h").agg(F.sum(F.col("s") * F.col("_s")).alias("p")).collect()}
+    dot = lambda a, b: dots.get((a, b), 0.0) / sizes[a][0] / sizes[b][0]
+    total = 0.0
+    for a, (n, q) in sizes.items():
+        within = 1.0 if n <= 1 else 2.0 * n / (n - 1) * (q - dot(a, a))
+        apart = [q + sizes[b][1] - 2 * dot(a, b) for b in sizes if b != a]
+        if within > 1e-12 and apart:
+            total += min(apart) / within
+    mean = sum(n for n, _ in sizes.values()) / t
+    spread = math.sqrt(max(0.0, sum(n * n for n, _ in sizes.values()) - mean * mean * t) / t) if len(sizes) == t else math.sqrt((sum((n - mean) ** 2 for n, _ in sizes.values()) + (t - len(sizes)) * mean**2) / t)
+    return total / t / (1 + spread)
+
+
 def opinion_groups(votes: DataFrame, k: int | None = None, c: VoteCols = VoteCols()) -> DataFrame:
-    """Per participant: its group, from 0 by size. k: 2 to 5, the one of the best ``group_quality``; 2 for fewer than ten participants."""
-    units = [r[0] for r in votes.select(c.unit).distinct().orderBy(c.unit).collect()]  # columns of the matrix
-    rows = positions(votes, units, c).withColumn("features", array_to_vector("v")).persist()
-    n = rows.count()
-    best, fitted = -1.0, None
+    """Per participant: its group, from 0 by size (ties: the least participant).
+
+    k: 2 to 5, the one of the best ``group_quality``; 2 for fewer than ten participants. Seeds are drawn by hashes, so
+    reruns agree; after each assignment groups of under half the mean size are filled up from those of over the mean size.
+    """
+    rows = cut(positions(votes, c))
+    people = cut(rows.groupBy(c.participant).agg(F.sum(F.col("x") * F.col("x")).alias("q")))
+    n = people.count()
+    if not n:
+        return people.select(c.participant, F.lit(0).alias("group"))
     tries = [k] if k else [2] if n < 10 else [2, 3, 4, 5]
-    for tried in tries:
-        model = KMeans(k=max(2, min(tried, max(2, n))), seed=SEED, maxIter=ROUNDS, tol=TOLERANCE, featuresCol="features", predictionCol="_g").fit(rows)
-        quality = group_quality(model.transform(rows), "_g", "v", tried).first()["quality"] if len(tries) > 1 else 0.0
-        if quality > best:
-            best, fitted = quality, model
-    out = fitted.transform(rows).select(c.participant, "_g")
+    found = _lloyd(rows.filter("x <> 0"), people, n, tries, c)
+    held = [int(x[1:]) for x in found.columns if x != c.participant]
+    best = held[0] if len(held) == 1 else max(held, key=lambda t: (_sparse_quality(rows, people, found, t, c), -t))
+    out = found.select(c.participant, F.col(f"g{best}").alias("_g"))
     order = out.groupBy("_g").agg(F.count("*").alias("_n"), F.min(c.participant).alias("_first"))
     order = order.withColumn("group", F.row_number().over(Window.orderBy(F.desc("_n"), "_first")) - 1)  # five rows at most
     return out.join(F.broadcast(order), "_g").select(c.participant, "group")
@@ -64,7 +166,8 @@ def opinion_groups(votes: DataFrame, k: int | None = None, c: VoteCols = VoteCol
 def characteristic_votes(votes: DataFrame, groups: DataFrame, c: VoteCols = VoteCols(), top: int = 10) -> DataFrame:
     """Per group its most telling units: mean vote, consensus (1 less the spread) and significance (voters over members).
 
-    Neutral votes are left out. Thresholds of 0.3 and 0.5 are lowered by a fifth until some unit passes.
+    Neutral votes are left out. Thresholds of 0.3 and 0.5 are lowered by a fifth until some unit passes; where none ever
+    does, as nobody agrees on anything, the first three stand.
     """
     sign = F.when(F.col(c.position) == c.values[0], 1.0).when(F.col(c.position) == c.values[2], -1.0)
     mine = latest(votes, c).withColumn("_s", sign).filter("_s is not null").join(groups, c.participant)
@@ -76,6 +179,6 @@ def characteristic_votes(votes: DataFrame, groups: DataFrame, c: VoteCols = Vote
     steps = lambda value, bar: F.when(value >= bar, 0.0).otherwise(F.ceil(F.log(value / bar) / math.log(0.8)))
     level = F.when((F.col("consensus") > 0) & (F.col("significance") > 0), F.greatest(steps(F.col("consensus"), 0.3), steps(F.col("significance"), 0.5)))
     w = Window.partitionBy("group")
-    of = of.withColumn("_l", level).withColumn("_m", F.min("_l").over(w)).filter(F.col("_l") == F.col("_m"))
+    of = of.withColumn("_l", level).withColumn("_m", F.min("_l").over(w)).filter(F.col("_m").isNull() | (F.col("_l") == F.col("_m")))
     rank = F.row_number().over(w.orderBy((F.col("consensus") * F.col("significance")).desc(), c.unit))
-    return of.withColumn("rank", rank).filter(F.col("rank") <= top).select("group", "rank", c.unit, "mean", "consensus", "significance")
+    return of.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("_m").isNull(), 3).otherwise(top)).select("group", "rank", c.unit, "mean", "consensus", "significance")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import ranked
+
 
 def _both(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old and new rows side by side, by keys that are equal or both null: structs ``_o`` and ``_n``."""
@@ -75,16 +77,24 @@ def statistics(old: DataFrame, new: DataFrame, keys: Sequence[str], differs: Col
 
 
 def numbered_slugs(rows: DataFrame, base: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """Unique slugs: base, base-1, base-2 ... by ``order``, from the greatest number already taken on."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
-    out = rows.withColumn("_n", nth)
-    if taken is not None:
-        stem, number = F.regexp_replace("slug", "-[0-9]+$", ""), F.coalesce(F.nullif(F.regexp_extract("slug", "-([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-        top = taken.groupBy(stem.alias(base)).agg(F.max(number).alias("_top"))
-        out = out.join(top, base, "left").withColumn("_n", F.col("_n") + F.coalesce(F.col("_top") + 1, F.lit(0))).drop("_top")
-    return out.withColumn("slug", F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string")))).drop("_n")
+    """Rows with a slug of their own: the base where it is free, else the base and a number above all that go with it.
+
+    First of all each free base goes to its first row by ``order``. The other rows' numbers begin above those that taken
+    slugs, and bases just given away, bear after their base; so no two slugs are equal, whatever bases end with numbers.
+    A null base gives a null slug. ``taken``: a column slug.
+    """
+    known = rows.sparkSession.createDataFrame([], "slug string") if taken is None else taken.select("slug")
+    out = ranked(rows, [base], [F.col(order)], "_nth")
+    gone = known.filter("slug is not null").select(F.col("slug").alias("_b")).distinct().withColumn("_gone", F.lit(1))
+    out = out.join(gone, F.col(base) == F.col("_b"), "left").drop("_b")
+    bases = rows.filter(F.col(base).isNotNull()).select(F.col(base).alias("slug")).distinct()
+    all_taken = known.filter("slug is not null").union(bases)
+    number = F.regexp_extract("slug", "-([0-9]+)$", 1).try_cast("bigint")
+    top = all_taken.filter(number.isNotNull()).groupBy(F.regexp_replace("slug", "-[0-9]+$", "").alias("_stem")).agg(F.max(number).alias("_top"))
+    out = out.join(top, F.col(base) == F.col("_stem"), "left").drop("_stem")
+    nth = F.col("_nth") - F.when(F.col("_gone").isNull(), 1).otherwise(0)
+    slug = F.when(nth == 0, F.col(base)).otherwise(F.concat(base, F.lit("-"), (F.coalesce("_top", F.lit(0)) + nth).cast("string")))
+    return out.withColumn("slug", slug).drop("_nth", "_gone", "_top")
 
 
 def copied(rows: DataFrame, id: str, **changes: Column) -> DataFrame:

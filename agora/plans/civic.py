@@ -371,14 +371,6 @@ def resolved_filings(spark, sf_dir):
     return candidates.resolve(spark.createDataFrame(STAGED + more, PEOPLE), known)
 
 
-FILINGS = [(1, "ann-smith", "A@x.org", None), (2, "ann-smith", "a@x.org ", "1 Main"), (3, "ann-smith", None, "2 Oak"), (4, "ann-smith", "", "2 oak"), (5, "ann-smith", None, None), (6, "bob-stone", None, None)]
-
-
-@query("SELECT id, slug, again = 1 AS repeated FROM " + values([(1, "ann-smith", 0), (2, "ann-smith", 1), (3, "ann-smith-1", 0), (4, "ann-smith-1", 1), (5, "ann-smith-2", 0), (6, "bob-stone", 0)], "id, slug, again"))
-def filed_persons(spark, sf_dir):
-    return candidates.same_persons(spark.createDataFrame(FILINGS, "id int, base string, email string, address string"))
-
-
 @query("""SELECT o_orderkey AS bill_id, lower('mn' || 'hf ' || o_orderkey % 7 || '-2025') AS raw, CASE o_orderkey % 5 WHEN 1 THEN 'introduced' WHEN 2 THEN 'in_consideration' WHEN 4 THEN 'became_law' ELSE 'unknown' END AS status,
 CASE WHEN o_orderkey % 3 = 0 THEN 'federal' ELSE 'state' END AS political_scope, CASE WHEN o_orderkey % 4 = 0 THEN 'house' WHEN o_orderkey % 4 = 1 THEN 'senate' END AS chamber, o_orderstatus AS last_action, o_orderdate::DATE AS last_action_date
 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 10 <> 0""")
