@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators import candidates, groups, merge
+from agora.operators import candidates, groups, merge, postings
 
 from .catalog import query, read
 
@@ -85,3 +85,37 @@ def slugs_are_unique(spark, sf_dir):
     slugs = merge.numbered_slugs(rows.filter("id % 5 > 0"), "base", "id", taken)
     met = slugs.join(taken.distinct().withColumn("there", F.lit(1)), "slug", "left")
     return met.agg(F.count("*").alias("n"), F.countDistinct("slug").alias("n_slugs"), F.count("there").cast("int").alias("n_taken"))
+
+
+_TEXTS = """WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(list_filter(string_split_regex(lower(role || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term, generate_subscripts(list_filter(string_split_regex(lower(role || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 1) AS p FROM conversations),
+h AS (SELECT id, term, p, CASE WHEN p = 1 THEN 1.0 ELSE 0.1 END AS wt, row_number() OVER (PARTITION BY id, term ORDER BY p) AS j FROM w WHERE term IN ('user', 'er', 'tion')),
+a AS (SELECT * FROM h WHERE j <= 256), u AS (SELECT * FROM a WHERE term = 'er'), v AS (SELECT * FROM a WHERE term = 'tion')
+"""
+
+
+def talk_index(spark, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    return postings.index(rows, "id", {"role": "A", "text": "D"})
+
+
+@query(_TEXTS + "SELECT u.id, round(1 - product(1 - sqrt(u.wt * v.wt * CASE WHEN abs(u.p - v.p) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(u.p - v.p) / 1.5 - 2)) END)), 6) AS rank FROM u JOIN v USING (id) GROUP BY 1")
+def ranked_by_nearness(spark, sf_dir):
+    met = postings.matches(talk_index(spark, sf_dir), ["er", "tion"])
+    return met.select("id", F.round(postings.rank_all(F.col("hits")), 6).alias("rank"))
+
+
+@query(_TEXTS + ", t AS (SELECT id, term, sum(wt / (j * j)) AS s, max(wt) AS top, arg_max(j, wt * 1000 - j) AS first FROM a GROUP BY ALL) SELECT id, round(sum((top + s - top / (first * first)) / 1.64493406685) / 2, 6) AS rank FROM t WHERE term IN ('user', 'er') GROUP BY 1")
+def ranked_by_any_word(spark, sf_dir):
+    met = postings.matches(talk_index(spark, sf_dir), ["user", "er"], every=False)
+    return met.select("id", F.round(postings.rank_any(F.col("hits")), 6).alias("rank"))
+
+
+@query(
+    _TEXTS
+    + """, e AS (SELECT id, term, p, max(CASE WHEN term = 'er' THEN p END) OVER x AS e, max(CASE WHEN term = 'tion' THEN p END) OVER x AS t FROM a WHERE term <> 'user' WINDOW x AS (PARTITION BY id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT id, p, least(e, t) AS b, row_number() OVER (PARTITION BY id, least(e, t) ORDER BY p) AS r FROM e WHERE e IS NOT NULL AND t IS NOT NULL),
+s AS (SELECT id, sum(2 / 20.0 / (1 + greatest(p - b - 1, 0))) AS s FROM c WHERE r = 1 GROUP BY 1) SELECT id, round(s / (s + 1), 6) AS rank FROM s"""
+)
+def ranked_by_covers(spark, sf_dir):
+    met = postings.matches(talk_index(spark, sf_dir), ["er", "tion"])
+    return met.select("id", F.round(postings.cover_density(F.col("hits")), 6).alias("rank"))
