@@ -1,8 +1,9 @@
 """Alignment of two tokenizers over the same bytes.
 
-Python only tokenises: it gives the ids of both and the byte offsets at which tokens end. All else is Spark's functions on
-arrays: offsets in both arrays cut the text into groups, and every offset in either ends one overlap of an A token with a B
-token, a link. Counts of linked pairs come from a grouping of all documents.
+Python only tokenises: it gives the ids of both and the byte offsets at which tokens end, as arrays and as bits with running
+counts, so that an offset can be looked up in place. All else is Spark's functions on arrays: offsets in both arrays cut the
+text into groups, and every offset in either ends one overlap of an A token with a B token, a link. Counts of linked pairs
+come from a grouping of all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, chunks, let
@@ -104,63 +105,84 @@ def _byte_level(path: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
     return lambda t: slow.encode(t, add_special_tokens=False).ids, sizes
 
 
+def _bits(ends: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text ``words`` longs with a bit for each offset where a token ends, and how many end before each of these longs."""
+    first = np.cumsum(words) - words
+    at = first[owner] + (ends >> 6)
+    bits, counts = np.zeros(int(words.sum()), np.uint64), np.bincount(at, minlength=int(words.sum()))
+    if len(at):
+        new = np.flatnonzero(np.diff(at, prepend=-1))
+        bits[at[new]] = np.bitwise_or.reduceat(np.uint64(1) << (ends & 63).astype(np.uint64), new)
+    before = np.cumsum(counts) - counts
+    return bits.view(np.int64), before - np.repeat(before[np.minimum(first, max(len(before) - 1, 0))], words) if len(before) else before
+
+
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """row (a number of its own), doc_id, and per tokenizer its ids and the byte offsets where its tokens end: a, a_end, b, b_end."""
+    """row (a number of its own), doc_id, and per tokenizer its ids and the byte offsets where its tokens end: a, a_end, b, b_end.
+
+    a_bits, b_bits: the offsets as bits of longs; a_before, b_before: how many tokens end before each long.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _ALIGNERS:
             _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
         aligner, row = _ALIGNERS[a_path, b_path], TaskContext.get().partitionId() << 33
+        lists = lambda at, x, t: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(t)))
         for whole in batches:
             for batch in chunks(whole, "text"):
                 columns = []
                 for ids, sizes, at in aligner.encode(batch.column("text").to_pylist()):
-                    total = np.concatenate([[0], np.cumsum(sizes)])
-                    ends = total[1:] - np.repeat(total[at[:-1]], np.diff(at))
-                    columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
+                    total, count = np.concatenate([[0], np.cumsum(sizes)]), np.diff(at)
+                    ends = total[1:] - np.repeat(total[at[:-1]], count)
+                    words = np.where(count > 0, (total[at[1:]] - total[at[:-1]] >> 6) + 1, 0)
+                    bits, before = _bits(ends, np.repeat(np.arange(len(count)), count), words)
+                    places = np.concatenate([[0], np.cumsum(words)])
+                    columns += [lists(at, ids, np.int32), lists(at, ends, np.int32), lists(places, bits, np.int64), lists(places, before, np.int32)]
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
-                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *columns], ["row", "doc_id", "a", "a_end", "b", "b_end"])
+                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *columns], ["row", "doc_id", *(f"{t}{x}" for t in "ab" for x in ("", "_end", "_bits", "_before"))])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "row bigint, doc_id bigint, a array<int>, a_end array<int>, b array<int>, b_end array<int>")
-
-
-def _token_at(ends):
-    """Per byte the number (from 0) of the token that holds it."""
-    size = lambda i: F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(0))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.array_repeat(i, size(i))))
+    kinds = ", ".join(f"{t} array<int>, {t}_end array<int>, {t}_bits array<bigint>, {t}_before array<int>" for t in "ab")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, f"row bigint, doc_id bigint, {kinds}")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and ``links``: per overlap A's id in the upper half of a long, B's in the lower."""
-    a, b, a_end, b_end = (F.col(c) for c in ("a", "b", "a_end", "b_end"))
-
-    def parts(ids, ends, other):
-        """The ids of each group, comma-joined: after a token whose end is one of the other tokenizer's too, a group ends."""
-
-        def one(id, i):
-            end = F.get(ends, i)
-            return F.concat(id, F.when(F.get(other, end - 1).eqNullSafe(F.get(other, end)), ",").otherwise(";"))
-
-        said = F.array_join(F.transform(ids.cast("array<string>"), one), "")
-        return F.split(F.rtrim(said, F.lit(";")), ";")
-
-    def groups(at_a, at_b):
-        both = F.zip_with(parts(a, a_end, at_b), parts(b, b_end, at_a), lambda x, y: F.concat(x, F.lit("|"), y))
-        return F.sha2(F.array_join(both, ";"), 256)
-
-    def links(at_a, at_b):
-        pair = lambda e: F.shiftleft(F.get(a, F.get(at_a, e - 1)).cast("bigint"), 32) + F.get(b, F.get(at_b, e - 1))
-        return F.transform(F.sort_array(F.array_union(a_end, b_end)), pair)
-
-    def both(at_a, at_b):
-        return F.struct(F.size(F.array_intersect(a_end, b_end)).cast("bigint").alias("n_groups"), groups(at_a, at_b).alias("groups_sha256"), links(at_a, at_b).alias("links"))
-
-    nothing = F.struct(F.lit(0).cast("bigint").alias("n_groups"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("links"))
-    found = F.when(F.size(a) > 0, let(_token_at(a_end), lambda at_a: let(_token_at(b_end), lambda at_b: both(at_a, at_b)))).otherwise(nothing)
-    out = tokens.select("row", "doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), found.alias("_f"))
-    one_each = F.aggregate(F.col("_f.links"), F.lit(0).cast("bigint"), lambda n, _: n + 1)
-    return out.select("row", "doc_id", "n_a", "n_b", "_f.n_groups", one_each.alias("n_links"), "_f.groups_sha256", "_f.links")
+    # a long is shifted by the lower six bits of what is said
+    bits = lambda t, end: F.get(f"{t}_bits", F.shiftright(end, 6))
+    ends_too = lambda t, end: F.call_function("shiftright", bits(t, end), end).bitwiseAND(1) == 1
+
+    def holder(t: str, end: Column) -> Column:
+        """The id of the token of ``t`` that holds the byte before an offset: as many of its tokens end before the offset as stand before that one."""
+        earlier = bits(t, end).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), end)))
+        return F.get(t, F.get(f"{t}_before", F.shiftright(end, 6)) + F.bit_count(earlier))
+
+    def parts(t: str, other: str) -> Column:
+        """The ids of each group, comma-joined: where both tokenizers' tokens end, a group ends."""
+        one = lambda id, i: F.concat(id.cast("string"), F.when(ends_too(other, F.get(f"{t}_end", i)), ";").otherwise(","))
+        return F.split(F.rtrim(F.array_join(F.transform(t, one), ""), F.lit(";")), ";")
+
+    def joined(of: Column) -> Column:
+        both = lambda k: F.concat(F.get(of["a"], k), F.lit("|"), F.get(of["b"], k))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(of["a"]) - 1), both), ";")
+
+    groups = F.sha2(let(F.struct(parts("a", "b").alias("a"), parts("b", "a").alias("b")), joined), 256)
+    pair = lambda a, b: F.shiftleft(a.cast("bigint"), 32) + b
+    of_a = F.transform("a_end", lambda e, i: pair(F.get("a", i), holder("b", e)))
+    of_b = F.filter(F.transform("b_end", lambda e, i: F.when(~ends_too("a", e), pair(holder("a", e), F.get("b", i)))), lambda x: x.isNotNull())
+    some = F.size("a") > 0
+    out = tokens.select(
+        "row",
+        "doc_id",
+        F.size("a").cast("bigint").alias("n_a"),
+        F.size("b").cast("bigint").alias("n_b"),
+        F.size(F.array_intersect("a_end", "b_end")).cast("bigint").alias("n_groups"),
+        F.when(some, groups).otherwise("").alias("groups_sha256"),
+        F.concat(of_a, of_b).alias("links"),
+    )
+    # every link ends at one offset of either, so those of both are counted once
+    n_links = F.aggregate(F.array("n_a", "n_b", -F.col("n_groups")), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return out.select("row", "doc_id", "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups_sha256", "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
