@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.text import similarity, slugify
 from agora.operators.merge import numbered_slugs, unmatched, upsert
+from agora.operators.search import fuzzy_pairs
 from agora.operators.storage import components
 
 
@@ -66,7 +67,7 @@ def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of staged and known persons that may be one: staged_id, known_id, match_type, name_similarity.
 
     Both: id, first_name, middle_name, last_name, slug, email, phone, address. Empty values match nothing. Candidates
-    come from equi-joins on each exact key, and for similar names from shared trigrams of the last name.
+    come from equi-joins on each exact key, and for similar names from shared trigrams of the whole name.
     """
     part = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     name = F.concat(F.lower(F.coalesce("first_name", F.lit(""))), F.lit(" "), F.lower(F.coalesce("middle_name", F.lit(""))), F.lit(" "), F.lower("last_name"))
@@ -78,8 +79,6 @@ def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     people = lambda f, side: f.select(F.col("id").alias(f"{side}_id"), F.struct("email", "phone", "slug", part("address").alias("address"), F.lower("first_name").alias("first"), part("middle_name").alias("middle"), F.lower("last_name").alias("last"), name.alias("name")).alias(side), F.filter(keys, lambda k: k.isNotNull()).alias("_keys"))
     a, b = people(staged, "staged"), people(known, "known")
     exact = a.select("staged_id", F.explode("_keys").alias("k")).join(b.select("known_id", F.explode("_keys").alias("k")), "k").select("staged_id", "known_id")
-    from agora.operators.search import fuzzy_pairs
-
     alike = fuzzy_pairs(a.select("staged.name"), b.select("known.name"), "name", "name", 0.6)
     near = a.select("staged_id", F.col("staged.name").alias("left_text")).join(alike, "left_text").join(b.select("known_id", F.col("known.name").alias("right_text")), "right_text").select("staged_id", "known_id")
     pairs = exact.unionByName(near).distinct().join(a.drop("_keys"), "staged_id").join(b.drop("_keys"), "known_id")

@@ -10,6 +10,7 @@ from agora.functions import text as tx
 from agora.operators import candidates, elections, filters, groups, merge, reporting, search, votes
 
 from .catalog import V, cast_votes, query, read, results
+from .offices import cases, filled
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -20,31 +21,27 @@ def values(rows: list[tuple], columns: str) -> str:
 
 # names, offices, districts
 
-PERSONS = [
-    ("John Schmidt", "John", "Schmidt", None, None, None),
-    ("John Jingleheimer Schmidt", "John", "Schmidt", "Jingleheimer", None, None),
-    ('John "Jacob" Jingleheimer Schmidt', "John", "Schmidt", "Jingleheimer", "Jacob", None),
-    ("John Jingleheimer (\"Jacob\") O'Schmidt", "John", "O'Schmidt", "Jingleheimer", "Jacob", None),
-    ("J.J. Schmidt", "J.J.", "Schmidt", None, None, None),
-    ("John J Schmidt, jr", "John", "Schmidt", "J.", None, "jr."),
-    ("Dr. José  Núñez III", "Jose", "Nunez", None, None, "III"),
-    ("maria DE LA cruz", "maria", "De La cruz", None, None, None),
-    ("John Van De Bogart", "John", "Van De Bogart", None, None, None),
-    ("Hernando De Soto", "Hernando", "De Soto", None, None, None),
-    ("Yane Di Nicola", "Yane", "Di Nicola", None, None, None),
-    ("Ana San Miguel", "Ana", "San Miguel", None, None, None),
-    ("Eva von Stein Sr.", "Eva", "von Stein", None, None, "Sr."),
-    ("Paul St Clair", "Paul", "St. Clair", None, None, None),
-    ("MARY ANN q Smith - Jones", "Mary Ann", "Smith-Jones", "Q.", None, None),
-    ("Ann Lee", "Ann", "Lee", None, None, None),
-    ("Cher", None, None, None, None, None),
+#: Names made of a part's two words (first f and last g, in small letters in the table), its type t and its brand's number n.
+NAMES = ['{f} {l}', '{f} {t} {l}', '{f} "{n}" {t} {l}', "{f} {t} ({n}) {l}", "{f} {t} {l}, jr", "Dr. {f}  {l} III", "{f} van {l}", "{f} st {l}", "{f} - {t} {l}", "{l}"]
+NAMED = [
+    {"first": "f", "last": "l"},
+    {"first": "f", "last": "l", "middle": "t"},
+    {"first": "f", "last": "l", "middle": "t", "preferred": "n"},
+    {"first": "f", "last": "l", "middle": "t", "preferred": "n"},
+    {"first": "f", "last": "l", "middle": "t", "suffix": "'jr.'"},
+    {"first": "f", "last": "l", "suffix": "'III'"},
+    {"first": "f", "last": "'van ' || l"},
+    {"first": "f", "last": "'st. ' || l"},
+    {"first": "f || '-' || t", "last": "l"},
+    {},
 ]
 
 
-@query("SELECT raw, first, last, middle, preferred, suffix FROM " + values(PERSONS, "raw, first, last, middle, preferred, suffix"))
+@query(f"WITH p AS (SELECT p_partkey, p_partkey % {len(NAMES)} AS k, string_split(p_name, ' ')[1] AS f, string_split(p_name, ' ')[2] AS l, lower(p_type) AS t, 'nick' AS n FROM part) SELECT p_partkey, {cases('k', NAMED, ('first', 'last', 'middle', 'preferred', 'suffix'))} FROM p")
 def person_names(spark, sf_dir):
-    raw = spark.createDataFrame([(r[0],) for r in PERSONS], "raw string")
-    return raw.select("raw", names.person_name(F.col("raw")).alias("n")).select("raw", *(F.col(f"n.{c}") for c in ("first", "last", "middle", "preferred", "suffix")))
+    p, words = read(spark, sf_dir, "part"), F.split("p_name", " ")
+    raw = filled(NAMES, F.col("p_partkey") % len(NAMES), f=F.get(words, 0), l=F.get(words, 1), t=F.lower("p_type"), n=F.lit("nick"))
+    return p.select("p_partkey", names.person_name(raw).alias("n")).select("p_partkey", *(F.col(f"n.{c}") for c in ("first", "last", "middle", "preferred", "suffix")))
 
 
 TITLES = [("HARRIS COUNTY", "Harris County"), ("SE-GWEN mccoy", "Se-Gwen McCoy"), ("o'brian iii", "O'Brian III"), ('AJ (TJ) "jim" smith jr', 'AJ (TJ) "Jim" Smith Jr'), ("vi li henry viii", "Vi Li Henry VIII"), ("j.d. VANCE", "J.D. Vance"), ("", "")]
@@ -58,35 +55,44 @@ def title_case(spark, sf_dir):
     return raw.select("raw", names.title_case(F.col("raw")).alias("told"))
 
 
-CONTESTS = [
-    ("United States Senator", "U.S. Senate", "federal", "state", None, None),
-    ("Representative to the 119th United States Congress - District 5", None, None, None, "5", None),
-    ("U.S. House of Representatives District 12", "U.S. House", "federal", "district", "12", None),
-    ("State Senator - District 9", "State Senate", "state", "district", "9", None),
-    ("State Representative - District 12A", "State House", "state", "district", "12A", None),
-    ("Regent of the University of Colorado - At Large", "Board of Regents", "local", "district", None, "At Large"),
-    ("District Attorney - 18th Judicial District", "District Attorney", "local", "district", "18", None),
-    ("County Court Judge - Adams", "County Court Judge", "local", "county", None, None),
-    ("Supreme Court Justice - X", "Supreme Court Justice", "state", "state", None, None),
-    ("Regional Transportation District Director - District A", "Regional Transportation District Director", "state", "district", "A", None),
-    ("Mayor", None, None, None, None, None),
+CONTESTS = ["United States Senator", "Representative to the {n}th United States Congress - District 5", "U.S. House of Representatives District {n}", "State Senator - District {n}", "State Representative - District {n}A", "Regent of the University of Colorado - At Large", "District Attorney - {n}th Judicial District", "County Court Judge - Adams", "Supreme Court Justice - X", "Regional Transportation District Director - District A", "Mayor"]
+_SAID = [
+    {"office": "'U.S. Senate'", "political_scope": "'federal'", "election_scope": "'state'"},
+    {"district": "'5'"},
+    {"office": "'U.S. House'", "political_scope": "'federal'", "election_scope": "'district'", "district": "n::VARCHAR"},
+    {"office": "'State Senate'", "political_scope": "'state'", "election_scope": "'district'", "district": "n::VARCHAR"},
+    {"office": "'State House'", "political_scope": "'state'", "election_scope": "'district'", "district": "n || 'A'"},
+    {"office": "'Board of Regents'", "political_scope": "'local'", "election_scope": "'district'", "seat": "'At Large'"},
+    {"office": "'District Attorney'", "political_scope": "'local'", "election_scope": "'district'", "district": "n::VARCHAR"},
+    {"office": "'County Court Judge'", "political_scope": "'local'", "election_scope": "'county'"},
+    {"office": "'Supreme Court Justice'", "political_scope": "'state'", "election_scope": "'state'"},
+    {"office": "'Regional Transportation District Director'", "political_scope": "'state'", "election_scope": "'district'", "district": "'A'"},
+    {},
 ]
 
 
-@query("SELECT * FROM " + values(CONTESTS, "contest, office, political_scope, election_scope, district, seat"))
+@query(f"SELECT c_custkey, {cases('k', _SAID, ('office', 'political_scope', 'election_scope', 'district', 'seat'))} FROM (SELECT c_custkey, c_custkey % {len(CONTESTS)} AS k, c_nationkey + 1 AS n FROM customer)")
 def contest_offices(spark, sf_dir):
-    raw = spark.createDataFrame([(r[0],) for r in CONTESTS], "contest string")
-    office, c = names.co_office(F.col("contest")), F.col("contest")
-    return raw.select("contest", office["name"].alias("office"), office["political_scope"].alias("political_scope"), office["election_scope"].alias("election_scope"), names.co_district(c).alias("district"), names.co_seat(c).alias("seat"))
-
-
-CODES = [("007", "7", "7", None), ("W-03", "W-03", "3", None), ("00District 04 East", "District 04 East", "District 04 East", "4"), ("West Ward-010", "West Ward-010", "10", "West"), ("000", "", "", None)]
+    t = filled(CONTESTS, F.col("c_custkey") % len(CONTESTS), n=F.col("c_nationkey") + 1)
+    o = read(spark, sf_dir, "customer").select("c_custkey", t.alias("t")).select("c_custkey", "t", names.co_office(F.col("t")).alias("o"))
+    return o.select("c_custkey", F.col("o.name").alias("office"), "o.political_scope", "o.election_scope", names.co_district(F.col("t")).alias("district"), names.co_seat(F.col("t")).alias("seat"))
+
+
+CODES = ["00{n}", "W-0{n}", "00District 0{n} East", "West Ward-0{n}", "000"]
+_CODED = [
+    {"plain": "n::VARCHAR", "ward": "n::VARCHAR"},
+    {"plain": "'W-0' || n", "ward": "n::VARCHAR"},
+    {"plain": "'District 0' || n || ' East'", "ward": "'District 0' || n || ' East'", "district": "n::VARCHAR"},
+    {"plain": "'West Ward-0' || n", "ward": "n::VARCHAR", "district": "'West'"},
+    {"plain": "''", "ward": "''"},
+]
 
 
-@query("SELECT * FROM " + values(CODES, "code, plain, ward, district"))
+@query(f"SELECT o_orderkey, {cases('k', _CODED, ('plain', 'ward', 'district'))} FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_custkey + 1 AS n FROM orders)")
 def district_codes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", filled(CODES, F.col("o_orderkey") % 5, n=F.col("o_custkey") + 1).alias("code"))
     c = F.col("code")
-    return spark.createDataFrame([(r[0],) for r in CODES], "code string").select("code", names.without_zeros(c).alias("plain"), names.ward(c).alias("ward"), names.district_or_direction(c).alias("district"))
+    return o.select("o_orderkey", names.without_zeros(c).alias("plain"), names.ward(c).alias("ward"), names.district_or_direction(c).alias("district"))
 
 
 @query("SELECT c_custkey, court FROM (SELECT c_custkey, unnest(list_filter(list_transform(string_split(c_custkey || ', ' || (c_custkey % 3) || ',,', ','), lambda x: trim(x)), lambda x: x <> '')) AS court FROM customer)")
@@ -95,30 +101,35 @@ def listed_courts(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.explode(names.listed(said)).alias("court"))
 
 
-PARTIES = [("R", "REP", None), (" dfl ", "DFL", None), ("Democratic", "DEM", None), ("Registered Libertarian Party", None, "Libertarian Party"), ("No Party Affiliation", None, "Unaffiliated"), ("?", None, None)]
+PARTIES = ["R", " dfl ", "Democratic", "Registered Libertarian Party {n}", "No Party Affiliation {n}", "{n}"]
+_PARTY = [{"code": "'REP'"}, {"code": "'DFL'"}, {"code": "'DEM'"}, {"name": "'Libertarian Party'"}, {"name": "'Unaffiliated'"}, {}]
 
 
-@query("SELECT * FROM " + values(PARTIES, "said, code, name"))
+@query(f"SELECT c_custkey, {cases('c_custkey % 6', _PARTY, ('code', 'name'))} FROM customer")
 def party_codes(spark, sf_dir):
-    return spark.createDataFrame([(r[0],) for r in PARTIES], "said string").select("said", tx.party_code(F.col("said")).alias("code"), tx.party_name(F.col("said")).alias("name"))
+    said = filled(PARTIES, F.col("c_custkey") % 6, n=F.col("c_name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", tx.party_code(said).alias("code"), tx.party_name(said).alias("name"))
 
 
-RACES = [("Mayor First Choice (Elect 2)", 1, 0, 2, None), ("Special Election State Senate", 0, 1, None, None), ("Judge, County Court at Law No 2", 0, 0, None, "Judge - County Court at Law"), ("Railroad Commissioner", 0, 0, None, None), ("Precinct 12 Chair", 0, 0, None, "Precinct Chair"), ("Sheriff and Tax Assessor-Collector", 0, 0, None, "Sheriff & County Tax Assessor-Collector")]
+RACES = ["{m} First Choice (Elect {n})", "Special Election State Senate {n}", "Judge, County Court at Law No {n}", "Railroad Commissioner", "Precinct {n} Chair", "Sheriff and Tax Assessor-Collector", "{m} Commissioner, Place {n}"]
+_RULED = [{"ranked": "true", "seats": "n"}, {"special": "true"}, {"office": "'Judge - County Court at Law'"}, {}, {"office": "'Precinct Chair'"}, {"office": "'Sheriff & County Tax Assessor-Collector'"}, {"office": "'County Commissioner'"}]
 
 
-@query("SELECT title, ranked = 1 AS ranked, special = 1 AS special, seats, office FROM " + values(RACES, "title, ranked, special, seats, office"))
+@query(f"SELECT c_custkey, coalesce(ranked, false) AS ranked, coalesce(special, false) AS special, seats, office FROM (SELECT c_custkey, {cases('k', _RULED, ('ranked', 'special', 'seats', 'office'))} FROM (SELECT c_custkey, c_custkey % 7 AS k, c_nationkey + 1 AS n FROM customer))")
 def contest_rules(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", filled(RACES, F.col("c_custkey") % 7, m=F.col("c_mktsegment"), n=F.col("c_nationkey") + 1).alias("title"))
     t = F.col("title")
-    return spark.createDataFrame([(r[0],) for r in RACES], "title string").select("title", tx.is_ranked_choice(t).alias("ranked"), tx.is_special_election(t).alias("special"), tx.seats_to_fill(t).alias("seats"), tx.county_office(t).alias("office"))
+    return c.select("c_custkey", tx.is_ranked_choice(t).alias("ranked"), tx.is_special_election(t).alias("special"), tx.seats_to_fill(t).alias("seats"), tx.county_office(t).alias("office"))
 
 
-SITES = [("https://www.facebook.com/x", "", "social"), ("https://ballotpedia.org/A_B", "", "encyclopedia"), ("https://smith.house.gov", "Smith", "official"), ("https://smithfortexas.org", "Home", "campaign"), ("https://example.org", "Smith for Congress", "campaign"), ("https://example.org", "Smith", "other")]
+SITES = ["https://www.facebook.com/{n}", "https://ballotpedia.org/{n}", "https://smith{n}.house.gov", "https://smithfortexas{n}.org", "https://example{n}.org", "https://example.org/{n}"]
 
 
-@query("SELECT * FROM " + values(SITES, "url, title, kind"))
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'social' WHEN 1 THEN 'encyclopedia' WHEN 2 THEN 'official' WHEN 3 THEN 'campaign' WHEN 4 THEN 'campaign' ELSE 'other' END AS kind FROM pages")
 def site_kinds(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in SITES], "url string, title string")
-    return rows.select("url", "title", names.site_kind(F.col("url"), F.col("title"), F.array(F.lit("Ann"), F.lit(" Smith"), F.lit(None).cast("string"))).alias("kind"))
+    p, k = read(spark, sf_dir, "pages"), F.col("page_id") % 6
+    title = F.when(k == 4, "Smith for Congress").when(k == 5, "Smith").otherwise("Home")
+    return p.select("page_id", names.site_kind(filled(SITES, k, n=F.col("page_id")), title, F.array(F.lit("Ann"), F.lit(" Smith"), F.lit(None).cast("string"))).alias("kind"))
 
 
 @query("SELECT page_id, list_distinct(list_transform(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}'), lambda x: lower(x))).len() AS n_emails, coalesce(regexp_matches(html, '(?i)href=[\"'']https?://([a-z0-9-]+\\.)*facebook\\.com([/?#\"'']|$)'), false) AS facebook FROM pages")
@@ -127,13 +138,15 @@ def page_contacts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(names.emails(html)).cast("bigint").alias("n_emails"), F.coalesce(names.social_links(html)["facebook"].isNotNull(), F.lit(False)).alias("facebook"))
 
 
-CAREERS = [(1, '[{"title":"Candidate","span":"1990-1994"},{"title":"Senator","span":"2001-2005"},{"title":"Mayor","span":"2015-present"}]', 14), (2, '[{"title":"Judge","span":"2019"}]', 6), (3, "[]", 0), (4, None, None)]
-
-
-@query("SELECT id, years FROM " + values([(a, c) for a, _, c in CAREERS], "id, years"))
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 9 + 2025 - year(o_orderdate) WHEN 1 THEN 2025 - year(o_orderdate) WHEN 2 THEN 0 END::INT AS years FROM orders")
 def years_in_office(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in CAREERS], "id int, experience string")
-    return rows.select("id", names.years_in_office(F.from_json("experience", "array<struct<title: string, span: string>>"), F.lit(2025)).alias("years"))
+    """Careers of a mandate that ended and one that goes on, of one said by its first year, of none, and null."""
+    o, year, k = read(spark, sf_dir, "orders"), F.year("o_orderdate"), F.col("o_orderkey") % 4
+    span = lambda a, b: F.concat_ws("-", a.cast("string"), b)
+    held = lambda title, said: F.struct(F.lit(title).alias("title"), said.alias("span"))
+    both = F.array(held("Candidate", span(F.lit(1950), F.lit("1959"))), held("Senator", span(year, (year + F.col("o_custkey") % 9).cast("string"))), held("Mayor", span(year, F.lit("present"))))
+    career = F.when(k == 0, both).when(k == 1, F.array(held("Judge", year.cast("string")))).when(k == 2, F.array(held("Candidate", year.cast("string"))))
+    return o.select("o_orderkey", names.years_in_office(career, F.lit(2025)).alias("years"))
 
 
 # filters
@@ -280,19 +293,18 @@ def popular_first(spark, sf_dir):
     return search.by_popularity(found, ["rank"], "n", "p_partkey").select("p_partkey")
 
 
-RELATED = [(1, "Housing costs too much", 12), (2, "We need cheaper housing and rents", 3), (3, "Schools need more teachers", 40), (4, "Costs of rents are too high", 1), (5, "Housing", 0), (6, "Trees along every street", 9), (7, None, 5)]
 _GRAMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2])))"
-_ASKED = "housing costs and rents"
+_ASKED = "cold widgets and bolts"
 
 
-@query(f"""WITH s AS {values(RELATED, "id, content, votes")}, q AS (SELECT {_GRAMS.format(c=f"'{_ASKED}'")} AS g),
-t AS (SELECT id, votes, content, list_distinct({_GRAMS.format(c="content")}) AS a, g, list_distinct(g) AS b, len(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda w: w IN ('housing', 'costs', 'rents'))) AS h FROM s, q WHERE content IS NOT NULL),
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_name AS content, p_size AS votes FROM part), q AS (SELECT {_GRAMS.format(c=f"'{_ASKED}'")} AS g),
+t AS (SELECT id, votes, content, list_distinct({_GRAMS.format(c="content")}) AS a, g, list_distinct(g) AS b, len(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda w: w IN ('cold', 'widgets', 'bolts'))) AS h FROM s, q WHERE content IS NOT NULL),
 e AS (SELECT id, max(hit / (len(a) + (y - x) - hit)) AS word FROM (SELECT id, a, x, y, len(list_filter(g[x + 1:y], lambda v: list_contains(a, v))) AS hit FROM t, (SELECT unnest(range(0, 40)) AS x), (SELECT unnest(range(1, 41)) AS y) WHERE x < y AND y <= len(g)) GROUP BY 1),
 u AS (SELECT id, votes, content, h, word, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS alike FROM t JOIN e USING (id)),
 r AS (SELECT id, (0.4 * alike + 0.4 * (h / (h + 1)) + 0.2 * (1 - word)) * (1 + ln(greatest(votes, 1))) AS score FROM u WHERE alike > 0.1 OR contains(lower(content), '{_ASKED}') OR h > 0)
 SELECT id, round(score, 6) AS score FROM r WHERE score > 0.1 ORDER BY score DESC, id LIMIT 5""")
 def related_statements(spark, sf_dir):
-    rows = spark.createDataFrame(RELATED, "id int, content string, votes int")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"), F.col("p_size").alias("votes"))
     return search.related(rows, "content", _ASKED, F.col("votes")).select("id", F.round("score", 6).alias("score"))
 
 
@@ -310,12 +322,14 @@ def primary_winners(spark, sf_dir):
     return won.withColumn("winners", F.array_join(F.transform("winners", lambda c: c.cast("string")), ","))
 
 
-CHOICES = [("Mayor First Choice", "Ann", 10, 30), ("Mayor Second Choice", "Ann", 25, 30), ("Clerk", "Bob", 7, 0), ("Clerk", "Bob", 9, 20), ("Council First Choice", "Eve", 0, 0), ("Question 1", "Yes", 5, 9)]
-
-
-@query("SELECT * FROM " + values([("Mayor First Choice", "Ann", "mn-sos-mayor-first-choice-ann", 10, 30), ("Mayor Second Choice", "Ann", "mn-sos-mayor-second-choice-ann", 25, 30), ("Clerk", "Bob", "mn-sos-clerk-bob", 9, 20), ("Council First Choice", "Eve", "mn-sos-council-first-choice-eve", 0, 0)], "office, candidate, ref_key, votes, total_votes"))
+@query("""WITH r AS (SELECT CASE l_linenumber WHEN 1 THEN 'Mayor ' || l_orderkey || ' First Choice' WHEN 2 THEN 'Mayor ' || l_orderkey || ' Second Choice' WHEN 3 THEN 'Question ' || l_orderkey ELSE 'Clerk ' || l_orderkey END AS office, 'S' || l_suppkey AS candidate, l_quantity::BIGINT AS votes, l_partkey % 3 * 100 AS total FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY office, candidate ORDER BY votes DESC, total) AS n FROM r WHERE office NOT LIKE 'Question%')
+SELECT office, candidate, 'mn-sos-' || replace(lower(office), ' ', '-') || '-' || lower(candidate) AS ref_key, votes, CASE WHEN office LIKE '%First Choice' THEN total ELSE nullif(total, 0) END AS total_votes FROM b WHERE n = 1""")
 def ranked_choice(spark, sf_dir):
-    return candidates.first_choices(spark.createDataFrame(CHOICES, "office string, candidate string, votes int, total int"), "mn-sos")
+    n = F.col("l_linenumber")
+    office = filled(["Mayor {o} First Choice", "Mayor {o} Second Choice", "Question {o}", "Clerk {o}"], F.least(n, F.lit(4)) - 1, o=F.col("l_orderkey"))
+    rows = read(spark, sf_dir, "lineitem").select(office.alias("office"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("candidate"), F.col("l_quantity").cast("bigint").alias("votes"), (F.col("l_partkey") % 3 * 100).alias("total"))
+    return candidates.first_choices(rows, "mn-sos")
 
 
 _MERGED = """WITH c AS (SELECT l_orderkey || '-' || l_suppkey AS ref_key, l_orderkey AS race, CASE WHEN l_suppkey % 2 = 0 THEN sum(l_quantity)::BIGINT END AS votes FROM lineitem GROUP BY l_orderkey, l_suppkey),
@@ -347,28 +361,47 @@ def merge_report(spark, sf_dir):
     return _merged(spark, sf_dir)["stats"]
 
 
-PEOPLE = "id bigint, first_name string, middle_name string, last_name string, slug string, email string, phone string, address string"
-STAGED = [(1, "Ann", None, "Smith", "ann-smith", "a@x.org", "", None), (2, "Bob", "Q", "Stone", "bob-stone-1", None, "555", "1 Main St"), (3, "Catherine", None, "Johnson", "catherine-johnson", "", "", ""), (4, "Zed", None, "Zulu", "zed-zulu", None, None, None), (5, "Dan", None, "Poe", "dan-poe", None, None, "2 Oak Ave ")]
-KNOWN = [(11, "Anne", None, "Smyth", "anne-smyth", "a@x.org", "", None), (12, "Bob", "Q", "Stone", "bob-stone", None, None, None), (13, "Catherine", "A", "Johnson", "cat", "", "", ""), (14, "Ann", None, "Smith", "ann-smith", None, None, None), (15, "Rob", None, "Stane", "rob-stane", None, "555", None), (16, "Daniel", None, "Poe", "dan-poe", None, None, "2 oak ave")]
+#: Suppliers as staged persons, customers as known ones: alike by nation, and by e-mail, phone or address for some.
+_PEOPLE = """(SELECT {k} AS id, CASE {k} % 3 WHEN 0 THEN 'Catherine' WHEN 1 THEN 'Katherine' ELSE 'Bob' END AS first_name, CASE WHEN {k} % 4 = 0 THEN 'Q' END AS middle_name, 'M' || md5({n}::VARCHAR)[1:7] AS last_name, 'p' || {n} || '-' || {k} % 9 AS slug,
+CASE WHEN {k} % 7 = 0 THEN 'm' || {k} % 50 || '@x.org' WHEN {k} % 7 = 1 THEN '' END AS email, CASE WHEN {k} % 5 = 0 THEN {k} % 40 || '' END AS phone, CASE WHEN {k} % 2 = 0 THEN {k} % 30 || ' Main St' END AS address FROM {t})"""
+STAGED, KNOWN = _PEOPLE.format(k="s_suppkey", n="s_nationkey", t="supplier"), _PEOPLE.format(k="c_custkey", n="c_nationkey", t="customer")
+
+
+def people(spark: SparkSession, sf_dir: str, name: str, key: str, nation: str) -> DataFrame:
+    k, n = F.col(key), F.col(nation)
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return read(spark, sf_dir, name).select(
+        k.alias("id"), F.when(k % 3 == 0, "Catherine").when(k % 3 == 1, "Katherine").otherwise("Bob").alias("first_name"), F.when(k % 4 == 0, "Q").alias("middle_name"), said("M", F.substring(F.md5(n.cast("string").cast("binary")), 1, 7)).alias("last_name"),
+        said("p", n, "-", k % 9).alias("slug"), F.when(k % 7 == 0, said("m", k % 50, "@x.org")).when(k % 7 == 1, "").alias("email"), F.when(k % 5 == 0, said(k % 40)).alias("phone"), F.when(k % 2 == 0, said(k % 30, " Main St")).alias("address"),
+    )
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return people(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), people(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+
+
 _SIM = "len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))"
 _PERSON = "SELECT *, lower(coalesce(first_name, '') || ' ' || coalesce(middle_name, '') || ' ' || last_name) AS name, list_distinct(" + _GRAMS.format(c="coalesce(first_name, '') || ' ' || coalesce(middle_name, '') || ' ' || last_name") + ") AS g FROM "
 
 
-@query(f"""WITH a AS ({_PERSON}{values(STAGED, "id, first_name, middle_name, last_name, slug, email, phone, address")}), b AS ({_PERSON}{values(KNOWN, "id, first_name, middle_name, last_name, slug, email, phone, address")}),
+@query(f"""WITH a AS ({_PERSON}{STAGED}), b AS ({_PERSON}{KNOWN}),
 p AS (SELECT a.id AS staged_id, b.id AS known_id, {_SIM} AS s, CASE WHEN a.email = b.email AND a.email <> '' THEN 'exact_email' WHEN a.phone = b.phone AND a.phone <> '' THEN 'exact_phone'
   WHEN lower(trim(a.address)) = lower(trim(b.address)) AND trim(a.address) <> '' THEN 'exact_address'
   WHEN lower(a.first_name) = lower(b.first_name) AND lower(a.last_name) = lower(b.last_name) AND coalesce(lower(a.middle_name), '') = coalesce(lower(b.middle_name), '') THEN 'exact_name'
   WHEN a.slug = b.slug THEN 'exact_slug' WHEN {_SIM} > 0.8 THEN 'high_similarity' WHEN {_SIM} > 0.6 THEN 'medium_similarity' END AS match_type FROM a, b)
 SELECT staged_id::BIGINT AS staged_id, known_id::BIGINT AS known_id, match_type, round(s, 6) AS name_similarity FROM p WHERE match_type IS NOT NULL""")
 def match_classes(spark, sf_dir):
-    return candidates.classified(spark.createDataFrame(STAGED, PEOPLE), spark.createDataFrame(KNOWN, PEOPLE))
+    return candidates.classified(*_sides(spark, sf_dir))
 
 
-@query("SELECT * FROM " + values([(1, "insert", None, None, "ann-smith-1"), (2, "insert", None, None, "bob-stone-1"), (3, "insert", None, None, "catherine-johnson"), (4, "insert", None, None, "zed-zulu"), (5, "insert", None, None, "dan-poe-1"), (6, "update", 14, "phone", "ann-smith"), (7, "update", 16, "address", "dan-poe")], "id, action, known_id, matched_by, slug"))
+@query(f"""WITH s AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {STAGED}), k AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {KNOWN}),
+m AS (SELECT s.id, k.id AS known_id, k.slug, CASE WHEN s.email = k.email AND s.email <> '' THEN 'email' WHEN s.phone = k.phone AND s.phone <> '' THEN 'phone' WHEN s.address = k.address AND s.address <> '' THEN 'address' END AS matched_by FROM s JOIN k USING (base)),
+i AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM s WHERE id NOT IN (SELECT id FROM m WHERE matched_by IS NOT NULL)),
+t AS (SELECT base, max(regexp_extract(slug, '([0-9]+)$', 1)::INT) AS top FROM k GROUP BY 1)
+SELECT id, 'update' AS action, known_id, matched_by, slug FROM m WHERE matched_by IS NOT NULL UNION ALL
+SELECT id, 'insert', NULL, NULL, base || CASE n WHEN 0 THEN '' ELSE '-' || (n + coalesce(top, 0)) END FROM i LEFT JOIN t USING (base)""")
 def resolved_filings(spark, sf_dir):
-    known = spark.createDataFrame(KNOWN, PEOPLE).withColumn("phone", F.when(F.col("id") == 14, "777").otherwise(F.col("phone")))
-    more = [(6, "Ann", None, "Smith", "ann-smith-4", None, "777", None), (7, "D", None, "Poe", "dan-poe-2", None, None, "2 oak ave")]
-    return candidates.resolve(spark.createDataFrame(STAGED + more, PEOPLE), known)
+    return candidates.resolve(*_sides(spark, sf_dir))
 
 
 @query("""SELECT o_orderkey AS bill_id, lower('mn' || 'hf ' || o_orderkey % 7 || '-2025') AS raw, CASE o_orderkey % 5 WHEN 1 THEN 'introduced' WHEN 2 THEN 'in_consideration' WHEN 4 THEN 'became_law' ELSE 'unknown' END AS status,
@@ -394,22 +427,23 @@ def merged_contacts(spark, sf_dir):
     return candidates.merge_contacts(people, scraped, ["url", "email"], F.lit(2))[0]
 
 
-ELECTIONS = [("general-2024", "General", None, None, "2024-11-05"), ("mn-primary-2024", "Primary", "MN", None, "2024-08-13"), ("tx-primary-2024", "Primary", "TX", None, "2024-03-05"), ("stp-2024", "City", None, "St. Paul", "2024-11-05"), ("general-2022", "General", None, None, "2022-11-08")]
-
-
-@query("SELECT * FROM " + values([("mn-primary-2024", "Primary"), ("general-2024", "General")], "slug, title"))
+@query("SELECT 'e-' || o_orderkey AS slug FROM orders WHERE year(o_orderdate) = 1997 AND (o_orderkey % 4 = 0 OR o_orderkey % 4 = 2 AND o_custkey % 2 = 0)")
 def elections_of_state(spark, sf_dir):
-    rows = spark.createDataFrame(ELECTIONS, "slug string, title string, state string, municipality string, day string").withColumn("election_date", F.to_date("day"))
-    return candidates.elections_of(rows, state="MN", year=2024).select("slug", "title")
-
+    k = F.col("o_orderkey") % 4
+    rows = read(spark, sf_dir, "orders").select(F.concat(F.lit("e-"), F.col("o_orderkey").cast("string")).alias("slug"), F.when(k == 0, "MN").when(k == 1, "TX").alias("state"), F.when((k == 2) & (F.col("o_custkey") % 2 == 1), "St. Paul").when(k == 3, "Duluth").alias("municipality"), F.to_date("o_orderdate").alias("election_date"))
+    return candidates.elections_of(rows, state="MN", year=1997).select("slug")
 
-MEASURES = [("1", "Schools", "12", "no data", "no data"), ("CQ 2", "Roads", "no data", "no data", "no data"), ("3", "Parks", "12", "4500", "no data"), ("4", "Levy", "12", "4500", "0625"), ("5", "Levy", "no data", "no data", "0625"), ("", "None", "12", "no data", "no data"), ("6", "no data", "12", "no data", "no data")]
 
-
-@query("SELECT * FROM " + values([("mn-2024-1-12", "1 Dakota", "Dakota", None, None, "county"), ("mn-2024-cq-2", "CQ 2 ", None, None, None, "state"), ("mn-2024-3-12", "3 Dakota", "Dakota", "4500", None, "city"), ("mn-2024-4-12", "4 Dakota", "Dakota", "4500", "0625", "district"), ("mn-2024-5", "5 ", None, None, "0625", "district")], "slug, measure_code, county, municipality_fips, school_district, election_scope"))
+@query("""WITH m AS (SELECT p_partkey AS i, p_partkey % 6 AS k, CASE WHEN p_partkey % 6 IN (0, 2, 3) THEN p_size % 5 END AS c FROM part WHERE p_partkey % 6 <> 5)
+SELECT 'mn-2024-q' || i || coalesce('-' || c, '') AS slug, 'Q' || i || ' ' || coalesce(r_name, '') AS measure_code, r_name AS county, CASE WHEN k IN (2, 3) THEN '45' END AS municipality_fips, CASE WHEN k IN (3, 4) THEN '0625' END AS school_district,
+CASE k WHEN 0 THEN 'county' WHEN 1 THEN 'state' WHEN 2 THEN 'city' ELSE 'district' END AS election_scope FROM m LEFT JOIN region ON r_regionkey = c""")
 def ballot_measures(spark, sf_dir):
-    rows = spark.createDataFrame(MEASURES, "number string, title string, county_id string, fips string, school string")
-    counties = spark.createDataFrame([("12", "Dakota", "27037")], "county_id string, county string, county_fips string")
+    k, none = F.col("p_partkey") % 6, F.lit("no data")
+    rows = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("number"), F.when(k == 5, none).otherwise(F.col("p_name")).alias("title"), F.when(k.isin(0, 2, 3), (F.col("p_size") % 5).cast("string")).otherwise(none).alias("county_id"),
+        F.when(k.isin(2, 3), "45").otherwise(none).alias("fips"), F.when(k.isin(3, 4), "0625").otherwise(none).alias("school"),
+    )
+    counties = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("county_id"), F.col("r_name").alias("county"), F.concat(F.lit("270"), F.col("r_regionkey").cast("string")).alias("county_fips"))
     return candidates.measures(rows, counties, "MN", 2024).drop("title", "county_fips")
 
 
