@@ -30,6 +30,8 @@ DATE = "2000-01-01T00:00:00Z"
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 16_000_000, 64_000, 6
+#: Archives are read in pieces of so many bytes: what a piece holds beyond a record is copied once.
+READ_BYTES = 16_384
 BATCH_ROWS = 256
 
 
@@ -84,17 +86,22 @@ def archive(records: list[bytes], known: zstd.ZstdCompressionDict | None) -> byt
 
 
 def records_in(raw: bytes) -> Iterator[bytes]:
-    """The records of an archive, one at a time."""
+    """The records of an archive, one at a time, in time that grows with its bytes."""
     known, start = None, 0
     if len(raw) >= 8 and struct.unpack_from("<I", raw)[0] == DICTIONARY_MAGIC:
         size = struct.unpack_from("<I", raw, 4)[0]
         known, start = zstd.ZstdCompressionDict(raw[8 : 8 + size]), 8 + size
     tool = zstd.ZstdDecompressor(dict_data=known) if known is not None else zstd.ZstdDecompressor()
-    view = memoryview(raw)[start:]
-    while len(view):
-        frame = tool.decompressobj()
-        yield frame.decompress(view)
-        view = view[len(view) - len(frame.unused_data) :]
+    view = memoryview(raw)
+    while start < len(view):
+        frame, parts = tool.decompressobj(), []
+        while not frame.eof:
+            piece = view[start : start + READ_BYTES]
+            if not len(piece):
+                raise ValueError("the archive ends within a record")
+            parts.append(frame.decompress(piece))
+            start += len(piece) - len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:

@@ -169,6 +169,10 @@ def test_dictionary_frame_comes_first():
     records = [warc.record_of(i, "http://x", f"<p>{i} many words in common</p>".encode() * 40, b"\0" * 20, None) for i in range(200)]
     raw = warc.archive(records, warc.train(records))
     assert raw[:4] == b"\x5d\x2a\x4d\x18" and list(warc.records_in(raw)) == records
+    large = [bytes(np.random.default_rng(1).integers(0, 256, 3 * warc.READ_BYTES, np.uint8)), b"", b"x" * 100_000]
+    assert list(warc.records_in(warc.archive(large, None))) == large and list(warc.records_in(b"")) == []
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records_in(raw[:-3]))
 
 
 def test_compact_windows_cover_every_stretch_once():
