@@ -228,3 +228,16 @@ def years_in_office(experience: Column, this_year: Column) -> Column:
 
     held = F.filter(experience, lambda e: F.coalesce(e["title"], F.lit("")) != "Candidate")
     return F.aggregate(F.transform(held, lambda e: F.coalesce(years(e["span"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+
+
+def career_years(experience: Column, this_year: Column) -> Column:
+    """Years of a career as JSON: an array as in ``years_in_office``, one object whatever its title, 0 for anything else; of null, null."""
+    entry = "struct<title: string, span: string>"
+
+    def told(v: Column) -> Column:
+        many, one = F.try_variant_get(v, "$", f"array<{entry}>"), F.try_variant_get(v, "$", entry)
+        mandate = F.array(F.struct(F.lit("").alias("title"), one["span"].alias("span")))
+        kind = F.schema_of_variant(v)
+        return F.when(kind.startswith("ARRAY"), years_in_office(many, this_year)).when(kind.startswith("OBJECT"), years_in_office(mandate, this_year)).otherwise(0)
+
+    return F.when(experience.isNotNull(), F.coalesce(_let(F.try_parse_json(experience), told), F.lit(0)))

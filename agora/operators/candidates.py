@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions.text import similarity, slugify
 from agora.operators.merge import numbered_slugs, unmatched, upsert
 from agora.operators.search import fuzzy_pairs
-from agora.operators.storage import components
+from agora.operators.storage import components, cut
 
 
 def primary_winners(results: DataFrame, races: DataFrame) -> DataFrame:
@@ -111,6 +111,28 @@ def resolve(staged: DataFrame, known: DataFrame) -> DataFrame:
     return updates.unionByName(inserts.select("id", F.lit("insert").alias("action"), F.lit(None).cast(known.schema["id"].dataType).alias("known_id"), F.lit(None).cast("string").alias("matched_by"), "slug"))
 
 
+def resolution(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> dict[str, DataFrame]:
+    """All outputs of ``resolve``, from matches that are found once: ``updated``, the known rows with the staged values that are not
+    blank; ``overwritten``, known_id, field, before and after of values that were another; ``inserted``, staged rows with
+    their slugs; ``dupes``, further staged rows of a known one, of which the least id counts; ``unmatched``, inserted ones with namesakes."""
+    found = cut(resolve(staged, known))
+    updates = found.filter("action = 'update'").drop("action", "slug")
+    chosen = updates.groupBy("known_id").agg(F.min("id").alias("id"))
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    new = chosen.join(staged.select("id", F.struct(*(said(F.col(c)).alias(c) for c in fields)).alias("_n")), "id").select(F.col("known_id").alias("id"), "_n")
+    both = known.join(new, "id")
+    inserted = staged.drop("slug").join(found.filter("action = 'insert'").select("id", "slug"), "id")
+    base = F.regexp_replace("slug", "-[0-9]+$", "")
+    change = F.array(*(F.struct(F.lit(c).alias("field"), said(F.col(c)).alias("before"), F.col(f"_n.{c}").alias("after")) for c in fields))
+    return {
+        "updated": both.select(*(F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in known.columns)),
+        "overwritten": both.select(F.col("id").alias("known_id"), F.explode(change).alias("c")).select("known_id", "c.*").filter("before <> after"),
+        "inserted": inserted,
+        "dupes": updates.join(chosen, ["known_id", "id"], "left_anti"),
+        "unmatched": inserted.withColumn("_base", base).join(known.select(base.alias("_base")).distinct(), "_base", "left_semi").drop("_base"),
+    }
+
+
 def same_persons(filings: DataFrame) -> DataFrame:
     """Filings with the slug of the person they are of: those of one base that share an e-mail or an address, straight or
     through others, are one person's. ``filings``: id, base, email, address; blank ones are none, case and blanks around

@@ -57,6 +57,59 @@ def post_primary(races: DataFrame, results: DataFrame, race: str, votes: str, ti
     return r.withColumn("outcome", outcome).filter("outcome is not null").select(race, tie, "rank", "outcome")
 
 
+def general_title(title: Column) -> Column:
+    """A primary's title as that of the general race, its party left out."""
+    said = F.trim(title)
+    for old, new in ((" Primary", " General"), (" Democratic -", ""), (" Republican -", "")):
+        said = F.replace(said, F.lit(old), F.lit(new))
+    return said
+
+
+def general_slug(slug: Column) -> Column:
+    """A primary's slug as that of the general race, its party left out; primaries of both parties have the same."""
+    first = F.regexp_replace(slug, "(?is)^(.*?)-primary", "$1-general")
+    return F.rtrim(F.regexp_replace(F.regexp_replace(first, "(?i)-democratic-", "-"), "(?i)-republican-", "-"), F.lit("- "))
+
+
+def after_primary(races: DataFrame, entries: DataFrame, kept: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a primary leads to: ``runoff_races``, ``runoff_candidates``, ``general_races``, ``general_candidates``, ``winners``.
+
+    ``races``: race_id, title, slug, office_id, party, num_elect, winner_ids, reporting, precincts, total_votes;
+    ``entries``: race_id, candidate_id, votes; ``kept``: slugs of races that are there already and aren't made again.
+    A fully reported race of more than two candidates whose best has under half of its votes goes to a runoff of two. Each
+    primary has a general race, both parties' the same one, for which the first race_id stands. To it go the winners that
+    are set, else as many as are elected; races that go to a runoff and those that aren't counted send nobody yet. Ties
+    go to the lesser candidate_id.
+    """
+    whole = F.coalesce(F.col("reporting") == F.col("precincts"), F.lit(False))
+    known = races.select("slug").limit(0) if kept is None else kept.select("slug").distinct()
+    order = F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc_nulls_last("votes"), "candidate_id"))
+    placed = entries.withColumn("place", order)
+    share = F.max(F.when(F.col("votes") > 0, F.col("votes") / F.nullif(F.col("total_votes"), F.lit(0))))
+    counted = placed.join(races.filter(whole).select("race_id", "total_votes"), "race_id").groupBy("race_id").agg(share.alias("best"), F.count_distinct("candidate_id").alias("n"))
+    runoff = counted.filter((F.col("best") < 0.5) & (F.col("n") > 2)).select("race_id")
+    runoff_slug, party = F.concat(F.rtrim(F.col("slug"), F.lit("- ")), F.lit("-runoff")), [c for c in ("office_id", "party") if c in races.columns]
+    runoffs = races.join(runoff, "race_id").select(F.col("race_id").alias("source_race_id"), runoff_slug.alias("slug"), F.concat(F.trim("title"), F.lit(" - Runoff")).alias("title"), *party)
+    two = placed.filter((F.col("place") <= 2) & (F.col("votes") > 0))
+    to_runoff = runoffs.select(F.col("source_race_id").alias("race_id"), "slug").join(two, "race_id").select("slug", "candidate_id").distinct()
+
+    own = races.select("race_id", general_title(F.col("title")).alias("title"), general_slug(F.col("slug")).alias("slug"), *party[:1], "num_elect")
+    first = own.groupBy("slug").agg(F.min(F.struct("race_id", *(c for c in own.columns if c not in ("race_id", "slug")))).alias("r"))
+    generals = first.join(known, "slug", "left_anti").select("slug", F.col("r.race_id").alias("source_race_id"), *(F.col(f"r.{c}").alias(c) for c in own.columns if c not in ("race_id", "slug")))
+    through = races.filter(whole & F.col("total_votes").isNotNull()).join(runoff, "race_id", "left_anti")
+    given = through.filter(F.size(F.coalesce("winner_ids", F.array().cast(races.schema["winner_ids"].dataType))) > 0).select("race_id", F.posexplode("winner_ids").alias("place", "candidate_id"))
+    chosen = placed.join(through.join(given.select("race_id").distinct(), "race_id", "left_anti").select("race_id", F.coalesce("num_elect", F.lit(1)).alias("_n")), "race_id").filter(F.col("place") <= F.col("_n"))
+    advancing = given.unionByName(chosen.select("race_id", "place", "candidate_id"))
+    winners = two.join(runoff, "race_id").select("race_id", "place", "candidate_id").unionByName(chosen.select("race_id", "place", "candidate_id"))
+    return {
+        "runoff_races": runoffs.join(known, "slug", "left_anti"),
+        "runoff_candidates": to_runoff,
+        "general_races": generals,
+        "general_candidates": own.select("race_id", "slug").join(advancing, "race_id").select("slug", "candidate_id").distinct(),
+        "winners": winners.groupBy("race_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate_id"))), lambda w: w["candidate_id"]).alias("winner_ids")),
+    }
+
+
 def wins_and_losses(races: DataFrame, entries: DataFrame, race: str, who: str, winner_ids: str = "winner_ids") -> DataFrame:
     """Per candidate: decided races won and lost; races without winners count for neither."""
     decided = races.filter(F.size(F.coalesce(F.col(winner_ids), F.array().cast("array<bigint>"))) > 0)

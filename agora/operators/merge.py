@@ -62,6 +62,12 @@ def changed(old: DataFrame, new: DataFrame, key: str, hash: str) -> DataFrame:
     return pair.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(key)
 
 
+def entries(rows: DataFrame, json: str, key: str = "key", value: str = "value") -> DataFrame:
+    """The entries of JSON objects, a row each, values as text; what isn't an object has none."""
+    found = F.try_variant_get(F.try_parse_json(json), "$", "map<string, string>")
+    return rows.select(*(c for c in rows.columns if c != json), F.explode(found).alias(key, value))
+
+
 def compared(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: in old only, in new only, or in both."""
     side = F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNull(), "old").otherwise("both")

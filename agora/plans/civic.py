@@ -404,6 +404,44 @@ def resolved_filings(spark, sf_dir):
     return candidates.resolve(*_sides(spark, sf_dir))
 
 
+@query(f"""WITH s AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {STAGED}), k AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {KNOWN}),
+m AS (SELECT s.id, k.id AS known_id FROM s JOIN k USING (base) WHERE s.email = k.email AND s.email <> '' OR s.phone = k.phone AND s.phone <> '' OR s.address = k.address AND s.address <> ''),
+c AS (SELECT known_id, min(id) AS id FROM m GROUP BY 1), f AS (SELECT s.*, k.email AS e, k.phone AS p, k.address AS a FROM c JOIN s USING (id) JOIN k ON k.id = known_id),
+i AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM m))
+SELECT 'updated' AS kind, count(*) AS n FROM c UNION ALL SELECT 'dupes', (SELECT count(*) FROM m) - count(*) FROM c UNION ALL SELECT 'inserted', count(*) FROM i UNION ALL SELECT 'unmatched', count(*) FROM i WHERE base IN (SELECT base FROM k) UNION ALL
+SELECT 'overwritten', (count(*) FILTER (email <> '' AND e <> '' AND email <> e)) + (count(*) FILTER (phone <> '' AND p <> '' AND phone <> p)) + (count(*) FILTER (address <> '' AND a <> '' AND address <> a)) FROM f""")
+def resolution_counts(spark, sf_dir):
+    out = None
+    for kind, rows in candidates.resolution(*_sides(spark, sf_dir)).items():
+        one = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT n_nationkey::VARCHAR AS bill FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey % 5 = 0")
+def changed_in_a_map(spark, sf_dir):
+    """Hashes that come as one JSON object a region, against those that are kept, some stale and some never set."""
+    n = read(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("string").alias("bill"), F.md5(F.col("n_name").cast("binary")).alias("hash"))
+    maps = n.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bill", "hash")))).alias("said"))
+    kept = n.select("bill", F.when(F.col("bill").cast("int") % 4 == 0, "stale").when(F.col("bill").cast("int") % 5 > 0, F.col("hash")).alias("hash"))
+    return merge.changed(kept, merge.entries(maps, "said", "bill", "hash"), "bill", "hash")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN abs(2025 - (1990 + k)) WHEN 1 THEN k % 7 WHEN 2 THEN 2025 - 2001 + k % 7 WHEN 3 THEN 0 END::INT AS years FROM (SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events)")
+def careers_as_json(spark, sf_dir):
+    """Careers in one object or an array of them, by the number in an event's payload; a number alone is no career."""
+    v = F.parse_json("props")
+    k = F.variant_get(v, "$.k", "int").cast("string")
+    e = read(spark, sf_dir, "events").select("event_id", k.alias("k"), "props")
+    year, end = F.expr("1990 + int(k)").cast("string"), F.expr("2001 + int(k) % 7").cast("string")
+    one = F.concat(F.lit('{"title":"Candidate","span":"'), year, F.lit('-present"}'))
+    array = F.concat(F.lit('[{"title":"Candidate","span":"1950-1960"},{"title":"Mayor","span":"2001-'), end, F.lit('"}]'))
+    two = F.concat(F.lit('[{"title":"Mayor","span":"2001-'), end, F.lit('"},{"title":"Judge","span":"2001"}]'))
+    n = F.col("event_id") % 5
+    career = F.when(n == 0, one).when(n == 1, array).when(n == 2, two).when(n == 3, F.col("k"))
+    return e.select("event_id", names.career_years(career, F.lit(2025)).alias("years"))
+
+
 @query("""SELECT o_orderkey AS bill_id, lower('mn' || 'hf ' || o_orderkey % 7 || '-2025') AS raw, CASE o_orderkey % 5 WHEN 1 THEN 'introduced' WHEN 2 THEN 'in_consideration' WHEN 4 THEN 'became_law' ELSE 'unknown' END AS status,
 CASE WHEN o_orderkey % 3 = 0 THEN 'federal' ELSE 'state' END AS political_scope, CASE WHEN o_orderkey % 4 = 0 THEN 'house' WHEN o_orderkey % 4 = 1 THEN 'senate' END AS chamber, o_orderstatus AS last_action, o_orderdate::DATE AS last_action_date
 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 10 <> 0""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions import offices
+from agora.operators import elections
 
 from .catalog import query, read
 
@@ -115,3 +116,49 @@ def filings_of_titles(spark, sf_dir):
     o = o.select("*", offices.office_slug(F.col("o"), "TX").alias("slug"), offices.tx_subtitle(F.col("o")).alias("s"), offices.tx_rank(F.col("o.title"), F.col("o.district")).alias("rank"))
     race = offices.race_title("TX", F.col("o.name"), F.col("s.long"), F.col("special"), F.lit(True), F.substring("party", 1, 1), F.lit(2026))
     return o.select("o_orderkey", *(F.col(f"o.{x}") for x in _FILED[:9]), "slug", "s.long", "s.short", "rank", race.alias("race")).select("*", F.col("race.slug").alias("race_slug")).withColumn("race", F.col("race.title"))
+
+
+#: Two parties' primaries an office; orders are races, what was sold for them are votes of suppliers.
+_PRIMARY = """WITH e AS (SELECT l_orderkey AS race_id, l_suppkey AS candidate_id, sum(l_quantity)::BIGINT AS votes FROM lineitem GROUP BY 1, 2),
+t AS (SELECT race_id, sum(votes)::BIGINT AS total FROM e GROUP BY 1),
+r AS (SELECT o_orderkey AS race_id, o_orderkey // 2 AS office, CASE o_orderkey % 2 WHEN 0 THEN 'Democratic' ELSE 'Republican' END AS party, CASE WHEN o_orderkey % 7 = 0 THEN 2 END AS num_elect, o_orderstatus <> 'P' AS whole, total FROM orders LEFT JOIN t ON race_id = o_orderkey),
+p AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY votes DESC, candidate_id) AS place FROM e),
+u AS (SELECT race_id FROM r JOIN e USING (race_id) WHERE whole GROUP BY race_id, total HAVING max(votes) / total < 0.5 AND count(*) > 2)
+"""
+
+
+def primaries(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("race_id"), F.col("l_suppkey").alias("candidate_id")).agg(F.sum("l_quantity").cast("bigint").alias("votes"))
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    party = F.when(k % 2 == 0, "Democratic").otherwise("Republican")
+    office = F.floor(k / 2).cast("string")
+    races = o.select(
+        k.alias("race_id"), F.concat(F.lit("TX - House "), office, F.lit(" - Primary - "), party, F.lit(" - 2026 ")).alias("title"), F.concat(F.lit("tx-house-"), office, F.lit("-primary-"), F.lower(party), F.lit("-2026-")).alias("slug"), office.alias("office_id"), party.alias("party"),
+        F.when(k % 7 == 0, 2).alias("num_elect"), F.array().cast("array<bigint>").alias("winner_ids"), F.when(F.col("o_orderstatus") != "P", 9).otherwise(8).alias("reporting"), F.lit(9).alias("precincts"),
+    )
+    return elections.after_primary(races.join(line.groupBy("race_id").agg(F.sum("votes").alias("total_votes")), "race_id", "left"), line)
+
+
+@query(_PRIMARY + "SELECT race_id AS source_race_id, 'tx-house-' || office || '-primary-' || lower(party) || '-2026-runoff' AS slug, 'TX - House ' || office || ' - Primary - ' || party || ' - 2026 - Runoff' AS title, office::VARCHAR AS office_id, party FROM r JOIN u USING (race_id)")
+def runoff_races(spark, sf_dir):
+    return primaries(spark, sf_dir)["runoff_races"]
+
+
+@query(_PRIMARY + "SELECT 'tx-house-' || office || '-primary-' || lower(party) || '-2026-runoff' AS slug, candidate_id FROM r JOIN u USING (race_id) JOIN p USING (race_id) WHERE place <= 2")
+def runoff_candidates(spark, sf_dir):
+    return primaries(spark, sf_dir)["runoff_candidates"]
+
+
+@query(_PRIMARY + "SELECT 'tx-house-' || office || '-general-2026' AS slug, min(race_id) AS source_race_id, 'TX - House ' || office || ' - General - 2026' AS title, office::VARCHAR AS office_id, arg_min(coalesce(num_elect, 0), race_id) AS num_elect FROM r GROUP BY office")
+def general_races(spark, sf_dir):
+    return primaries(spark, sf_dir)["general_races"].withColumn("num_elect", F.coalesce("num_elect", F.lit(0)))
+
+
+@query(_PRIMARY + "SELECT DISTINCT 'tx-house-' || office || '-general-2026' AS slug, candidate_id FROM r JOIN p USING (race_id) WHERE whole AND race_id NOT IN (SELECT race_id FROM u) AND place <= coalesce(num_elect, 1)")
+def general_candidates(spark, sf_dir):
+    return primaries(spark, sf_dir)["general_candidates"]
+
+
+@query(_PRIMARY + "SELECT race_id, string_agg(candidate_id::VARCHAR, ',' ORDER BY place) AS winners FROM r JOIN p USING (race_id) WHERE whole AND place <= CASE WHEN race_id IN (SELECT race_id FROM u) THEN 2 ELSE coalesce(num_elect, 1) END GROUP BY 1")
+def primary_outcomes(spark, sf_dir):
+    return primaries(spark, sf_dir)["winners"].select("race_id", F.array_join(F.col("winner_ids").cast("array<string>"), ",").alias("winners"))
