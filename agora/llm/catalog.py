@@ -31,6 +31,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.source", "n_lines", "n_dropped", "text")
 
 
+def host_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's operator by host: the lines of the pages' html."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))
+    return lines.cleaned(pages, Workspace(spark, "host-lines")).select("row.page_id", "n_lines", "n_dropped", "text")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
 
@@ -84,7 +90,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Query]:
-    all_of = (op1_secrets, op2_toxicity, op3_warc, op4_repeated_passages, op5_near_dedup, op6_quality_rules, quality_statistics, op7_nearest, op8_line_dedup, op9_packing, op10_mixing, op11_lm_scores, op12_alignment, op13_whitening)
+    all_of = (op1_secrets, op2_toxicity, op3_warc, op4_repeated_passages, op5_near_dedup, op6_quality_rules, quality_statistics, op7_nearest, op8_line_dedup, host_line_dedup, op9_packing, op10_mixing, op11_lm_scores, op12_alignment, op13_whitening)
     return {f.__name__: f for f in all_of}
 
 
@@ -134,6 +140,8 @@ SELECT doc_id, source, coalesce(len(x), 1)::BIGINT AS n_lines, coalesce(len(x) -
 FROM kept
 """
 
+_HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+HOST_LINES_SQL = f"WITH documents AS (SELECT page_id AS doc_id, {_HOST} AS source, html AS text FROM pages) SELECT doc_id AS page_id, n_lines, n_dropped, text FROM ({LINES_SQL})"
 
 NEAR_SQL = r"""
 WITH RECURSIVE base AS (
@@ -155,4 +163,4 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS ke
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"quality_statistics": QUALITY_SQL, "op8_line_dedup": LINES_SQL, "op5_near_dedup": NEAR_SQL}
+    return {"quality_statistics": QUALITY_SQL, "op8_line_dedup": LINES_SQL, "host_line_dedup": HOST_LINES_SQL, "op5_near_dedup": NEAR_SQL}
