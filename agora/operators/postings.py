@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.stems import stem
+
 from .search import STOP_WORDS, tokens
 
 #: Weights of the four classes of fields, positions kept of a word, the last position, and how nearness of two words fades.
@@ -23,10 +25,11 @@ def query_terms(query: str) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(r"[^\W_]+", query.lower())) if w not in STOP_WORDS]
 
 
-def index(rows: DataFrame, id: str, fields: dict[str, str]) -> DataFrame:
+def index(rows: DataFrame, id: str, fields: dict[str, str], english: bool = False) -> DataFrame:
     """Postings (term, id, hits): per text the places (position from 1, weight) where a term stands, fields one after another.
 
     ``fields``: columns and their classes, A to D. Stop words are not terms, but their places count; a null field has no words.
+    ``english``: terms are the words' stems.
     """
 
     def of_field(column: str, weight: float) -> Column:
@@ -36,7 +39,15 @@ def index(rows: DataFrame, id: str, fields: dict[str, str]) -> DataFrame:
     each = rows.select(F.col(id).alias("id"), F.posexplode(marked).alias("p", "h")).filter(~F.col("h.term").isin(list(STOP_WORDS)))
     place = F.struct(F.least(F.col("p") + 1, F.lit(LAST)).alias("position"), F.col("h.weight").alias("weight"))
     # a text's own words meet in one group; of very many places of one word the first stay, as the format has it
-    return each.groupBy("id", F.col("h.term").alias("term")).agg(F.slice(F.array_sort(F.collect_list(place)), 1, POSITIONS).alias("hits"))
+    first = lambda hits: F.slice(F.array_sort(hits), 1, POSITIONS)
+    words = each.groupBy("id", F.col("h.term").alias("term")).agg(first(F.collect_list(place)).alias("hits"))
+    return words.groupBy("id", stem(F.col("term")).alias("term")).agg(first(F.flatten(F.collect_list("hits"))).alias("hits")) if english else words
+
+
+def stems_of(spark: SparkSession, terms: list[str]) -> list[str]:
+    """The different stems of a query's terms, in order."""
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int").select("i", stem(F.col("term")).alias("term")).orderBy("i")
+    return list(dict.fromkeys(r["term"] for r in rows.collect()))
 
 
 def matches(postings: DataFrame, terms: list[str], every: bool = True) -> DataFrame:
