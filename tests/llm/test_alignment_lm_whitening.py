@@ -1,5 +1,6 @@
 """Language-model scores, tokenizer alignment and whitening, held against plain versions."""
 
+import dataclasses
 import hashlib
 import math
 import re
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agora.llm import alignment, catalog, lm, whitening
-from agora.llm.common import Workspace
+from agora.llm.common import Workspace, word_hashes
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
@@ -102,46 +103,14 @@ def test_probabilities_sum_to_one(spark):
     model, bits = lm.train(docs, counts, Workspace(spark, "lm"))
     filter = lm.Filter.of({r["segment"]: np.frombuffer(r["bits"], "<u8") for r in bits.collect()}, model.layout.segments)
     vocabulary = sorted({w for _, t in rows for w in t.split()})
-
-    def of(texts):
-        asked = model.asks(pa.array(texts))
-        return model.scores(asked, filter.levels(asked.segments, asked.keys, asked.kinds))
-
-    for h in ("w1", "w2", "w7", "w40"):
-        alone = of([h])[0]  # ends with the end mark
-        ends = of([f"{h} {w}" for w in [*vocabulary, "never"]])
-        singles = of(vocabulary + ["never"])
-        begin = of([""])[0]
-        # log p(h w end) - log p(h) - log p(end | w), with p(end | w) from the texts of one word
-        first = {w: s for w, s in zip([*vocabulary, "never"], singles, strict=True)}
-        assert begin < 0 and alone < 0
-        total = 0.0
-        asked = model.asks(pa.array([f"{h} {w}" for w in [*vocabulary, "never"]]))
+    for h in ("w1", "w2", "w7", "w40", "never"):
+        asked = model.asks(pa.array([h, *(f"{h} {w}" for w in [*vocabulary, "unseen"])]))
         levels = filter.levels(asked.segments, asked.keys, asked.kinds)
-        for w, s in zip([*vocabulary, "never"], ends, strict=True):
-            x = model.asks(pa.array([f"{w}"]))
-            p = model.scores(x, filter.levels(x.segments, x.keys, x.kinds))[0]
-            assert p == first[w]
-            total += 10 ** (s - (alone - _end_after(model, filter, h)) - _end_after(model, filter, w))
-        assert len(levels) == len(asked.keys) and 0.85 < total < 1.1
-
-
-def _end_after(model, filter, w):
-    """log10 of the end mark's probability after a word: what one more such word in front of nothing adds."""
-    texts = [w, f"{w} {w}", f"{w} {w} {w}"]
-    asked = model.asks(pa.array(texts))
-    s = model.scores(asked, filter.levels(asked.segments, asked.keys, asked.kinds))
-    again = s[2] - s[1]  # log p(w | w)
-    asked = model.asks(pa.array([f"{w} {w}", ""]))
-    n, k = len(asked.a), len(asked.words)
-    levels = filter.levels(asked.segments, asked.keys, asked.kinds)
-    pair, word, after = model.value[0, levels[:n]], model.value[1, levels[n : n + k]], model.value[2, levels[n + k :]]
-    assert again <= 0 and len(pair) == n
-    i = next(j for j in range(n) if asked.words[asked.b[j]] == lm.END and asked.words[asked.a[j]] != lm.BEGIN)
-    alone = (word[asked.b[i]] + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1))
-    h = asked.a[i]
-    below = after[h] or 1
-    return math.log10(min(1.0, (min(pair[i], word[h]) + below * alone) / (word[h] + below) if word[h] else alone))
+        n = np.arange(len(asked.a))
+        each = 10 ** model.scores(dataclasses.replace(asked, of_pair=n, begin=2 * n), levels)  # one pair a text
+        after_h = asked.words[asked.a] == word_hashes(pa.array([h]), True)[0][0]
+        assert after_h.sum() == len(vocabulary) + 2 and (each > 0).all() and (each <= 1).all()
+        assert 0.85 < each[after_h].sum() < 1.1
 
 
 def test_levels_come_back():
