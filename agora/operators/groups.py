@@ -86,42 +86,60 @@ def _balanced(assigned: DataFrame, t: int, k: int, least: int, c: VoteCols) -> D
 def _lloyd(rows: DataFrame, people: DataFrame, n: int, tries: list[int], c: VoteCols) -> DataFrame:
     """Per participant its group for each number of groups tried, columns g2, g3, ...: rounds for all of them at once.
 
-    Centres are rows (unit, array of all centres' values). Neither votes nor centres pass through the driver, only sizes.
+    Centres are rows (unit, array of all centres' values). Each participant also has a vote of 1 on no unit at all, whose
+    centre values are minus half a centre's squared length: so a participant's votes times a centre's values are the more
+    the nearer it is, and their sums on no unit are the groups' sizes. Neither votes nor centres pass through the driver.
     """
     seeds = _seeds(rows, people, max(tries), c)
     tries = [t for t in tries if t <= len(seeds)] or [max(1, min(len(seeds), tries[0]))]
     slots = [(t, i) for t in tries for i in range(t)]
+    none = F.lit(None).cast(rows.schema[c.unit].dataType)
+    own = rows.select(c.participant, F.struct(F.col(c.unit).alias("u")).alias("_u"), "x").unionByName(people.select(c.participant, F.struct(none.alias("u")).alias("_u"), F.lit(1.0).alias("x")))
+    own = cut(own.repartition(c.participant))
     first = [F.sum(F.when(F.col(c.participant) == F.lit(seeds[i]), F.col("x")).otherwise(0.0)) for _, i in slots]
-    centres = cut(rows.filter(F.col(c.participant).isin(*seeds)).groupBy(c.unit).agg(F.array(*first).alias("m")))
+    sums = cut(own.filter(F.col(c.participant).isin(*seeds)).groupBy("_u").agg(F.array(*first).alias("s")))
+    centres = None
+
+    def centre_table(sums: DataFrame, sizes: list[float], lengths: list[float]) -> DataFrame:
+        value = [F.when(F.col("_u.u").isNull(), -lengths[s] / 2).otherwise(F.get("s", F.lit(s)) / max(sizes[s], 1.0)) for s in range(len(slots))]
+        return sums.select("_u", F.array(*value).alias("m"))
+
+    def assign(centres: DataFrame) -> DataFrame:
+        dots = own.join(centres, "_u").groupBy(c.participant).agg(F.array(*(F.sum(F.col("x") * F.get("m", F.lit(s))) for s in range(len(slots)))).alias("p"))
+        mine = {t: F.slice("p", 1 + next(s for s, (u, _) in enumerate(slots) if u == t), t) for t in tries}
+        return dots.select(c.participant, *((F.array_position(p, F.array_max(p)) - 1).cast("int").alias(f"g{t}") for t, p in mine.items()), *(F.transform(p, lambda x: -x).alias(f"d{t}") for t, p in mine.items()))
+
+    def summed(assigned: DataFrame) -> DataFrame:
+        of = [F.sum(F.when(F.col(f"g{t}") == i, F.col("x")).otherwise(0.0)) for t, i in slots]
+        return cut(own.join(assigned.select(c.participant, *(f"g{t}" for t in tries)), c.participant).groupBy("_u").agg(F.array(*of).alias("s")))
+
+    def told(sums: DataFrame, centres: DataFrame | None) -> tuple[list[float], list[float], float]:
+        """Sizes, squared lengths of the new centres, and how far the one that moved most has moved."""
+        both = sums.join(centres, "_u", "left") if centres is not None else sums.withColumn("m", F.lit(None).cast("array<double>"))
+        unit, new, old = F.col("_u.u").isNotNull(), lambda s: F.get("s", F.lit(s)), lambda s: F.coalesce(F.get("m", F.lit(s)), F.lit(0.0))
+        of = lambda f: F.array(*(F.coalesce(F.sum(F.when(unit, f(s))), F.lit(0.0)) for s in range(len(slots))))
+        r = both.agg(F.max(F.when(~unit, F.col("s"))).alias("n"), of(lambda s: new(s) * new(s)).alias("nn"), of(lambda s: new(s) * old(s)).alias("no"), of(lambda s: old(s) * old(s)).alias("oo")).first()
+        sizes = [max(x, 1.0) for x in r["n"]]
+        lengths = [x / z / z for x, z in zip(r["nn"], sizes, strict=True)]
+        return list(r["n"]), lengths, max(x - 2 * y / z + o for x, y, z, o in zip(lengths, r["no"], sizes, r["oo"], strict=True))
+
+    sizes, lengths, _ = told(sums, None)
     for _ in range(ROUNDS):
-        lengths = centres.agg(F.array(*(F.coalesce(F.sum(F.get("m", F.lit(s)) * F.get("m", F.lit(s))), F.lit(0.0)) for s in range(len(slots)))).alias("l"))
-        dots = rows.join(centres, c.unit).groupBy(c.participant).agg(F.array(*(F.sum(F.col("x") * F.get("m", F.lit(s))) for s in range(len(slots)))).alias("p"))
-        apart = people.join(dots, c.participant, "left").crossJoin(F.broadcast(lengths))
-        at = lambda s: F.col("q") + F.get("l", F.lit(s)) - 2 * F.coalesce(F.get("p", F.lit(s)), F.lit(0.0))  # noqa: B023, E731
-        ways = {}
-        for t in tries:
-            own = [s for s, (u, _) in enumerate(slots) if u == t]
-            ways[f"d{t}"] = F.array(*map(at, own))
-        assigned = apart.select(c.participant, *(v.alias(k) for k, v in ways.items()))
-        assigned = cut(assigned.select("*", *((F.array_position(f"d{t}", F.array_min(f"d{t}")) - 1).cast("int").alias(f"g{t}") for t in tries)))
-        sizes = assigned.agg(*(F.count(F.when(F.col(f"g{t}") == i, 1)).alias(f"n{s}") for s, (t, i) in enumerate(slots))).first()
-        for t in tries:
-            mine = [sizes[f"n{s}"] for s, (u, _) in enumerate(slots) if u == t]
-            if _moves(mine, n // (2 * t)):
+        centres = centre_table(sums, sizes, lengths)
+        assigned = assign(centres)
+        after = summed(assigned)
+        sizes, lengths, moved = told(after, centres)
+        full = [t for t in tries if _moves([int(sizes[s]) for s, (u, _) in enumerate(slots) if u == t], n // (2 * t))]
+        if full:
+            assigned = cut(assigned)
+            for t in full:
                 assigned = cut(_balanced(assigned, t, t, n // (2 * t), c))
-                mine = [assigned.filter(F.col(f"g{t}") == i).count() for i in range(t)]
-            sizes = sizes.asDict() if not isinstance(sizes, dict) else sizes
-            sizes |= {f"n{s}": mine[i] for s, (u, i) in enumerate(slots) if u == t}
-        mean = lambda s, t, i: F.sum(F.when(F.col(f"g{t}") == i, F.col("x")).otherwise(0.0)) / max(sizes[f"n{s}"], 1)  # noqa: B023, E731
-        after = rows.join(assigned, c.participant).groupBy(c.unit).agg(F.array(*(mean(s, t, i) for s, (t, i) in enumerate(slots))).alias("m"))
-        after = cut(after)  # a group without members keeps no centre; it gets some by balancing
-        both = after.select(c.unit, F.col("m").alias("_m")).join(centres, c.unit, "left")
-        shift = [F.sum(F.pow(F.get("_m", F.lit(s)) - F.coalesce(F.get("m", F.lit(s)), F.lit(0.0)), F.lit(2))) for s in range(len(slots))]
-        moved = both.agg(F.greatest(*shift, F.lit(0.0)).alias("m")).first()["m"]
-        centres = after
-        if (moved or 0.0) < TOLERANCE:
+            after = summed(assigned)
+            sizes, lengths, moved = told(after, centres)
+        sums = after
+        if moved < TOLERANCE:
             break
-    return assigned.select(c.participant, *(f"g{t}" for t in tries))
+    return cut(assigned.select(c.participant, *(f"g{t}" for t in tries)))
 
 
 def _sparse_quality(rows: DataFrame, people: DataFrame, groups: DataFrame, t: int, c: VoteCols) -> float:
