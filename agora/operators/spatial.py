@@ -26,3 +26,64 @@ def join_points(points: DataFrame, areas: DataFrame, cell: float, x: str = "x",
     spread = areas.withColumn("_cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_cy", F.explode(F.sequence(lo("y"), hi("y"))))
     placed = points.withColumns({"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)})
     return placed.join(spread, ["_cx", "_cy"]).filter(in_ring(F.col(x), F.col(y), F.col(ring))).drop("_cx", "_cy")
+
+
+def edges_of(rings: Column) -> Column:
+    """All edges of an area's rings (closed or not) as an array of (px, py, qx, qy); edges without length are left out."""
+
+    def of_ring(ring: Column) -> Column:
+        n = F.size(ring)
+        edge = lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), F.get(ring, (i + 1) % n)["x"].alias("qx"), F.get(ring, (i + 1) % n)["y"].alias("qy"))
+        return F.transform(ring, edge)
+
+    return F.filter(F.flatten(F.transform(rings, of_ring)), lambda e: (e["px"] != e["qx"]) | (e["py"] != e["qy"]))
+
+
+def within_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point lies inside what the edges enclose, by an odd number of them to its right; not on an edge itself.
+
+    Holes and further parts need no care: a hole's edges are crossed once more. Edges above and below the point may be missing.
+    """
+
+    def crosses(e: Column) -> Column:
+        at = e["px"] + (y - e["py"]) / F.nullif(e["qy"] - e["py"], F.lit(0.0)) * (e["qx"] - e["px"])
+        return F.coalesce(((e["py"] > y) != (e["qy"] > y)) & (x < at), F.lit(False))
+
+    def holds(e: Column) -> Column:
+        aligned = (e["qx"] - e["px"]) * (y - e["py"]) == (e["qy"] - e["py"]) * (x - e["px"])
+        return aligned & x.between(F.least(e["px"], e["qx"]), F.greatest(e["px"], e["qx"])) & y.between(F.least(e["py"], e["qy"]), F.greatest(e["py"], e["qy"]))
+
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, holds)
+
+
+def join_areas(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y", rings: str = "rings", cells: int = 4) -> DataFrame:
+    """Each point with the areas that hold it. ``rings``: outer rings and holes of all parts, arrays of (x, y) structs.
+
+    Each area lies on the grid of a power of two whose cells are about a ``cells``-th of its greater side, so a country and
+    a precinct both make at most (``cells`` + 1) squared rows; a point looks into one cell of each grid in use. A cell holds only the
+    edges that pass its row, so a point isn't held against a whole coast. The join is an equality of cells: a
+    cell with very many points is one that adaptive execution splits. Points on an edge are outside. Null coordinates
+    and areas without rings meet nothing. The columns of both sides must differ.
+    """
+    edge = lambda c, pick: pick(F.transform("_edges", lambda e: e[c]))
+    drawn = areas.withColumn("_edges", edges_of(F.col(rings))).filter(F.size("_edges") > 0).drop(rings)
+    box = {"_x0": edge("px", F.array_min), "_x1": edge("px", F.array_max), "_y0": edge("py", F.array_min), "_y1": edge("py", F.array_max)}
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    levelled = drawn.withColumns(box).withColumn("_level", F.ceil(F.log2(side / cells)).cast("int"))
+    levels = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # at most one for each exponent of a double
+    width = lambda level: F.pow(F.lit(2.0), level)
+    cell = lambda v, level: F.floor(v / width(level))
+    level = F.col("_level")
+    rows = levelled.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), level), cell(F.col("_y1"), level))))
+    low, high = F.col("_cy") * width(level), (F.col("_cy") + 1) * width(level)
+    rows = rows.withColumn("_edges", F.filter("_edges", lambda e: (F.greatest(e["py"], e["qy"]) >= low) & (F.least(e["py"], e["qy"]) <= high)))
+    spread = rows.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), level), cell(F.col("_x1"), level)))).drop(*box)
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"_cx": cell(F.col(x), level), "_cy": cell(F.col(y), level)})
+    return placed.join(spread, ["_level", "_cx", "_cy"]).filter(within_edges(F.col(x), F.col(y), F.col("_edges"))).drop("_level", "_cx", "_cy", "_edges")
+
+
+def one_area(points: DataFrame, key: str, areas: DataFrame, order: str, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
+    """Per ``key`` of the points the columns of one area that holds it, the least by ``order``; points in none are left out."""
+    kept = [c for c in areas.columns if c not in (order, rings)]
+    found = join_areas(points.select(key, x, y), areas, x, y, rings)
+    return found.groupBy(key).agg(F.min(F.struct(order)).alias("_o"), F.min_by(F.struct(*kept), F.struct(order)).alias("_a")).select(key, F.col(f"_o.{order}").alias(order), *(F.col(f"_a.{c}").alias(c) for c in kept))
