@@ -22,16 +22,23 @@ from pyspark.sql import functions as F
 from . import common
 from .common import Workspace, chunks, mix, text_bytes
 
-#: Labelled rows that voters are mined on, of each label at most; candidates looked at; voters at most (bits of a long).
-SAMPLE_PER_LABEL, CANDIDATES, VOTERS = 4000, 600, 62
+#: Labelled rows that voters are mined on, of each label at most; candidates among which voters are chosen; voters at most.
+#: These bound the model's size, as any classifier has a number of features; no row is left out for them.
+SAMPLE_PER_LABEL, CANDIDATES, VOTERS = 4000, 1000, 96
+#: Voters in one long of a mask.
+_WORD = 62
 PREFIXES = (4, 5, 6, 7, 8)
 #: A voter fires above one of these rates (occurrences a word).
 RATES = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
 ROUNDS, TURNS, STEPS, LABEL_ACCURACY = 12, 3, 8, 0.98
 #: Voters that correlate by more than this within a class share their weight.
 ALIKE = 0.2
-#: What a row without a label weighs in the classifier, beside 1 for one with a label.
-UNLABELLED = 0.1
+#: How much the rates that voters were mined with count in the label model, beside 1 for what all rows say. Without them the
+#: two classes that explain the votes best need not be toxic and clean.
+ANCHOR = 1.0
+#: What a row without a label weighs in the classifier, beside 1 for one with a label. This and ANCHOR were chosen by folds
+#: within the rows that may be learned from, by log-loss on a fold whose labels were hidden from all steps.
+UNLABELLED = 0.03
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -171,26 +178,43 @@ def mine(docs: DataFrame, labels: DataFrame, ws: Workspace) -> Model:
 
 
 def votes(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, mask (bit i: voter i fires), rates (of each voter, a word)."""
+    """Per row: doc_id, held_out, mask (longs of 62 bits, a bit for each voter that fires), rates (of each voter, a word)."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     gate, k = _gate(model.hashes), len(model.hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.left_shift(np.int64(1), np.arange(k, dtype=np.int64))
+        words = -(-k // _WORD)
+        place = np.zeros((k, words), np.int64)
+        place[np.arange(k), np.arange(k) // _WORD] = np.left_shift(np.int64(1), np.arange(k, dtype=np.int64) % _WORD)
         for whole in batches:
             for b in chunks(whole, "text"):
                 cells, n = _counts(b.column("text"), model.hashes, gate)
                 rates = cells / np.maximum(n, 1)[:, None]
-                mask = ((rates > model.rates) * bits).sum(1, dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(rates.astype(np.float32).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(mask), lists], ["doc_id", "held_out", "mask", "rates"])
+                mask = (rates > model.rates).astype(np.int64) @ place
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1))) for m in (mask, rates.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *lists], ["doc_id", "held_out", "mask", "rates"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, f"doc_id {kind}, held_out boolean, mask bigint, rates array<float>")
+    return rows.mapInArrow(count, f"doc_id {kind}, held_out boolean, mask array<bigint>, rates array<float>")
 
 
-def _bits(mask: np.ndarray, k: int) -> np.ndarray:
-    return ((mask[:, None] >> np.arange(k, dtype=np.int64)) & 1).astype(np.float64)
+def _bits(mask: pa.Array, k: int) -> np.ndarray:
+    """Which of ``k`` voters fire, by masks of one long each or of lists of longs."""
+    longs = mask.flatten() if pa.types.is_list(mask.type) else mask
+    words = longs.to_numpy(zero_copy_only=False).reshape(len(mask), -1)
+    at = np.arange(k, dtype=np.int64)
+    return ((words[:, at // _WORD] >> at % _WORD) & 1).astype(np.float64)
+
+
+def _upper(m: np.ndarray) -> np.ndarray:
+    """The upper half of a symmetric matrix, which is all that is summed up."""
+    return m[np.triu_indices(len(m))]
+
+
+def _whole(half: np.ndarray, k: int) -> np.ndarray:
+    m = np.zeros((k, k))
+    m[np.triu_indices(k)] = half
+    return m + np.triu(m, 1).T
 
 
 def posterior(model: Model, fires: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -222,32 +246,34 @@ def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
 
 
-def fit_label_model(model: Model, patterns: DataFrame) -> Model:
+def fit_label_model(model: Model, patterns: DataFrame, anchor: float = 0.0) -> Model:
     """Firing rates in each class, the prior, and correlations, from ``patterns`` (mask, label, n).
 
+    The rates and the prior that ``model`` comes with hold as if ``anchor`` times as many rows had shown them.
     Correlations and expectation maximisation take turns: voters that say the same first share their weight, by the
     posteriors so far, so that they don't pull the classes to themselves, and are looked at again by better posteriors.
     """
     k = len(model.hashes)
+    mined = (model.on_toxic, model.on_clean, model.prior)
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
-        fires, n = _bits(_column(b, "mask"), k), _column(b, "n").astype(float)
+        fires, n = _bits(b.column("mask"), k), _column(b, "n").astype(float)
         g = posterior(model, fires, _column(b, "label"))
         return np.concatenate([[(g * n).sum(), n.sum()], (g * n) @ fires, n @ fires])
 
     def pairs(b: pa.RecordBatch) -> np.ndarray:
-        fires, n = _bits(_column(b, "mask"), k), _column(b, "n").astype(float)
+        fires, n = _bits(b.column("mask"), k), _column(b, "n").astype(float)
         g = posterior(model, fires, _column(b, "label"))
         sides = [g * n, (1 - g) * n]
-        return np.concatenate([x for w in sides for x in ([w.sum()], w @ fires, ((fires * w[:, None]).T @ fires).reshape(-1))])
+        return np.concatenate([x for w in sides for x in ([w.sum()], w @ fires, _upper((fires * w[:, None]).T @ fires))])
 
     for _ in range(TURNS):
         load = np.zeros((k, k))
-        for side in _summed(patterns, pairs, 2 * (1 + k + k * k)).reshape(2, -1):
+        for side in _summed(patterns, pairs, 2 * (1 + k + k * (k + 1) // 2)).reshape(2, -1):
             n = max(side[0], 1.0)
             rate = np.clip(side[1 : 1 + k] / n, 1e-4, 1 - 1e-4)
             spread = np.sqrt(rate * (1 - rate))
-            load = np.maximum(load, (side[1 + k :].reshape(k, k) / n - np.outer(rate, rate)) / np.outer(spread, spread))
+            load = np.maximum(load, (_whole(side[1 + k :], k) / n - np.outer(rate, rate)) / np.outer(spread, spread))
         np.fill_diagonal(load, 0)
         model.shared = 1 / (1 + np.where(load > ALIKE, load, 0).sum(1))
         for _ in range(ROUNDS // TURNS):
@@ -255,9 +281,10 @@ def fit_label_model(model: Model, patterns: DataFrame) -> Model:
             toxic, rows = s[0], s[1]
             if not rows:
                 return model
-            model.prior = float(np.clip(toxic / rows, 1e-4, 0.5))
-            both = np.clip((s[2 : 2 + k] + 0.1) / (toxic + 1), 1e-4, 1 - 1e-4)
-            model.on_toxic, model.on_clean = both, np.clip((s[2 + k :] - s[2 : 2 + k] + 0.1) / (rows - toxic + 1), 1e-5, 1 - 1e-4)
+            held = [anchor * rows * share for share in (mined[2], 1 - mined[2])]
+            model.prior = float(np.clip((toxic + held[0]) / (rows + sum(held)), 1e-4, 0.5))
+            model.on_toxic = np.clip((s[2 : 2 + k] + held[0] * mined[0] + 0.1) / (toxic + held[0] + 1), 1e-4, 1 - 1e-4)
+            model.on_clean = np.clip((s[2 + k :] - s[2 : 2 + k] + held[1] * mined[1] + 0.1) / (rows - toxic + held[1] + 1), 1e-5, 1 - 1e-4)
     return model
 
 
@@ -273,16 +300,17 @@ def fit_classifier(model: Model, rows: DataFrame, ridge: float = 2.0) -> Model:
 
     def step(b: pa.RecordBatch) -> np.ndarray:
         x = _inputs(b.column("rates").flatten().to_numpy().reshape(b.num_rows, k), model)
-        y = posterior(model, _bits(_column(b, "mask"), k), _column(b, "label"))
+        y = posterior(model, _bits(b.column("mask"), k), _column(b, "label"))
         p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
         w = np.where(_column(b, "label") < 0, UNLABELLED, 1.0)
-        return np.concatenate([((x * (w * p * (1 - p))[:, None]).T @ x).reshape(-1), x.T @ (w * (y - p))])
+        return np.concatenate([_upper((x * (w * p * (1 - p))[:, None]).T @ x), x.T @ (w * (y - p))])
 
     for _ in range(STEPS):
-        s = _summed(rows, step, size * size + size)
+        half = size * (size + 1) // 2
+        s = _summed(rows, step, half + size)
         hold = np.full(size, ridge)
         hold[0] = 1e-3
-        move = np.linalg.solve(s[: size * size].reshape(size, size) + np.diag(hold), s[size * size :] - hold * model.weights)
+        move = np.linalg.solve(_whole(s[:half], size) + np.diag(hold), s[half:] - hold * model.weights)
         model.weights = model.weights + move
         if np.abs(move).max() < 1e-3:
             break
@@ -308,7 +336,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     patterns = ws.keep(seen.groupBy("mask", "label").agg(F.count("*").alias("n")), "patterns")
     share = known.agg(F.avg("label")).first()[0]
     model.prior = float(np.clip(share or 0.1, 1e-3, 0.5))
-    model = fit_classifier(fit_label_model(model, patterns), seen)
+    model = fit_classifier(fit_label_model(model, patterns, ANCHOR), seen)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.hashes)

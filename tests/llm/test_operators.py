@@ -118,6 +118,56 @@ def test_label_model_finds_planted_voters():
     assert model.shared[0] < 0.7 and model.shared[4] < 0.7 and model.shared[2] > 0.8
 
 
+def _planted(n, rng):
+    """Texts of common words; a fifth holds three to six of ninety bad ones."""
+    common, bad = [f"word{i}" for i in range(300)], [f"vile{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(90)]
+    toxic = rng.random(n) < 0.2
+    texts = [" ".join([*rng.choice(common, 60), *(rng.choice(bad[:40], rng.integers(3, 7)) if t else rng.choice(bad[:40], int(rng.random() < 0.02)))]) for t in toxic]
+    return texts, toxic
+
+
+def test_toxicity_of_planted_documents(spark):
+    """Held-out rows and rows without a label get their planted class; repeated, null and unknown ids among labels do no harm."""
+    texts, toxic = _planted(1500, np.random.default_rng(11))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "y"), (None, texts[0], "z"), (None, None, None)], "doc_id bigint, text string, toxic string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic.tolist()) if i % 2] + [(1, int(toxic[1])), (3, None), (None, 1), (None, 0), (10**9, 1)], "doc_id bigint, toxic int")
+    rows = toxicity.toxicity(docs, labels, Workspace(spark, "t")).collect()
+    assert len(rows) == 1503
+    known = [r for r in rows if r["doc_id"] is not None]
+    for part in ([r for r in known if r["held_out"]], [r for r in known if not r["held_out"] and r["doc_id"] % 2 == 0]):
+        assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in part]) > 0.97
+    # the learning sees no label of a held-out row: turned about, they change nothing
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.toxicity(docs, turned, Workspace(spark, "t")).collect()
+    assert sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in rows) == sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in again)
+
+
+def test_masks_of_several_longs():
+    fires = np.random.default_rng(2).random((7, 130)) < 0.5
+    longs = [[sum(1 << (i - a) for i in range(a, min(a + 62, 130)) if row[i]) for a in (0, 62, 124)] for row in fires]
+    assert (toxicity._bits(pa.array(longs, pa.list_(pa.int64())), 130) == fires).all()
+    assert (toxicity._bits(pa.array([x[0] for x in longs]), 62) == fires[:, :62]).all()
+    square = np.arange(16.0).reshape(4, 4) + np.arange(16.0).reshape(4, 4).T
+    assert (toxicity._whole(toxicity._upper(square), 4) == square).all()
+
+
+def test_anchored_label_model_needs_no_label():
+    """Voters of which most tell two other classes apart: with the rates they were mined with, the model keeps to its own."""
+    rng = np.random.default_rng(8)
+    toxic, other = rng.random(6000) < 0.15, rng.random(6000) < 0.5
+    fires = np.hstack([rng.random((6000, 4)) < np.where(toxic[:, None], 0.5, 0.02), rng.random((6000, 5)) < np.where(other[:, None], 0.6, 0.1)])
+    masks, n = np.unique(fires @ (1 << np.arange(9)), return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(masks), pa.array(np.full(len(masks), -1)), pa.array(n)], ["mask", "label", "n"])
+    rates = [fires[toxic].mean(0), fires[~toxic].mean(0)]
+    summed, toxicity._summed = toxicity._summed, lambda frame, step, size: step(frame)
+    try:
+        model = toxicity.fit_label_model(toxicity.Model(np.arange(9, dtype=np.uint64), np.zeros(9), *rates, np.ones(9), 0.15), batch, toxicity.ANCHOR)
+    finally:
+        toxicity._summed = summed
+    said = toxicity.posterior(model, fires.astype(float), np.full(6000, -1))
+    assert said[toxic].mean() > said[~toxic].mean() + 0.4
+
+
 def test_warc(spark):
     same = "x" * 1200
     rows = [(1, "http://a\r\n b", same), (2, None, same), (2, None, same), (3, "u", "y" * 999), (4, "u", "y" * 999), (5, "u", None), (None, "u", same), (6, "u", "é" * 70_000)]
