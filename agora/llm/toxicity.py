@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from .common import Workspace, chunks, mix, text_bytes
 #: Labelled rows that voters are mined on, of each label at most; candidates among which voters are chosen; voters at most.
 #: These bound the model's size, as any classifier has a number of features; no row is left out for them.
 SAMPLE_PER_LABEL, CANDIDATES, VOTERS = 4000, 1000, 96
-#: Voters in one long of a mask.
-_WORD = 62
+#: Voters in one long of a mask; groups in which partitions' sums are added up.
+_WORD, _SUMS = 62, 64
 PREFIXES = (4, 5, 6, 7, 8)
 #: A voter fires above one of these rates (occurrences a word).
 RATES = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
@@ -227,19 +228,24 @@ def posterior(model: Model, fires: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def _summed(frame: DataFrame, step, size: int) -> np.ndarray:
-    """The sum over all batches of ``step(batch)``, a vector of ``size``; Spark adds it up place by place."""
+    """The sum over all batches of ``step(batch)``, a vector of ``size``: one vector a partition, added up in ``_SUMS`` groups
+    by Spark, and those here."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 total += step(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % _SUMS]), pa.array([total.tobytes()])], ["g", "x"])
 
-    out = np.zeros(size)
-    for r in frame.mapInArrow(part, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
-    return out
+    def add(vectors: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for x in vectors.column("x"):
+            total += np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"x": [total.tobytes()]})
+
+    sums = frame.mapInArrow(part, "g bigint, x binary").groupBy("g").applyInArrow(add, "x binary").collect()
+    return sum((np.frombuffer(r["x"], np.float64) for r in sums), np.zeros(size))
 
 
 def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
