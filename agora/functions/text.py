@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def trigrams(value: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared over all elements of two sets of trigrams; 0 for two empty sets."""
     both = F.size(F.array_intersect(a, b))
@@ -36,7 +43,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return overlap(trigrams(a), trigrams(b))
+    return once(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), lambda t: overlap(t["a"], t["b"]))
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import overlap, similarity, trigrams
+from agora.functions.text import once, overlap, trigrams
 
 #: English words that say little.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "is", "it", "its", "not", "of", "on", "or", "our", "she", "so", "that", "the", "their", "them", "there", "they", "this", "to", "was", "we", "were", "which", "who", "will", "with", "you")
@@ -64,21 +64,28 @@ def by_popularity(rows: DataFrame, ranks: list[str], popularity: str, tie: str,
     return rows.orderBy(*(F.asc_nulls_last(r) for r in ranks), F.desc_nulls_last(popularity), tie).limit(limit)
 
 
+def query_grams(query: str) -> list[str]:
+    """The trigrams of a query's words in order, as ``trigrams`` makes them."""
+    return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", query.lower()) for i in range(len(w) + 1)]
+
+
 def word_similarity(text: Column, query: str) -> Column:
     """The greatest share of trigrams in common between a text and any run of the query's trigrams."""
-    grams = [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", query.lower()) for i in range(len(w) + 1)]
+    return F.coalesce(once(trigrams(text), lambda have: best_run(have, query_grams(query))), F.lit(0.0))
+
+
+def best_run(have: Column, grams: list[str]) -> Column:
+    """``word_similarity`` from a text's trigrams. Only runs that begin and end with a trigram in common can be the best."""
     if not grams:
         return F.lit(0.0)
-    have = trigrams(text)
-    hits = F.transform(F.array(*map(F.lit, grams)), lambda g: F.array_contains(have, g).cast("int"))
-    sums = F.aggregate(hits, F.array(F.lit(0)), lambda a, h: F.concat(a, F.array(F.element_at(a, -1) + h)))
-    n = len(grams)
+    asked, n = F.array(*map(F.lit, grams)), len(grams)
+    hits = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(have, F.get(asked, i)))
 
-    def best(p: Column) -> Column:
-        share = lambda s, e: (F.get(p, e) - F.get(p, s)) / (F.size(have) + e - s - (F.get(p, e) - F.get(p, s)))
-        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.array_max(F.transform(F.sequence(s + 1, F.lit(n)), lambda e: share(s, e)))))
+    def best(t: Column) -> Column:
+        share = lambda a, b, j: (j + 1) / (t["n"] + (b - a + 1) - (j + 1))
+        return F.array_max(F.transform(t["hits"], lambda a, i: F.array_max(F.transform(F.slice(t["hits"], i + 1, F.lit(n)), lambda b, j: share(a, b, j)))))
 
-    return F.coalesce(F.element_at(F.transform(F.array(sums), best), 1), F.lit(0.0))
+    return F.coalesce(once(F.struct(hits.alias("hits"), F.size(have).alias("n")), best), F.lit(0.0))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float) -> DataFrame:
@@ -130,9 +137,15 @@ def related(rows: DataFrame, text: str, query: str, votes: Column, least: float
     the similarity, 0.4 of the words' ``rank`` and 0.2 of what ``word_similarity`` leaves to 1, raised by the logarithm
     of the votes.
     """
-    words = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS})
-    alike = similarity(F.lower(F.col(text)), F.lit(query.lower()))
-    found = rank(F.col(text), words)
-    looked_at = rows.withColumns({"_alike": alike, "_rank": F.coalesce(found, F.lit(0.0))}).filter((F.col("_alike") > 0.1) | F.lower(F.col(text)).contains(query.lower()) | (F.col("_rank") > 0))
-    score = (0.4 * F.col("_alike") + 0.4 * F.col("_rank") + 0.2 * (1 - word_similarity(F.lower(F.col(text)), query))) * (1 + F.ln(F.greatest(votes, F.lit(1)).cast("double")))
-    return looked_at.withColumn("score", score).drop("_alike", "_rank").filter(F.col("score") > least).orderBy(F.desc("score"), tie).limit(limit)
+    words, grams = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS}), query_grams(query)
+    low = F.lower(F.col(text))
+    mine = F.array(*map(F.lit, dict.fromkeys(grams))).cast("array<string>")
+
+    def score(t: Column) -> Column:
+        looked_at = (t["alike"] > 0.1) | low.contains(query.lower()) | (t["rank"] > 0)
+        return F.when(looked_at, (0.4 * t["alike"] + 0.4 * t["rank"] + 0.2 * (1 - best_run(t["have"], grams))) * (1 + F.ln(F.greatest(votes, F.lit(1)).cast("double"))))
+
+    found = F.coalesce(rank(F.col(text), words), F.lit(0.0))
+    told = once(trigrams(low), lambda have: once(F.struct(have.alias("have"), overlap(have, mine).alias("alike"), found.alias("rank")), score))
+    # exploded, as a filter on a plain column would compute the score a second time
+    return rows.withColumn("score", F.explode(F.array(told))).filter(F.col("score") > least).orderBy(F.desc("score"), tie).limit(limit)
