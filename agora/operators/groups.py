@@ -185,7 +185,8 @@ def characteristic_votes(votes: DataFrame, groups: DataFrame, c: VoteCols = Vote
     """Per group its most telling units: mean vote, consensus (1 less the spread) and significance (voters over members).
 
     Neutral votes are left out. Thresholds of 0.3 and 0.5 are lowered by a fifth until some unit passes; where none ever
-    does, as nobody agrees on anything, the first three stand.
+    does, as nobody agrees on anything, the first three stand. Order: consensus times significance to nine digits, then the
+    unit, so that the order in which votes were added up decides nothing.
     """
     sign = F.when(F.col(c.position) == c.values[0], 1.0).when(F.col(c.position) == c.values[2], -1.0)
     mine = latest(votes, c).withColumn("_s", sign).filter("_s is not null").join(groups, c.participant)
@@ -198,5 +199,5 @@ def characteristic_votes(votes: DataFrame, groups: DataFrame, c: VoteCols = Vote
     level = F.when((F.col("consensus") > 0) & (F.col("significance") > 0), F.greatest(steps(F.col("consensus"), 0.3), steps(F.col("significance"), 0.5)))
     w = Window.partitionBy("group")
     of = of.withColumn("_l", level).withColumn("_m", F.min("_l").over(w)).filter(F.col("_m").isNull() | (F.col("_l") == F.col("_m")))
-    rank = F.row_number().over(w.orderBy((F.col("consensus") * F.col("significance")).desc(), c.unit))
+    rank = F.row_number().over(w.orderBy(F.round(F.col("consensus") * F.col("significance"), 9).desc(), c.unit))
     return of.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("_m").isNull(), 3).otherwise(top)).select("group", "rank", c.unit, "mean", "consensus", "significance")

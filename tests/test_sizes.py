@@ -72,3 +72,8 @@ def test_areas_by_place_hold_every_pair(spark):
     pairs = {(p, s) for p, q in of["point"] for s, t in of["area"] if (q, t) in set(of["inside"])}
     assert pairs == {(r["p"], r["s"]) for r in spatial.join_areas(points, areas).collect()} and pairs
     assert len(of["point"]) == 60 and len(of["area"]) == 31 and len(of["inside"]) == len(set(of["inside"])) < 50
+
+
+def test_ties_of_telling_units_do_not_hang_on_rounding(spark):
+    sf = "/root/testdata/sf0.1"
+    compare(catalog.QUERIES["camps_agree"](spark, sf), catalog.SQL["camps_agree"], sf)
