@@ -269,8 +269,9 @@ def races_for_address(spark, sf_dir):
     scope = F.when(k == 0, "nation").when(k == 1, "region").otherwise("segment")
     key = F.when(k == 0, n).when(k == 1, (F.col("s_nationkey") % 5).cast("string")).otherwise(F.concat(n, F.lit("|BUILDING")))
     races = read(spark, sf_dir, "supplier").select("s_suppkey", scope.alias("scope"), key.alias("key"))
-    found = elections.races_for_places(places, races, {"nation": ["n_nationkey"], "region": ["n_regionkey"], "segment": ["n_nationkey", "c_mktsegment"]})
-    return found.groupBy("c_custkey").agg(F.count("*").alias("n_races"), F.min("s_suppkey").alias("first_race"))
+    ballots = races.groupBy("scope", "key").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))  # a place votes in all races of a key or in none
+    found = elections.races_for_places(places, ballots, {"nation": ["n_nationkey"], "region": ["n_regionkey"], "segment": ["n_nationkey", "c_mktsegment"]})
+    return found.groupBy("c_custkey").agg(F.sum("n").alias("n_races"), F.min("first").alias("first_race"))
 
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand END AS b, CASE WHEN p_size % 3 = 0 THEN p_type END AS t FROM part) WHERE (b IS NULL OR b = 'Brand#11') AND (t IS NULL OR t = (SELECT min(p_type) FROM part))")

@@ -77,3 +77,8 @@ def test_areas_by_place_hold_every_pair(spark):
 def test_ties_of_telling_units_do_not_hang_on_rounding(spark):
     sf = "/root/testdata/sf0.1"
     compare(catalog.QUERIES["camps_agree"](spark, sf), catalog.SQL["camps_agree"], sf)
+
+
+def test_races_of_one_key_meet_places_once(spark):
+    found = catalog.QUERIES["races_for_address"](spark, "/root/testdata/sf0.001")
+    assert "count(1)" in optimized(found).split("Join", 1)[1]
