@@ -93,42 +93,70 @@ def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select("staged_id", "known_id", kind.alias("match_type"), alike.alias("name_similarity"))
 
 
-def resolve(staged: DataFrame, known: DataFrame) -> DataFrame:
-    """What becomes of each staged person: id, action (update or insert), known_id, matched_by, slug.
+def links(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> DataFrame:
+    """Per id of ``rows`` that any of ``others`` matches: n_(field), how many match by that field and none before it; (field)_class,
+    the least of those with its value; ``first``, the least of all. Both: id, slug and ``fields``; a match has the same slug but
+    for a number at its end, and a field that is the same and not blank.
 
-    Both: id, slug, email, phone, address; candidates have the same slug but for a number at its end. A candidate matches
-    by email, else phone, else address; every matching one is updated. Without any the person is inserted under a free slug.
+    No pairs are made: rows with the same values of some fields are counted together, and what was counted twice is taken
+    off again, so there are seven rows a person for three fields.
     """
+    sets = range(1, 1 << len(fields))
+    has = lambda m: [c for i, c in enumerate(fields) if m >> i & 1]
     base = F.regexp_replace("slug", "-[0-9]+$", "")
-    side = lambda f, p: f.select(base.alias("_base"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "slug", "email", "phone", "address")))
-    both = side(staged, "s").join(side(known, "k"), "_base")
-    same = lambda c: (F.col(f"s_{c}") == F.col(f"k_{c}")) & (F.col(f"s_{c}") != "")
-    by = F.when(same("email"), "email").when(same("phone"), "phone").when(same("address"), "address")
-    met = both.withColumn("matched_by", by).filter("matched_by is not null")
-    updates = met.select(F.col("s_id").alias("id"), F.lit("update").alias("action"), F.col("k_id").alias("known_id"), "matched_by", F.col("k_slug").alias("slug"))
-    new = staged.join(met.select(F.col("s_id").alias("id")).distinct(), "id", "left_anti").select("id", base.alias("_base"))
-    inserts = numbered_slugs(new, "_base", "id", known.select("slug"))
-    return updates.unionByName(inserts.select("id", F.lit("insert").alias("action"), F.lit(None).cast(known.schema["id"].dataType).alias("known_id"), F.lit(None).cast("string").alias("matched_by"), "slug"))
+
+    def key(m: int) -> Column:
+        said = base.isNotNull()
+        for c in has(m):
+            said = said & (F.col(c) != "")
+        return F.when(said, F.struct(F.lit(m).alias("m"), base.alias("base"), *(F.when(F.lit(c in has(m)), F.col(c)).alias(c) for c in fields)))
+
+    keys = F.explode(F.array_compact(F.array(*map(key, sets)))).alias("k")
+    counted = others.select("id", keys).groupBy("k").agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
+    n = lambda i: F.sum(F.col("_n") * F.element_at(F.create_map(*(F.lit(x) for m in sets for x in (m, (-1) ** (len(has(m)) - 1) if m >> i == 1 else 0))), F.col("k.m")))
+    return rows.select("id", keys).join(counted, "k").groupBy("id").agg(
+        F.min("_first").alias("first"), *(n(i).alias(f"n_{c}") for i, c in enumerate(fields)), *(F.min(F.when(F.col("k.m") == 1 << i, F.col("_first"))).alias(f"{c}_class") for i, c in enumerate(fields))
+    )
+
+
+def resolve(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> DataFrame:
+    """What becomes of each person, a row each: side (staged or known), id, action, slug, n_(field), (field)_class.
+
+    Both: id, slug and ``fields``; known persons are candidates for a staged one as in ``links``, and every matching one is updated.
+    A staged person updates the known ones or is inserted under a free slug; a known one is updated or kept. Classes are the
+    least known ids with the same slug and value: a staged person matches the known ones of its email's class by e-mail,
+    else those of its phone's by phone, and so on; n_(field) are the numbers of these matches.
+    """
+    classes = [f"{c}_class" for c in fields]
+    met, hit, own = links(staged, known, fields), links(known, staged, fields), links(known, known, fields).select("id", *classes)
+    new = staged.join(met, "id", "left_anti").select("id", F.regexp_replace("slug", "-[0-9]+$", "").alias("_base"))
+    slugs = numbered_slugs(new, "_base", "id", known.select("slug")).select("id", "slug")
+    mine = staged.select("id").join(met, "id", "left").join(slugs, "id", "left")
+    theirs = known.select("id", "slug").join(hit.drop(*classes), "id", "left").join(own, "id", "left")
+    tell = lambda f, side, yes, no: f.select(F.lit(side).alias("side"), "id", F.when(F.col("first").isNull(), no).otherwise(yes).alias("action"), "slug", *(F.coalesce(f"n_{c}", F.lit(0)).cast("bigint").alias(f"n_{c}") for c in fields), *classes)
+    return tell(mine, "staged", "update", "insert").unionByName(tell(theirs, "known", "updated", "kept"))
 
 
 def resolution(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> dict[str, DataFrame]:
-    """All outputs of ``resolve``, from matches that are found once: ``updated``, the known rows with the staged values that are not
+    """All outputs of a resolution: ``updated``, the known rows with the staged values that are not
     blank; ``overwritten``, known_id, field, before and after of values that were another; ``inserted``, staged rows with
-    their slugs; ``dupes``, further staged rows of a known one, of which the least id counts; ``unmatched``, inserted ones with namesakes."""
-    found = cut(resolve(staged, known))
-    updates = found.filter("action = 'update'").drop("action", "slug")
-    chosen = updates.groupBy("known_id").agg(F.min("id").alias("id"))
-    said = lambda c: F.nullif(F.trim(c), F.lit(""))
-    new = chosen.join(staged.select("id", F.struct(*(said(F.col(c)).alias(c) for c in fields)).alias("_n")), "id").select(F.col("known_id").alias("id"), "_n")
-    both = known.join(new, "id")
-    inserted = staged.drop("slug").join(found.filter("action = 'insert'").select("id", "slug"), "id")
+    their slugs; ``dupes``, known_id, the staged id that counts (the least) and how many further ones match; ``unmatched``, inserted ones with namesakes."""
+    hit = cut(links(known, staged, fields))
     base = F.regexp_replace("slug", "-[0-9]+$", "")
+    new = cut(staged.join(links(staged, known, fields), "id", "left_anti"))
+    slugs = numbered_slugs(new.select("id", base.alias("_base")), "_base", "id", known.select("slug")).select("id", "slug")
+    chosen = hit.select(F.col("id").alias("known_id"), F.col("first").alias("id"))
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    told = chosen.join(staged.select("id", F.struct(*(said(F.col(c)).alias(c) for c in fields)).alias("_n")), "id").select(F.col("known_id").alias("id"), "_n")
+    both = known.join(told, "id")
+    inserted = new.drop("slug").join(slugs, "id")
     change = F.array(*(F.struct(F.lit(c).alias("field"), said(F.col(c)).alias("before"), F.col(f"_n.{c}").alias("after")) for c in fields))
+    further = sum((F.col(f"n_{c}") for c in fields[1:]), F.col(f"n_{fields[0]}")) - 1
     return {
         "updated": both.select(*(F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in known.columns)),
         "overwritten": both.select(F.col("id").alias("known_id"), F.explode(change).alias("c")).select("known_id", "c.*").filter("before <> after"),
         "inserted": inserted,
-        "dupes": updates.join(chosen, ["known_id", "id"], "left_anti"),
+        "dupes": hit.select(F.col("id").alias("known_id"), F.col("first").alias("id"), further.alias("further")).filter("further > 0"),
         "unmatched": inserted.withColumn("_base", base).join(known.select(base.alias("_base")).distinct(), "_base", "left_semi").drop("_base"),
     }
 

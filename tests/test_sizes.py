@@ -4,7 +4,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (adds the queries)
-from agora.operators import districts, search, spatial
+from agora.operators import candidates, districts, search, spatial
 from agora.plans import catalog
 
 
@@ -82,3 +82,36 @@ def test_ties_of_telling_units_do_not_hang_on_rounding(spark):
 def test_races_of_one_key_meet_places_once(spark):
     found = catalog.QUERIES["races_for_address"](spark, "/root/testdata/sf0.001")
     assert "count(1)" in optimized(found).split("Join", 1)[1]
+
+
+def filed(spark, rows):
+    return spark.createDataFrame(rows, "id int, slug string, email string, phone string, address string")
+
+
+def test_resolution_makes_no_pairs(spark):
+    pick = lambda i, *v: v[i % len(v)]
+    staged = [(i, pick(i, "a-1", "b", None), pick(i, "x", "y", "", None), pick(i, "1", "2", "", "3", None), pick(i, "p", None, "q", "", "r", "p", "s")) for i in range(90)] + [(95, "a", "none", None, "")]
+    known = [(i, pick(i, "a", "a-7", "b-2", "c"), pick(i, "y", "x", None, "z", ""), pick(i, "2", "1", None, ""), pick(i, "q", "p", "")) for i in range(80)]
+    stem = lambda slug: slug and slug.split("-")[0]
+    pairs = {}
+    for s in staged:
+        for k in known:
+            by = [j for j in (2, 3, 4) if s[1] and stem(s[1]) == stem(k[1]) and s[j] and s[j] == k[j]]
+            if by:
+                pairs[s[0], k[0]] = ("email", "phone", "address")[by[0] - 2]
+    got = candidates.resolve(filed(spark, staged), filed(spark, known))
+    rows = {side: [r for r in got.collect() if r["side"] == side] for side in ("staged", "known")}
+    found = {}
+    for s in rows["staged"]:
+        for k in rows["known"]:
+            by = [c for c in ("email", "phone", "address") if s[f"{c}_class"] is not None and s[f"{c}_class"] == k[f"{c}_class"]]
+            if by:
+                found[s["id"], k["id"]] = by[0]
+    assert found == pairs and len(rows["staged"]) == 91 and len(rows["known"]) == 80
+    for side, at in (("staged", 0), ("known", 1)):
+        for r in rows[side]:
+            assert [r["n_email"], r["n_phone"], r["n_address"]] == [sum(p[at] == r["id"] and by == c for p, by in pairs.items()) for c in ("email", "phone", "address")]
+    assert {r["id"] for r in rows["staged"] if r["action"] == "insert"} == {s[0] for s in staged} - {p[0] for p in pairs}
+    told = candidates.resolution(filed(spark, staged), filed(spark, known))
+    dupes = {k: sorted(s for s, q in pairs if q == k) for k in {p[1] for p in pairs}}
+    assert {tuple(r) for r in told["dupes"].collect()} == {(k, s[0], len(s) - 1) for k, s in dupes.items() if len(s) > 1}
