@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import similarity, slugify
+from agora.functions.text import slugify
 from agora.operators.merge import numbered_slugs, unmatched, upsert
 from agora.operators.search import fuzzy_pairs
 from agora.operators.storage import components, cut
@@ -64,33 +64,32 @@ def match_rank(kind: Column) -> Column:
 
 
 def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of staged and known persons that may be one: staged_id, known_id, match_type, name_similarity.
-
-    Both: id, first_name, middle_name, last_name, slug, email, phone, address. Empty values match nothing. Candidates
-    come from equi-joins on each exact key, and for similar names from shared trigrams of the whole name.
+    """Which staged and known persons may be one, by classes: relation, id, other, match_type, name_similarity, (facet)_class.
+
+    Both: id, first_name, middle_name, last_name, slug, email, phone, address. Empty values match nothing. Persons of one class
+    are not held against each other one by one: each person has a row (``staged`` or ``known``) with the classes it is in, the least
+    known id with the same e-mail, phone, address, name and slug, and as ``alike_class`` the least id of its own side with
+    the same whole name. Names of different classes that are alike are rows ``alike``: least staged id, least known id,
+    match_type and similarity. A pair's match is the first of ``MATCHES`` by which its classes are the same or alike. Similar
+    names come from shared trigrams.
     """
     part = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     name = F.concat(F.lower(F.coalesce("first_name", F.lit(""))), F.lit(" "), F.lower(F.coalesce("middle_name", F.lit(""))), F.lit(" "), F.lower("last_name"))
-    keys = F.array(
-        *(F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("email", "phone", "slug")),
-        F.when(part("address") != "", F.concat(F.lit("address:"), part("address"))),
-        F.concat(F.lit("name:"), F.to_json(F.array(F.lower("first_name"), part("middle_name"), F.lower("last_name")))),
-    )
-    people = lambda f, side: f.select(F.col("id").alias(f"{side}_id"), F.struct("email", "phone", "slug", part("address").alias("address"), F.lower("first_name").alias("first"), part("middle_name").alias("middle"), F.lower("last_name").alias("last"), name.alias("name")).alias(side), F.filter(keys, lambda k: k.isNotNull()).alias("_keys"))
-    a, b = people(staged, "staged"), people(known, "known")
-    exact = a.select("staged_id", F.explode("_keys").alias("k")).join(b.select("known_id", F.explode("_keys").alias("k")), "k").select("staged_id", "known_id")
-    alike = fuzzy_pairs(a.select("staged.name"), b.select("known.name"), "name", "name", 0.6)
-    near = a.select("staged_id", F.col("staged.name").alias("left_text")).join(alike, "left_text").join(b.select("known_id", F.col("known.name").alias("right_text")), "right_text").select("staged_id", "known_id")
-    pairs = exact.unionByName(near).distinct().join(a.drop("_keys"), "staged_id").join(b.drop("_keys"), "known_id")
-    s, k = (lambda c: F.col(f"staged.{c}")), (lambda c: F.col(f"known.{c}"))
-    same = lambda c: (s(c) == k(c)) & (s(c) != "")
-    alike = F.round(similarity(s("name"), k("name")), 6)
-    kind = (
-        F.when(same("email"), MATCHES[0]).when(same("phone"), MATCHES[1]).when(same("address"), MATCHES[2])
-        .when((s("first") == k("first")) & (s("last") == k("last")) & (s("middle") == k("middle")), MATCHES[3])
-        .when(same("slug"), MATCHES[4]).when(alike > 0.8, MATCHES[5]).otherwise(MATCHES[6])
-    )
-    return pairs.select("staged_id", "known_id", kind.alias("match_type"), alike.alias("name_similarity"))
+    whole = F.when(F.col("first_name").isNotNull() & F.col("last_name").isNotNull(), F.to_json(F.array(F.lower("first_name"), part("middle_name"), F.lower("last_name"))))
+    facets = {"email": F.col("email"), "phone": F.col("phone"), "address": part("address"), "name": whole, "slug": F.col("slug")}
+    keys = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in facets.items())), lambda k: k["value"] != "")
+    classes = known.select("id", F.explode(keys).alias("k")).groupBy("k").agg(F.min("id").alias("_class"))
+    texts = [f.select("id", name.alias("name")).filter("name is not null").groupBy("name").agg(F.min("id").alias("alike_class")) for f in (staged, known)]
+
+    def members(f: DataFrame, relation: str, own: DataFrame) -> DataFrame:
+        of = f.select("id", F.explode(keys).alias("k")).join(classes, "k").groupBy("id").agg(*(F.min(F.when(F.col("k.kind") == k, F.col("_class"))).alias(f"{k}_class") for k in facets))
+        return f.select(F.lit(relation).alias("relation"), "id", name.alias("name")).join(of, "id", "left").join(own, "name", "left").drop("name")
+
+    alike = fuzzy_pairs(texts[0], texts[1], "name", "name", 0.6).join(texts[0].toDF("left_text", "id"), "left_text").join(texts[1].toDF("right_text", "other"), "right_text")
+    kind = F.when(F.col("similarity") > 0.8, MATCHES[5]).otherwise(MATCHES[6])
+    pairs = alike.select(F.lit("alike").alias("relation"), "id", "other", kind.alias("match_type"), F.round("similarity", 6).alias("name_similarity"))
+    people = members(staged, "staged", texts[0]).unionByName(members(known, "known", texts[1]))
+    return people.unionByName(pairs, allowMissingColumns=True).select("relation", "id", "other", "match_type", "name_similarity", *(f"{k}_class" for k in (*facets, "alike")))
 
 
 def links(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> DataFrame:

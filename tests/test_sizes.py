@@ -4,6 +4,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (adds the queries)
+from agora.functions.text import similarity
 from agora.operators import candidates, districts, search, spatial
 from agora.plans import catalog
 
@@ -115,3 +116,38 @@ def test_resolution_makes_no_pairs(spark):
     told = candidates.resolution(filed(spark, staged), filed(spark, known))
     dupes = {k: sorted(s for s, q in pairs if q == k) for k in {p[1] for p in pairs}}
     assert {tuple(r) for r in told["dupes"].collect()} == {(k, s[0], len(s) - 1) for k, s in dupes.items() if len(s) > 1}
+
+
+def test_match_classes_hold_every_pair(spark):
+    pick = lambda i, *v: v[i % len(v)]
+
+    def people(n, k):
+        return [(i, pick(i * k, "Catherine", "Katherine", "Bob", None), pick(i, None, "Q"), pick(i * k, "Miller", "Millar", "Zyx", "Miller", None), pick(i, "s1", "s2", "", None, "s3"), pick(i * k, "x", "", None, "y", "z", "v"), pick(i, None, "1", "2", "", "3", None, "4"), pick(i * k, " A st", "a ST", "", None, None, "b")) for i in range(n)]
+
+    staged, known = people(50, 1), people(60, 7)
+    low = lambda v: (v or "").strip().lower()
+    whole = lambda p: p[3] and f"{p[1] or ''} {p[2] or ''} {p[3]}".lower()
+    names = sorted({whole(p) for p in staged + known} - {None})
+    grid = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s"))
+    alike = {(r["a"], r["b"]): r["s"] for r in grid.collect()}
+    exact = [lambda p: p[5] or None, lambda p: p[6] or None, lambda p: low(p[7]) or None, lambda p: p[1] and p[3] and (low(p[1]), low(p[2]), low(p[3])), lambda p: p[4] or None]
+    want = {}
+    for s in staged:
+        for k in known:
+            by = [candidates.MATCHES[i] for i, f in enumerate(exact) if f(s) and f(s) == f(k)]
+            near = alike.get((whole(s), whole(k)), 0.0)
+            by += ["high_similarity" if near > 0.8 else "medium_similarity"] if near > 0.6 else []
+            if by:
+                want[s[0], k[0]] = by[0]
+    schema = "id int, first_name string, middle_name string, last_name string, slug string, email string, phone string, address string"
+    rows = candidates.classified(spark.createDataFrame(staged, schema), spark.createDataFrame(known, schema)).collect()
+    near = {(r["id"], r["other"]): r["match_type"] for r in rows if r["relation"] == "alike"}
+    got = {}
+    for s in (r for r in rows if r["relation"] == "staged"):
+        for k in (r for r in rows if r["relation"] == "known"):
+            by = [m for m, c in zip(candidates.MATCHES, ("email", "phone", "address", "name", "slug")) if s[f"{c}_class"] is not None and s[f"{c}_class"] == k[f"{c}_class"]]
+            by += [near[s["alike_class"], k["alike_class"]]] if (s["alike_class"], k["alike_class"]) in near else []
+            if by:
+                got[s["id"], k["id"]] = by[0]
+    assert got == want and set(want.values()) == set(candidates.MATCHES)
+    assert sum(r["relation"] != "alike" for r in rows) == 110
