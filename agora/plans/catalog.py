@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import text as tx
-from agora.operators import elections, groups, merge, reporting, search, spatial, timeseries, votes
+from agora.operators import elections, groups, merge, reporting, search, spatial, storage, timeseries, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,11 @@ t AS (SELECT statement, count(*) AS n_votes, count(*) FILTER (position = 'suppor
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as election results: race l_orderkey, candidate l_suppkey, votes."""
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("candidate")).agg(F.sum("l_quantity").cast("bigint").alias("votes"))
+    return results_of(read(spark, sf_dir, "lineitem"))
+
+
+def results_of(line: DataFrame) -> DataFrame:
+    return line.groupBy(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("candidate")).agg(F.sum("l_quantity").cast("bigint").alias("votes"))
 
 
 R = """WITH r AS (SELECT l_orderkey AS race, l_suppkey AS candidate, CAST(sum(l_quantity) AS BIGINT) AS votes FROM lineitem GROUP BY 1, 2),
@@ -222,7 +226,8 @@ def winners_array(spark, sf_dir):
 
 @query(R + "SELECT race, count(DISTINCT candidate) AS n_candidates, round(max(votes) / sum(votes), 6) AS best_share FROM r GROUP BY 1 HAVING count(DISTINCT candidate) > 2 AND max(votes) / sum(votes) < 0.5")
 def runoff_having(spark, sf_dir):
-    return elections.runoffs(results(spark, sf_dir), "race", "votes", "candidate")
+    line = read(spark, sf_dir, "lineitem")
+    return elections.runoffs(results_of(storage.dealt(line.select("l_orderkey", "l_suppkey", "l_quantity"), ["l_orderkey", "l_suppkey"], line.count())), "race", "votes", "candidate")
 
 
 @query(R + """, o AS (SELECT k.*, n_candidates > 2 AND max(votes) OVER w < 0.5 * sum(votes) OVER w AS open FROM k JOIN orders ON o_orderkey = race WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY race))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (adds the queries)
 from agora.functions.text import similarity
-from agora.operators import candidates, districts, search, spatial
+from agora.operators import candidates, districts, search, spatial, storage
 from agora.plans import catalog
 
 
@@ -151,3 +151,10 @@ def test_match_classes_hold_every_pair(spark):
                 got[s["id"], k["id"]] = by[0]
     assert got == want and set(want.values()) == set(candidates.MATCHES)
     assert sum(r["relation"] != "alike" for r in rows) == 110
+
+
+def test_partitions_grow_with_the_table(spark):
+    assert storage.dealt(spark.range(10), ["id"], 50_000_001).rdd.getNumPartitions() == 51
+    assert storage.dealt(spark.range(10), ["id"], 0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    found = catalog.QUERIES["runoff_having"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in optimized(found)
