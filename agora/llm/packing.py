@@ -28,7 +28,7 @@ LIMIT, END = 2048, 0
 PLAN_ROWS = 500_000
 
 #: Bytes of a worker's store of words, with about 180 bytes a word besides its letters and ids; longer words aren't kept.
-_CACHE_BYTES, _WORD_BYTES, _CACHE_CHARS = 48_000_000, 180, 40
+_CACHE_BYTES, _WORD_BYTES, _CACHE_CHARS = 110_000_000, 180, 40
 #: Bytes of texts encoded together.
 _ENCODE_BYTES = 500_000
 _ENCODERS: dict[str, Encoder] = {}
@@ -84,25 +84,28 @@ class Encoder:
 
     def _learn_small(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words in small letters, with marks of the end of a sentence or not: letters and marks are apart for the vocabulary."""
-        letters, others, found = {}, [], {}
+        if self.plain is None:
+            return self._learn(words)
+        alone, marked, others = [], {}, []
         for w in words:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and self.plain is not None:
-                letters[w] = core
+            if w.isalpha():
+                alone.append(w)
+            elif (core := w.rstrip(_MARKS)).isalpha():
+                marked[w] = core
             else:
                 others.append(w)
-        new = list({c for c in letters.values() if c not in self.known})
+        new = list({*alone, *(c for c in marked.values() if c not in self.known)})
         fresh = {}
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.last[ids])[:-1] + 1
             fresh.update(zip(part, _split(ids, cut, cut), strict=True) if len(cut) == len(part) - 1 else ((w, self._whole(w)) for w in part))
-        tails = {w[len(c) :] for w, c in letters.items()}
+        tails = {w[len(c) :] for w, c in marked.items()}
         tails = {t: self.known[t] if t in self.known else self._whole(t) for t in tails}
-        for w, c in letters.items():
-            found[w] = (fresh[c] if c in fresh else self.known[c]) + tails[w[len(c) :]]
-        return found | fresh | self._learn(others) if others else found | fresh
+        for w, c in marked.items():
+            fresh[w] = (fresh[c] if c in fresh else self.known[c]) + tails[w[len(c) :]]
+        return fresh | self._learn(others) if others else fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -144,11 +147,10 @@ def _split(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]
 #: Beyond these letters, lower case is left to the tokenizer.
 _NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _MARKS = ".,!?;:"
-_SPACES = str.maketrans("\t\n\r", "   ")
 
 
 def _words(text: str) -> list[str]:
-    return text.translate(_SPACES).split(" ") if "\t" in text or "\r" in text or "\n" in text else text.split(" ")
+    return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
 
 
 def _encoder(path: str) -> Encoder:
