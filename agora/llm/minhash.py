@@ -144,6 +144,18 @@ def _possible(shingles: DataFrame, ws: Workspace) -> DataFrame:
     return ws.keep(common.join(counts.select("doc_id", "c"), "doc_id"), "possible")
 
 
+def _first_of_holders(rare: DataFrame, ws: Workspace) -> DataFrame:
+    """``rare`` (doc_id, df, shingle, ...) with one shingle of those that the same documents hold: the first in order of df and shingle.
+
+    The first shingle that two documents share is the first of all those that its holders share, so it stays; if places
+    allow a pair at a later one, they do so there. Holders are told apart by 128 bits and their number.
+    """
+    rare = ws.keep(rare, "prefixes")
+    holders = rare.groupBy("df", "shingle").agg(F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.count("*").alias("m")).filter("m > 1")
+    first = holders.groupBy("h1", "h2", "m").agg(F.min(F.struct("df", "shingle")).alias("w")).select(F.col("w.shingle").alias("shingle"))
+    return rare.join(first, "shingle")
+
+
 def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     """Every pair of ``members`` (doc_id, label) of different labels that can be linked: an exact way, for what stars left.
 
@@ -158,7 +170,7 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
     rows = _possible(rows.select("doc_id", "label", "n", "shingle"), ws)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) + F.col("n") - F.col("c")
     rare = rows.withColumn("place", place).filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
-    rare = ws.keep(rare.select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
+    rare = ws.keep(_first_of_holders(rare, ws).select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
     small = rare.filter((100 + PERCENT) * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
     small = small.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("at"), "shingle")
     smaller = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id")))

@@ -4,7 +4,8 @@ import timeit
 
 import numpy as np
 
-from agora.llm import catalog, packing
+from agora.llm import catalog, minhash, packing
+from agora.llm.common import Workspace
 
 
 def test_words_are_cut_at_the_cost_of_a_split():
@@ -21,3 +22,22 @@ def test_words_with_marks_get_the_ids_of_the_whole_text():
     for _ in range(2):  # the second time from the store
         for t, ids in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_a_pair_is_made_once_for_a_passage_that_all_hold(spark):
+    """Thirty texts with one passage in common: a row a text meets the others, not one for each shingle of the passage."""
+    passage = " ".join(f"p{k}" for k in range(88))
+    texts = spark.createDataFrame([(i, f"{passage} " + " ".join(f"t{i}x{k}" for k in range(10))) for i in range(30)], "doc_id bigint, text string")
+    ws, rows = Workspace(spark, "costs"), []
+    keep = ws.keep
+
+    def counted(frame, label):
+        kept = keep(frame, label)
+        if label == "rare":
+            rows.append(kept.count())
+        return kept
+
+    ws.keep = counted
+    pairs = minhash.pairs_by_rare_shingles(texts.selectExpr("doc_id", "doc_id as label"), texts, ws).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a in range(30) for b in range(a)}
+    assert rows == [30]
