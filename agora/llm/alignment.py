@@ -1,13 +1,13 @@
 """Alignment of two tokenizers over the same bytes.
 
-Python only tokenises: it gives the ids of both and the byte offsets at which tokens end, as arrays and as bits with running
-counts, so that an offset can be looked up in place. All else is Spark's functions on arrays: offsets in both arrays cut the
-text into groups, and every offset in either ends one overlap of an A token with a B token, a link. Counts of linked pairs
-come from a grouping of all documents.
+A chunk of texts is tokenised both ways and cut in Arrow batches: offsets where tokens of both end cut the texts into groups,
+and every offset where one of either ends ends one overlap of an A token with a B token, a link. Spark deals out the
+texts, counts the documents of each linked pair over all of them and brings the counts back to the links.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -15,10 +15,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, let
+from .common import Workspace, chunks
 
 #: Pairs of ids sent to the tasks at once; of more, those that are in over a share of 1 / PAIRS of all (so fewer) are, the rest is joined.
 PAIRS = 2_000_000
@@ -37,6 +37,8 @@ class Aligner:
         self.a = _byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_flat, self.b_start, self.b_size = _flat([_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())])
+        most = max(len(self.a[1]), len(self.b_size))
+        self.letters = [_letters(most, mark) for mark in ",|;"]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and for B: the ids of all texts and their byte lengths, end to end, and the n + 1 places where texts begin.
@@ -105,84 +107,66 @@ def _byte_level(path: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
     return lambda t: slow.encode(t, add_special_tokens=False).ids, sizes
 
 
-def _bits(ends: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text ``words`` longs with a bit for each offset where a token ends, and how many end before each of these longs."""
-    first = np.cumsum(words) - words
-    at = first[owner] + (ends >> 6)
-    bits, counts = np.zeros(int(words.sum()), np.uint64), np.bincount(at, minlength=int(words.sum()))
-    if len(at):
-        new = np.flatnonzero(np.diff(at, prepend=-1))
-        bits[at[new]] = np.bitwise_or.reduceat(np.uint64(1) << (ends & 63).astype(np.uint64), new)
-    before = np.cumsum(counts) - counts
-    return bits.view(np.int64), before - np.repeat(before[np.minimum(first, max(len(before) - 1, 0))], words) if len(before) else before
+def _letters(most: int, mark: str) -> np.ndarray:
+    """For each id the bytes of its decimal form and of a mark, at most eight of them, as one long."""
+    return np.array([f"{i}{mark}" for i in range(most)], "S8").view("<u8")
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """row (a number of its own), doc_id, and per tokenizer its ids and the byte offsets where its tokens end: a, a_end, b, b_end.
+def _cut(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, bounds: np.ndarray, letters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of texts that lie end to end and end at ``bounds`` (bytes): all links, how many each text has, its groups, and their digest.
 
-    a_bits, b_bits: the offsets as bits of longs; a_before, b_before: how many tokens end before each long.
+    A link has A's id in the upper half of a long, B's in the lower.
     """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends, before, at = [], [], []
+    for size in (a_size, b_size):
+        end = np.cumsum(size)
+        one = np.zeros(int(bounds[-1]) + 1 if len(bounds) else 1, bool)
+        one[end] = True
+        total = np.cumsum(one, dtype=np.int32)
+        ends.append(one)
+        before.append(total - one)  # as many tokens end before an offset as stand before the one that holds the byte there
+        at.append(end)
+    places = np.flatnonzero(ends[0] | ends[1])
+    links = (a[before[0][places]].astype(np.int64) << 32) + b[before[1][places]]
+    both = ends[0] & ends[1]
+    cuts = np.flatnonzero(both)
+    counts = [np.diff(np.searchsorted(x, bounds, side="right"), prepend=0) for x in (places, cuts)]
+    # a token's place in the groups' text: A's of a group stand before B's
+    group = np.cumsum(both, dtype=np.int32) - both
+    last = [both[x] for x in at]
+    upto = [np.concatenate([[0], x[cuts] + 1]) for x in before]
+    own = [group[x] for x in at]
+    place = [np.arange(len(a)) + upto[1][own[0]], np.arange(len(b)) + upto[0][own[1] + 1]]
+    text = np.zeros(len(a) + len(b), "<u8")
+    text[place[0]] = np.where(last[0], letters[1][a], letters[0][a])
+    text[place[1]] = np.where(last[1], letters[2][b], letters[0][b])
+    tokens = sum(np.searchsorted(x, bounds, side="right") for x in at)
+    size = np.concatenate([[0], np.cumsum(8 - (text.view(np.uint8).reshape(-1, 8) == 0).sum(1))])[np.concatenate([[0], tokens])]
+    told = text.tobytes().translate(None, b"\0")
+    digests = [hashlib.sha256(told[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+    return links, *counts, digests
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and ``links``: per overlap A's id in the upper half of a long, B's in the lower."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _ALIGNERS:
             _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
         aligner, row = _ALIGNERS[a_path, b_path], TaskContext.get().partitionId() << 33
-        lists = lambda at, x, t: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(t)))
         for whole in batches:
             for batch in chunks(whole, "text"):
-                columns = []
-                for ids, sizes, at in aligner.encode(batch.column("text").to_pylist()):
-                    total, count = np.concatenate([[0], np.cumsum(sizes)]), np.diff(at)
-                    ends = total[1:] - np.repeat(total[at[:-1]], count)
-                    words = np.where(count > 0, (total[at[1:]] - total[at[:-1]] >> 6) + 1, 0)
-                    bits, before = _bits(ends, np.repeat(np.arange(len(count)), count), words)
-                    places = np.concatenate([[0], np.cumsum(words)])
-                    columns += [lists(at, ids, np.int32), lists(at, ends, np.int32), lists(places, bits, np.int64), lists(places, before, np.int32)]
+                (a, a_size, a_at), (b, b_size, b_at) = aligner.encode(batch.column("text").to_pylist())
+                bounds = np.concatenate([[0], np.cumsum(a_size)])[a_at[1:]]
+                links, n_links, n_groups, digests = _cut(a, a_size, b, b_size, bounds, aligner.letters)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)), pa.array(links))
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
-                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *columns], ["row", "doc_id", *(f"{t}{x}" for t in "ab" for x in ("", "_end", "_bits", "_before"))])
-
-    kinds = ", ".join(f"{t} array<int>, {t}_end array<int>, {t}_bits array<bigint>, {t}_before array<int>" for t in "ab")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, f"row bigint, doc_id bigint, {kinds}")
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and ``links``: per overlap A's id in the upper half of a long, B's in the lower."""
-    # a long is shifted by the lower six bits of what is said
-    bits = lambda t, end: F.get(f"{t}_bits", F.shiftright(end, 6))
-    ends_too = lambda t, end: F.call_function("shiftright", bits(t, end), end).bitwiseAND(1) == 1
-
-    def holder(t: str, end: Column) -> Column:
-        """The id of the token of ``t`` that holds the byte before an offset: as many of its tokens end before the offset as stand before that one."""
-        earlier = bits(t, end).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), end)))
-        return F.get(t, F.get(f"{t}_before", F.shiftright(end, 6)) + F.bit_count(earlier))
-
-    def parts(t: str, other: str) -> Column:
-        """The ids of each group, comma-joined: where both tokenizers' tokens end, a group ends."""
-        one = lambda id, i: F.concat(id.cast("string"), F.when(ends_too(other, F.get(f"{t}_end", i)), ";").otherwise(","))
-        return F.split(F.rtrim(F.array_join(F.transform(t, one), ""), F.lit(";")), ";")
-
-    def joined(of: Column) -> Column:
-        both = lambda k: F.concat(F.get(of["a"], k), F.lit("|"), F.get(of["b"], k))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(of["a"]) - 1), both), ";")
-
-    groups = F.sha2(let(F.struct(parts("a", "b").alias("a"), parts("b", "a").alias("b")), joined), 256)
-    pair = lambda a, b: F.shiftleft(a.cast("bigint"), 32) + b
-    of_a = F.transform("a_end", lambda e, i: pair(F.get("a", i), holder("b", e)))
-    of_b = F.filter(F.transform("b_end", lambda e, i: F.when(~ends_too("a", e), pair(holder("a", e), F.get("b", i)))), lambda x: x.isNotNull())
-    some = F.size("a") > 0
-    out = tokens.select(
-        "row",
-        "doc_id",
-        F.size("a").cast("bigint").alias("n_a"),
-        F.size("b").cast("bigint").alias("n_b"),
-        F.size(F.array_intersect("a_end", "b_end")).cast("bigint").alias("n_groups"),
-        F.when(some, groups).otherwise("").alias("groups_sha256"),
-        F.concat(of_a, of_b).alias("links"),
-    )
-    # every link ends at one offset of either, so those of both are counted once
-    n_links = F.aggregate(F.array("n_a", "n_b", -F.col("n_groups")), F.lit(0).cast("bigint"), lambda n, x: n + x)
-    return out.select("row", "doc_id", "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups_sha256", "links")
+                numbers = [pa.array(x.astype(np.int64)) for x in (np.diff(a_at), np.diff(b_at), n_groups, n_links)]
+                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *numbers, pa.array(digests, pa.string()), lists], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+
+    kinds = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, kinds)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -199,7 +183,7 @@ def align(docs: DataFrame, ws: Workspace, a_path: str, b_path: str, broadcast_pa
     rows are documents each and count each; null ids are kept; only doc_id and text are read. An empty table gives no rows.
     A very long text is one row; its arrays are as long as it has bytes.
     """
-    links = ws.keep(aligned(tokenised(docs, a_path, b_path)), "links")
+    links = ws.keep(aligned(docs, a_path, b_path), "links")
     pairs = ws.keep(pair_counts(links), "pairs")
     size, total = pairs.agg(F.count("*"), F.sum("n")).first()
     each = links.select("row", F.explode("links").alias("pair"))
