@@ -5,8 +5,9 @@ least value is the bin's entry, and an empty bin borrows that of the first fille
 for all texts. Bands of entries are bucket keys. In a bucket every member is compared with the least member only, on
 full sets, so a bucket makes as many pairs as it has members. Where this leaves members in more than one component, an
 exact search among those members finds the links that a star can miss: only sets that share one of their rarest
-shingles, at places where enough of both is still to come, are compared. Documents with equal sets are one before any
-of this.
+shingles, at places where enough of both is still to come, are compared. Of a shingle's holders those of other
+components are held against the one with least of its own first, which is one more star, and what that joins needs no
+pairs any more. Documents with equal sets are one before any of this.
 """
 
 from __future__ import annotations
@@ -156,6 +157,65 @@ def _first_of_holders(rare: DataFrame, ws: Workspace) -> DataFrame:
     return rare.join(first, "shingle")
 
 
+def _shingled(texts: DataFrame, ws: Workspace) -> DataFrame:
+    """doc_id, n (size of the set) and shingle of every document of ``texts``."""
+    return ws.keep(texts.dropDuplicates(["doc_id"]).mapInArrow(_rare_pairs, "doc_id bigint, n bigint, shingle bigint"), "shingled")
+
+
+def _able(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """``rows`` (doc_id, label, n, c, place, shingle, ...) without those at whose place no holder of another label can be a partner.
+
+    From its place on a set has ``most`` shared shingles left. As the smaller of two it needs six sevenths of its own size,
+    as the larger one three sevenths of both sizes, and no holder is smaller than the least one. Both bounds hold at the
+    first shingle that two linked sets share, so that row stays in either.
+    """
+    rows = rows.withColumn("most", F.least("c", F.col("n") - F.col("place") + 1))
+    least = rows.groupBy("shingle").agg(F.min("n").alias("least"))
+    smaller = (100 + PERCENT) * F.col("most") >= 2 * PERCENT * F.col("n")
+    larger = (100 + PERCENT) * F.col("most") >= PERCENT * (F.col("n") + F.greatest("least", F.ceil(PERCENT * F.col("n") / 100)))
+    able = ws.keep(rows.join(least, "shingle").filter(smaller | larger).drop("least", "most"), "able")
+    several = able.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    return able.join(several, "shingle", "left_semi")
+
+
+def _prefixes(shingled: DataFrame, members: DataFrame, ws: Workspace) -> DataFrame:
+    """Where pairs of different labels may begin: doc_id, label, n, c, place, shingle."""
+    rows = _possible(shingled.join(members, "doc_id"), ws)
+    rows = _possible(rows.select("doc_id", "label", "n", "shingle"), ws)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) + F.col("n") - F.col("c")
+    rare = rows.withColumn("place", place).filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
+    return ws.keep(_first_of_holders(_able(ws.keep(rare, "places"), ws), ws).select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
+
+
+def _partners(name: str) -> list:
+    return [F.col(c).alias(d) for c, d in (("doc_id", "b"), ("label", "lb"), ("n", "nb"), ("c", "cb"), ("place", "at"))] + [F.col(name)]
+
+
+def _enough():
+    to_come = F.least("c", "cb", F.col("n") - F.col("place") + 1, F.col("nb") - F.col("at") + 1)
+    return (100 + PERCENT) * to_come >= PERCENT * (F.col("n") + F.col("nb"))
+
+
+def _central_pairs(rare: DataFrame) -> DataFrame:
+    """Of each shingle's holders those of other labels against the one that has least of its own: a pair a row at most.
+
+    Copies that differ from one text in places of their own are near to that text before they are to each other. If it is
+    among them, it has all of its shingles in common with others.
+    """
+    best = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("d"), "doc_id", "label", "n", "c", "place")).alias("w")
+    centres = rare.groupBy("shingle").agg(best).select("w.*", "shingle").select(_partners("shingle"))
+    alike = (F.col("lb") != F.col("label")) & (100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb"))
+    pairs = rare.join(centres, "shingle").filter(alike & _enough())
+    return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+
+
+def _all_pairs(rare: DataFrame) -> DataFrame:
+    small = rare.filter((100 + PERCENT) * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n")).select(_partners("shingle"))
+    smaller = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id")))
+    pairs = rare.join(small, "shingle").filter(smaller & _enough() & (F.col("lb") != F.col("label")) & (100 * F.col("nb") >= PERCENT * F.col("n")))
+    return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+
+
 def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     """Every pair of ``members`` (doc_id, label) of different labels that can be linked: an exact way, for what stars left.
 
@@ -165,19 +225,7 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
     have enough shared shingles for it: sets that differ from one text in places of their own haven't.
     """
     mine = members.select("doc_id", "label").distinct()
-    found = texts.join(mine.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_rare_pairs, "doc_id bigint, n bigint, shingle bigint")
-    rows = _possible(ws.keep(found.join(mine, "doc_id"), "shingles"), ws)
-    rows = _possible(rows.select("doc_id", "label", "n", "shingle"), ws)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) + F.col("n") - F.col("c")
-    rare = rows.withColumn("place", place).filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
-    rare = ws.keep(_first_of_holders(rare, ws).select("doc_id", "label", "n", "c", "place", "shingle"), "rare")
-    small = rare.filter((100 + PERCENT) * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n"))
-    small = small.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("at"), "shingle")
-    smaller = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id")))
-    to_come = F.least("c", "cb", F.col("n") - F.col("place") + 1, F.col("nb") - F.col("at") + 1)
-    enough = (100 + PERCENT) * to_come >= PERCENT * (F.col("n") + F.col("nb"))
-    pairs = rare.join(small, "shingle").filter(smaller & enough & (F.col("lb") != F.col("label")) & (100 * F.col("nb") >= PERCENT * F.col("n")))
-    return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    return _all_pairs(_prefixes(_shingled(texts.join(mine.select("doc_id"), "doc_id", "left_semi"), ws), mine, ws))
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -207,12 +255,22 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     left = ws.keep(labelled.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "left")
     open_ones = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     members = ws.keep(left.join(open_ones, "bucket", "left_semi").select("doc_id", "label").distinct(), "members")
-    pairs = ws.keep(pairs_by_rare_shingles(members, texts, ws).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    shingled = _shingled(texts.join(members.select("doc_id"), "doc_id", "left_semi"), ws)
+    rare = _prefixes(shingled, members, ws)
+    central = ws.keep(_central_pairs(rare).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "central")
+    second = ws.keep(confirm(central, texts), "tested")
+    if not second.filter("linked").isEmpty():
+        links = links.unionByName(second.filter("linked").select("a", "b"))
+        labels = ws.keep(components(links, ws), "labels")
+        members = ws.keep(members.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "members")
+        rare = _prefixes(shingled, members, ws)
+    known = tested.select("a", "b").unionByName(second.select("a", "b"))
+    pairs = ws.keep(_all_pairs(rare).join(known, ["a", "b"], "left_anti"), "pairs")
     more = ws.keep(confirm(pairs, texts).filter("linked").select("a", "b"), "tested")
     if not more.isEmpty():
         labels = ws.keep(components(links.unionByName(more), ws), "labels")
     # what the result reads is sketched, classes and labels
-    ws.drop(centres, starred, first_pairs, involved, texts, tested, left, members, pairs, more)
+    ws.drop(centres, starred, first_pairs, involved, texts, tested, left, members, shingled, rare, central, second, pairs, more)
     keyed = sketched.drop("bands").join(classes, ["k1", "k2"], "left")
     named = keyed.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     # an empty set has a class of its own

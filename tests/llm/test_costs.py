@@ -44,6 +44,23 @@ def test_a_pair_is_made_once_for_a_passage_that_all_hold(spark):
     assert rows == [30]
 
 
+def test_copies_with_edits_of_their_own_make_no_pair_each(spark, monkeypatch):
+    """120 texts with four words of their own each are near to the text they come from, which has the largest id, and not to each other."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(1000, " ".join(base))]
+    for i in range(120):
+        words = list(base)
+        for k, at in enumerate(rng.choice(np.arange(1, 29), 4, replace=False) * 5):
+            words[at] = f"t{i}x{k}"
+        rows.append((i, " ".join(words)))
+    pairs, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda p, texts: pairs.append(p.count()) or confirm(p, texts))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Workspace(spark, "costs")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, 0, i == 0) for i, _ in rows}
+    assert sum(pairs[1:]) < 2 * len(rows)
+
+
 def test_links_and_groups_of_texts_end_to_end():
     """Two texts and an empty one between: A ends at 2, 3, 6 and B at 1, 3, 6 of the first; one token each in the last."""
     letters = [alignment._letters(100, mark) for mark in ",|;"]
