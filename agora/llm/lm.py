@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, mix, word_hashes
+from .common import Workspace, chunks, mix, release, word_hashes
 
 #: Of documents whose crc32 of the id leaves this remainder, nothing is learned.
 FOLDS, HELD_OUT = 10, 0
@@ -213,6 +213,8 @@ def word_counts(docs: DataFrame, ws: Workspace) -> DataFrame:
                     held, size = [], 0
         if held:
             yield told()
+            held = []
+        release()
 
     return ws.keep(docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
@@ -247,6 +249,8 @@ def _cut_pairs(docs: DataFrame, layout: Layout) -> DataFrame:
                     held, size = [], 0
         if size:
             yield told()
+            held = []
+        release()
 
     return docs.select("text").mapInArrow(count, "segment bigint, left binary, right binary, n binary")
 
@@ -272,6 +276,11 @@ def counted_segments(docs: DataFrame, layout: Layout, ws: Workspace) -> DataFram
     """Per segment its bits, a census of its levels, and the common words of its pairs with how many different words follow each there."""
 
     def build(table: pa.Table) -> pa.Table:
+        out = counted(table)
+        release()
+        return out
+
+    def counted(table: pa.Table) -> pa.Table:
         blobs = [b"".join(table.column(c).to_pylist()) for c in ("left", "right", "n")]
         left, right, n = (np.frombuffer(x, t) for x, t in zip(blobs, ("<u8", "<u4", "<u4"), strict=True))
         left, right, n = _counted(left, right.astype(np.uint64), n.astype(np.int64))
@@ -355,7 +364,8 @@ def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame,
     held = np.empty((2, near.count()), np.int64)  # at most ``broadcast_words``
     _fill(near.select("word", "n"), held)
     held = held[:, np.argsort(held[0].view(np.uint64))]
-    whole = ws.spark.sparkContext.broadcast((held[0].view(np.uint64), held[1]))
+    narrow = np.uint32 if not held.size or held[1].max() < 1 << 32 else np.int64
+    whole = ws.spark.sparkContext.broadcast((held[0].view(np.uint64), held[1].astype(narrow)))
     del held
     joined = model.vocabulary > broadcast_words
     below = model.tokens + ADDED * (model.vocabulary + 1)
@@ -388,6 +398,7 @@ def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame,
         shared = ws.spark.sparkContext.broadcast(_whole_filter(bits, model.layout.segments))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             row = TaskContext.get().partitionId() << 33
             for many in batches:
                 for b in chunks(many, "text"):
@@ -399,10 +410,14 @@ def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame,
 
         out = texts.mapInArrow(score, kinds)
     else:
+        shared = None
         out = _scored_by_segments(texts, model, bits, base, names, kinds, ws)
+    out = ws.keep(out, "scored")
+    for sent in (whole, shared):  # else they stay, on every executor, until the driver collects its garbage
+        if sent:
+            sent.destroy()
     if not joined:
         return out
-    out = ws.keep(out, "scored")
     far = out.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.times")  # a word here is at most a small share of all tokens
     more = far.join(exact, "word").groupBy("row").agg(F.sum("times").alias("_k"), F.sum(F.col("times") * (F.log10(F.col("n") + ADDED) - F.log10(F.lit(ADDED)))).alias("_s"))
     out = out.drop("far").join(more, "row", "left")

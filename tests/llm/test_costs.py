@@ -4,8 +4,9 @@ import hashlib
 import timeit
 
 import numpy as np
+from pyspark.core.broadcast import Broadcast
 
-from agora.llm import alignment, catalog, minhash, packing
+from agora.llm import alignment, catalog, lm, minhash, packing
 from agora.llm.common import Workspace
 
 
@@ -61,6 +62,19 @@ def test_copies_with_edits_of_their_own_make_no_pair_each(spark, monkeypatch):
     assert sum(pairs[1:]) < 2 * len(rows)
 
 
+def test_what_scoring_sends_to_the_tasks_is_gone_after_it(spark, monkeypatch):
+    """A second call on the same executors doesn't find the first one's filter and counts of words beside its own."""
+    sent, gone = [], []
+    send, destroy = spark.sparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(send(value)) or sent[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(self) or destroy(self, *a))
+    docs = spark.createDataFrame([(i, f"a b c d{i % 3} a b") for i in range(40)], "doc_id bigint, text string")
+    for filter_bytes, n in ((lm.FILTER_BYTES, 2), (1, 3)):
+        got = lm.score_documents(docs, Workspace(spark, "costs"), filter_bytes)
+        assert len(sent) == n and gone == sent
+        assert got.count() == 40
+
+
 def test_links_and_groups_of_texts_end_to_end():
     """Two texts and an empty one between: A ends at 2, 3, 6 and B at 1, 3, 6 of the first; one token each in the last."""
     letters = [alignment._letters(100, mark) for mark in ",|;"]
