@@ -6,7 +6,7 @@ import timeit
 import numpy as np
 from pyspark.core.broadcast import Broadcast
 
-from agora.llm import alignment, catalog, lm, minhash, packing
+from agora.llm import alignment, catalog, lm, minhash, packing, passages
 from agora.llm.common import Workspace
 
 
@@ -75,6 +75,22 @@ def test_what_scoring_sends_to_the_tasks_is_gone_after_it(spark, monkeypatch):
         assert got.count() == 40
 
 
+def test_passages_leave_no_tables_of_steps_behind(spark, monkeypatch):
+    """Verified in parts or at once, the passages are the same, and only what the result reads is left."""
+    line = [" ".join(f"l{i}x{k}" for k in range(70)) for i in range(4)]
+    rows = [(i, f"{line[i % 4]} " + " ".join(f"t{i}x{k}" for k in range(60)) + f" {line[i // 4]}") for i in range(16)]
+    docs, out = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    for share in (passages.PAIRS_PER_DOCUMENT, 0.2):
+        monkeypatch.setattr(passages, "PAIRS_PER_DOCUMENT", share)
+        ws, labels = Workspace(spark, "costs"), {}
+        keep, remove = ws.keep, ws.remove
+        monkeypatch.setattr(ws, "keep", lambda f, label: (kept := keep(f, label), labels.update({ws._paths[kept]: label}))[0])
+        monkeypatch.setattr(ws, "remove", lambda path: labels.pop(path) and remove(path))
+        out.append(sorted(map(tuple, passages.repeated_passages(docs, ws).collect())))
+        assert not {"sketches", "values", "slices", "open", "common", "rest", "viable"} & {*labels.values()}
+    assert len(out[0]) > 16 and out[0] == out[1]
+
+
 def test_links_and_groups_of_texts_end_to_end():
     """Two texts and an empty one between: A ends at 2, 3, 6 and B at 1, 3, 6 of the first; one token each in the last."""
     letters = [alignment._letters(100, mark) for mark in ",|;"]
