@@ -4,6 +4,7 @@ import hashlib
 import timeit
 
 import numpy as np
+import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 
 from agora.llm import alignment, catalog, lm, minhash, packing, passages
@@ -91,6 +92,35 @@ def test_passages_leave_no_tables_of_steps_behind(spark, monkeypatch):
     assert len(out[0]) > 16 and out[0] == out[1]
 
 
+def test_passages_take_little_beside_what_is_shared(spark, monkeypatch):
+    """Whole windows are kept for values that several texts have only, copies not counted, and later rounds read the texts that are still open."""
+    line = [" ".join(f"l{i}x{k}" for k in range(70)) for i in range(4)]
+    rows = [(i, f"{line[i % 4]} " + " ".join(f"t{i}x{k}" for k in range(60)) + f" {line[i // 4]}") for i in range(16)]
+    rows += [(100 + i, " ".join(f"own{i // 5}x{k}" for k in range(90))) for i in range(50)]
+    rows += [(50 + i, " ".join(f"e{i}x{k}" if k % 40 == 7 * i else f"b{k}" for k in range(200))) for i in range(4)]
+    ws, read, kept = Workspace(spark, "costs"), [], {}
+    verify, keep = passages._verify, ws.keep
+    monkeypatch.setattr(passages, "_verify", lambda spans, docs, *rest: (read.append(docs.count()), verify(spans, docs, *rest))[1])
+    monkeypatch.setattr(ws, "keep", lambda f, label: (out := keep(f, label), kept.setdefault(label, out.count()))[0])
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), ws).collect()
+    assert sum(r["doc_id"] >= 100 for r in found) == 40 and len({r["doc_id"] for r in found if r["doc_id"] < 50}) == 15
+    assert read[0] == 70 and len(read) > 1 and max(read[1:]) <= 20
+    windows = passages.windows(passages.sketches(spark.createDataFrame(rows[:16] + rows[66:], "doc_id bigint, text string")))
+    shared = windows.groupBy("value").count().filter("count > 1")
+    assert kept["values"] == shared.count() and kept["shared"] == windows.join(shared, "value").count()
+
+
+def test_texts_of_pairs_are_cut_once_and_hopeless_pairs_left():
+    texts = pa.array(["a b c d e f g", "x y z u v w", "a b c d e f g"])
+    found, at, which = passages._shingles_of(texts)
+    assert len(at) == 3 and which.tolist() == [0, 1, 0] and len(found) == 5
+    hit = np.ones(60, bool)
+    hit[20:40] = False
+    assert not passages._enough_hits(hit) and not passages._enough_hits(hit[:45])
+    hit[25:40] = True
+    assert passages._enough_hits(hit) and not passages._enough_hits(hit[:45] & False)
+
+
 def test_links_and_groups_of_texts_end_to_end():
     """Two texts and an empty one between: A ends at 2, 3, 6 and B at 1, 3, 6 of the first; one token each in the last."""
     letters = [alignment._letters(100, mark) for mark in ",|;"]
