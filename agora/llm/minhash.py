@@ -228,6 +228,15 @@ def pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, ws: Workspace)
     return _all_pairs(_prefixes(_shingled(texts.join(mine.select("doc_id"), "doc_id", "left_semi"), ws), mine, ws))
 
 
+def _merged(labels: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """``labels`` (node, label) after more ``links`` (a, b): components of the labels that they connect, which are few. A node without a label is its own."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    fresh = ws.keep(components(between, ws), "merged")
+    changed = labels.join(fresh.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return ws.keep(changed.unionByName(fresh.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns aren't read): doc_id, n_shingles, component_id, kept.
 
@@ -260,15 +269,15 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     central = ws.keep(_central_pairs(rare).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "central")
     second = ws.keep(confirm(central, texts), "tested")
     if not second.filter("linked").isEmpty():
-        links = links.unionByName(second.filter("linked").select("a", "b"))
-        labels = ws.keep(components(links, ws), "labels")
-        members = ws.keep(members.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "members")
-        rare = _prefixes(shingled, members, ws)
+        labels = _merged(labels, second.filter("linked").select("a", "b"), ws)
+        # labels only grow together: places and bounds by the labels before hold for fewer pairs too
+        renamed = rare.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        rare = ws.keep(_able(ws.keep(renamed, "places"), ws), "rare")
     known = tested.select("a", "b").unionByName(second.select("a", "b"))
     pairs = ws.keep(_all_pairs(rare).join(known, ["a", "b"], "left_anti"), "pairs")
     more = ws.keep(confirm(pairs, texts).filter("linked").select("a", "b"), "tested")
     if not more.isEmpty():
-        labels = ws.keep(components(links.unionByName(more), ws), "labels")
+        labels = _merged(labels, more, ws)
     # what the result reads is sketched, classes and labels
     ws.drop(centres, starred, first_pairs, involved, texts, tested, left, members, shingled, rare, central, second, pairs, more)
     keyed = sketched.drop("bands").join(classes, ["k1", "k2"], "left")

@@ -92,6 +92,28 @@ def test_passages_leave_no_tables_of_steps_behind(spark, monkeypatch):
     assert len(out[0]) > 16 and out[0] == out[1]
 
 
+def test_more_links_join_labels_and_not_all_links_again(spark, monkeypatch):
+    """Labels after more links are those of all links together; only what the new ones connect is looked at."""
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    links, more = [(2, 1), (3, 2), (9, 7), (8, 7), (20, 19)], [(9, 3), (30, 8), (41, 40)]
+    ws, sizes, components = Workspace(spark, "costs"), [], minhash.components
+    labels = ws.keep(components(frame(links), ws), "labels")
+    monkeypatch.setattr(minhash, "components", lambda f, ws: sizes.append(f.count()) or components(f, ws))
+    got = minhash._merged(labels, frame(more), ws).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, components(frame(links + more), ws).collect()))
+    assert sizes == [len(more)]
+
+
+def test_shared_shingles_are_ordered_once(spark, monkeypatch):
+    """A base with the largest id, and copies that are near to it only: the star joins labels, and places stay as they are."""
+    base, rows = [f"w{k}" for k in range(150)], [(1000, " ".join(f"w{k}" for k in range(150)))]
+    rows += [(i, " ".join(f"t{i}x{k}" if k % 37 == i % 37 and k > 4 else w for k, w in enumerate(base))) for i in range(40)]
+    calls, prefixes = [], minhash._prefixes
+    monkeypatch.setattr(minhash, "_prefixes", lambda *a: calls.append(1) or prefixes(*a))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Workspace(spark, "costs")).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 41 and len(calls) == 1
+
+
 def test_passages_take_little_beside_what_is_shared(spark, monkeypatch):
     """Whole windows are kept for values that several texts have only, copies not counted, and later rounds read the texts that are still open."""
     line = [" ".join(f"l{i}x{k}" for k in range(70)) for i in range(4)]
