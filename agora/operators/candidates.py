@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import slugify
+from agora.functions.text import overlap, slugify, trigrams
 from agora.operators.merge import numbered_slugs, unmatched, upsert
 from agora.operators.search import fuzzy_pairs
-from agora.operators.storage import components, cut
+from agora.operators.storage import components, cut, met
 
 
 def primary_winners(results: DataFrame, races: DataFrame) -> DataFrame:
@@ -63,6 +63,15 @@ def match_rank(kind: Column) -> Column:
     return F.when(place > 0, place).otherwise(len(MATCHES) + 1).cast("int")
 
 
+def described() -> tuple[Column, dict[str, Column]]:
+    """A person's whole name, which similarity looks at, and the values that two persons are the same by, in the order of ``MATCHES``."""
+    part = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    name = F.concat(F.lower(F.coalesce("first_name", F.lit(""))), F.lit(" "), F.lower(F.coalesce("middle_name", F.lit(""))), F.lit(" "), F.lower("last_name"))
+    whole = F.when(F.col("first_name").isNotNull() & F.col("last_name").isNotNull(), F.to_json(F.array(F.lower("first_name"), part("middle_name"), F.lower("last_name"))))
+    facets = {"email": F.col("email"), "phone": F.col("phone"), "address": part("address"), "name": whole, "slug": F.col("slug")}
+    return name, facets
+
+
 def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     """Which staged and known persons may be one, by classes: relation, id, other, match_type, name_similarity, (facet)_class.
 
@@ -73,10 +82,7 @@ def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     match_type and similarity. A pair's match is the first of ``MATCHES`` by which its classes are the same or alike. Similar
     names come from shared trigrams.
     """
-    part = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    name = F.concat(F.lower(F.coalesce("first_name", F.lit(""))), F.lit(" "), F.lower(F.coalesce("middle_name", F.lit(""))), F.lit(" "), F.lower("last_name"))
-    whole = F.when(F.col("first_name").isNotNull() & F.col("last_name").isNotNull(), F.to_json(F.array(F.lower("first_name"), part("middle_name"), F.lower("last_name"))))
-    facets = {"email": F.col("email"), "phone": F.col("phone"), "address": part("address"), "name": whole, "slug": F.col("slug")}
+    name, facets = described()
     keys = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in facets.items())), lambda k: k["value"] != "")
     classes = known.select("id", F.explode(keys).alias("k")).groupBy("k").agg(F.min("id").alias("_class"))
     texts = [f.select("id", name.alias("name")).filter("name is not null").groupBy("name").agg(F.min("id").alias("alike_class")) for f in (staged, known)]
@@ -92,6 +98,36 @@ def classified(staged: DataFrame, known: DataFrame) -> DataFrame:
     return people.unionByName(pairs, allowMissingColumns=True).select("relation", "id", "other", "match_type", "name_similarity", *(f"{k}_class" for k in (*facets, "alike")))
 
 
+def matched(staged: DataFrame, known: DataFrame) -> DataFrame:
+    """Every pair of a staged and a known person that may be one: staged_id, known_id, match_type, name_similarity.
+
+    Both as in ``classified``. A pair is made where the first of its values is the same, or else where its names are alike, so pairs need
+    not be made distinct.
+    """
+    name, facets = described()
+    side = lambda f, p: f.select(F.col("id").alias(f"{p}_id"), F.coalesce(name, F.lit("")).alias(f"{p}_text"), *(F.nullif(v, F.lit("")).alias(f"{p}_{k}") for k, v in facets.items()))
+    a, b = side(staged, "staged"), side(known, "known")
+    same = lambda c: F.coalesce(F.col(f"staged_{c}") == F.col(f"known_{c}"), F.lit(False))
+    out = None
+    for i, c in enumerate(facets):
+        left, right = (f.withColumn("_v", F.col(f"{p}_{c}")).filter("_v is not null") for f, p in ((a, "staged"), (b, "known")))
+        # names are held against each other once a value, then their persons are paired
+        texts = [f.select("_v", f"{p}_text").distinct().withColumn(f"_{p}", trigrams(F.col(f"{p}_text"))) for f, p in ((left, "staged"), (right, "known"))]
+        alike = F.when((F.col("staged_text") != "") & (F.col("known_text") != ""), F.round(overlap(F.col("_staged"), F.col("_known")), 6))
+        names = met(*texts, ["_v"], ["known_text"]).select("_v", "staged_text", "known_text", F.lit(MATCHES[i]).alias("match_type"), alike.alias("name_similarity"))
+        found = met(right, left.join(names, ["_v", "staged_text"]), ["_v", "known_text"], ["staged_id"])
+        for earlier in list(facets)[:i]:
+            found = found.filter(~same(earlier))
+        found = found.select("staged_id", "known_id", "match_type", "name_similarity")
+        out = found if out is None else out.unionByName(found)
+    near = fuzzy_pairs(a, b, "staged_text", "known_text", 0.6).toDF("staged_text", "known_text", "s")
+    near = near.select("staged_text", "known_text", F.when(F.col("s") > 0.8, MATCHES[5]).otherwise(MATCHES[6]).alias("match_type"), F.round("s", 6).alias("name_similarity"))
+    found = met(b, a.join(near, "staged_text"), ["known_text"], ["staged_id"])
+    for c in facets:
+        found = found.filter(~same(c))
+    return out.unionByName(found.select("staged_id", "known_id", "match_type", "name_similarity"))
+
+
 def links(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> DataFrame:
     """Per id of ``rows`` that any of ``others`` matches: n_(field), how many match by that field and none before it; (field)_class,
     the least of those with its value; ``first``, the least of all. Both: id, slug and ``fields``; a match has the same slug but

@@ -166,3 +166,31 @@ def test_points_in_areas_are_all_pairs(spark):
     told = sorted(map(tuple, spatial.points_in_areas(points, "p", areas, "s").collect()))
     assert told == sorted((r["p"], r["s"]) for r in spatial.join_areas(points, areas).collect()) and told
     assert catalog.QUERIES["points_in_layers"](spark, "/root/testdata/sf0.001").columns == ["c_custkey", "s_suppkey"]
+
+
+def test_matched_are_all_pairs_with_their_similarity(spark):
+    pick = lambda i, *v: v[i % len(v)]
+
+    def people(n, k):
+        return [(i, pick(i * k, "Catherine", "Katherine", "Bob", None), pick(i, None, "Q"), pick(i * k, "Miller", "Millar", "Zyx", "Miller", None), pick(i, "s1", "s2", "", None, "s3"), pick(i * k, "x", "", None, "y", "z", "v"), pick(i, None, "1", "2", "", "3", None, "4"), pick(i * k, " A st", "a ST", "", None, None, "b")) for i in range(n)]
+
+    staged, known = people(50, 1), people(60, 7)
+    low = lambda v: (v or "").strip().lower()
+    whole = lambda p: p[3] and f"{p[1] or ''} {p[2] or ''} {p[3]}".lower()
+    names = sorted({whole(p) for p in staged + known} - {None})
+    grid = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s"))
+    alike = {(r["a"], r["b"]): r["s"] for r in grid.collect()}
+    exact = [lambda p: p[5] or None, lambda p: p[6] or None, lambda p: low(p[7]) or None, lambda p: p[1] and p[3] and (low(p[1]), low(p[2]), low(p[3])), lambda p: p[4] or None]
+    want = []
+    for s in staged:
+        for k in known:
+            near = alike.get((whole(s), whole(k)))
+            by = [candidates.MATCHES[i] for i, f in enumerate(exact) if f(s) and f(s) == f(k)]
+            by += ["high_similarity" if near > 0.8 else "medium_similarity"] if (near or 0) > 0.6 else []
+            if by:
+                want.append((s[0], k[0], by[0], near if near is None else round(near, 6)))
+    schema = "id int, first_name string, middle_name string, last_name string, slug string, email string, phone string, address string"
+    got = candidates.matched(spark.createDataFrame(staged, schema), spark.createDataFrame(known, schema)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and {w[2] for w in want} == set(candidates.MATCHES)
+    assert any(w[3] is not None and w[3] <= 0.6 for w in want)
+    assert catalog.QUERIES["match_classes"](spark, "/root/testdata/sf0.001").columns == ["staged_id", "known_id", "match_type", "name_similarity"]
