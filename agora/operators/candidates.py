@@ -172,6 +172,28 @@ def resolve(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("ema
     return tell(mine, "staged", "update", "insert").unionByName(tell(theirs, "known", "updated", "kept"))
 
 
+def resolved(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> DataFrame:
+    """What becomes of each staged person: id, action (update or insert), known_id, matched_by, slug.
+
+    Both: id, slug and ``fields``; known persons are candidates for a staged one as in ``links``. Every matching one is updated, a row
+    each, by the first field that is the same. Without any the person is inserted under a free slug.
+    """
+    base = F.regexp_replace("slug", "-[0-9]+$", "")
+    side = lambda f, p: f.select(base.alias("_base"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "slug")), *(F.nullif(c, F.lit("")).alias(f"{p}_{c}") for c in fields))
+    a, b = side(staged, "s"), side(known, "k")
+    out = None
+    for i, c in enumerate(fields):
+        at = lambda f, p: f.withColumn("_v", F.col(f"{p}_{c}")).filter("_base is not null and _v is not null")  # noqa: E731, B023
+        found = met(at(a, "s"), at(b, "k"), ["_base", "_v"], ["k_id"])
+        for before in fields[:i]:
+            found = found.filter(~F.coalesce(F.col(f"s_{before}") == F.col(f"k_{before}"), F.lit(False)))
+        one = found.select(F.col("s_id").alias("id"), F.lit("update").alias("action"), F.col("k_id").alias("known_id"), F.lit(c).alias("matched_by"), F.col("k_slug").alias("slug"))
+        out = one if out is None else out.unionByName(one)
+    new = staged.join(links(staged, known, fields), "id", "left_anti").select("id", base.alias("_base"))
+    inserts = numbered_slugs(new, "_base", "id", known.select("slug"))
+    return out.unionByName(inserts.select("id", F.lit("insert").alias("action"), F.lit(None).cast(known.schema["id"].dataType).alias("known_id"), F.lit(None).cast("string").alias("matched_by"), "slug"))
+
+
 def resolution(staged: DataFrame, known: DataFrame, fields: tuple[str, ...] = ("email", "phone", "address")) -> dict[str, DataFrame]:
     """All outputs of a resolution: ``updated``, the known rows with the staged values that are not
     blank; ``overwritten``, known_id, field, before and after of values that were another; ``inserted``, staged rows with

@@ -397,17 +397,11 @@ def match_classes(spark, sf_dir):
 @query(f"""WITH s AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {STAGED}), k AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {KNOWN}),
 m AS (SELECT s.id, k.id AS known_id, k.slug, CASE WHEN s.email = k.email AND s.email <> '' THEN 'email' WHEN s.phone = k.phone AND s.phone <> '' THEN 'phone' WHEN s.address = k.address AND s.address <> '' THEN 'address' END AS matched_by FROM s JOIN k USING (base)),
 i AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM s WHERE id NOT IN (SELECT id FROM m WHERE matched_by IS NOT NULL)),
-t AS (SELECT base, max(regexp_extract(slug, '([0-9]+)$', 1)::INT) AS top FROM k GROUP BY 1),
-n AS (SELECT 'staged' AS side, id, count(*) FILTER (matched_by = 'email') AS n_email, count(*) FILTER (matched_by = 'phone') AS n_phone, count(*) FILTER (matched_by = 'address') AS n_address FROM m GROUP BY 2
-  UNION ALL SELECT 'known', known_id, count(*) FILTER (matched_by = 'email'), count(*) FILTER (matched_by = 'phone'), count(*) FILTER (matched_by = 'address') FROM m GROUP BY 2),
-p AS (SELECT 'staged' AS side, * FROM s UNION ALL SELECT 'known', * FROM k),
-c AS (SELECT side, id, base, slug, coalesce(n_email, 0) AS n_email, coalesce(n_phone, 0) AS n_phone, coalesce(n_address, 0) AS n_address, CASE WHEN email <> '' THEN min(CASE side WHEN 'known' THEN id END) OVER (PARTITION BY base, email) END AS email_class,
-  CASE WHEN phone <> '' THEN min(CASE side WHEN 'known' THEN id END) OVER (PARTITION BY base, phone) END AS phone_class, CASE WHEN address <> '' THEN min(CASE side WHEN 'known' THEN id END) OVER (PARTITION BY base, address) END AS address_class FROM p LEFT JOIN n USING (side, id))
-SELECT side, c.id, CASE WHEN side = 'staged' THEN CASE WHEN i.id IS NULL THEN 'update' ELSE 'insert' END WHEN n_email + n_phone + n_address > 0 THEN 'updated' ELSE 'kept' END AS action,
-CASE WHEN side = 'known' THEN slug WHEN i.id IS NOT NULL THEN c.base || CASE i.n WHEN 0 THEN '' ELSE '-' || (i.n + coalesce(top, 0)) END END AS slug,
-n_email, n_phone, n_address, email_class, phone_class, address_class FROM c LEFT JOIN i ON side = 'staged' AND c.id = i.id LEFT JOIN t ON t.base = i.base""")
+t AS (SELECT base, max(regexp_extract(slug, '([0-9]+)$', 1)::INT) AS top FROM k GROUP BY 1)
+SELECT id, 'update' AS action, known_id, matched_by, slug FROM m WHERE matched_by IS NOT NULL UNION ALL
+SELECT id, 'insert', NULL, NULL, base || CASE n WHEN 0 THEN '' ELSE '-' || (n + coalesce(top, 0)) END FROM i LEFT JOIN t USING (base)""")
 def resolved_filings(spark, sf_dir):
-    return candidates.resolve(*_sides(spark, sf_dir))
+    return candidates.resolved(*_sides(spark, sf_dir))
 
 
 @query(f"""WITH s AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {STAGED}), k AS (SELECT *, regexp_replace(slug, '-[0-9]+$', '') AS base FROM {KNOWN}),

@@ -194,3 +194,22 @@ def test_matched_are_all_pairs_with_their_similarity(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and {w[2] for w in want} == set(candidates.MATCHES)
     assert any(w[3] is not None and w[3] <= 0.6 for w in want)
     assert catalog.QUERIES["match_classes"](spark, "/root/testdata/sf0.001").columns == ["staged_id", "known_id", "match_type", "name_similarity"]
+
+
+def test_resolved_are_all_updates_and_inserts(spark):
+    pick = lambda i, *v: v[i % len(v)]
+    staged = [(i, pick(i, "a-1", "b", None), pick(i, "x", "y", "", None), pick(i, "1", "2", "", "3", None), pick(i, "p", None, "q", "", "r", "p", "s")) for i in range(90)] + [(95, "a", "none", None, "")]
+    known = [(i, pick(i, "a", "a-7", "b-2", "c"), pick(i, "y", "x", None, "z", ""), pick(i, "2", "1", None, ""), pick(i, "q", "p", "")) for i in range(80)]
+    stem = lambda slug: slug and slug.split("-")[0]
+    want = []
+    for s in staged:
+        for k in known:
+            by = [c for j, c in ((2, "email"), (3, "phone"), (4, "address")) if s[1] and stem(s[1]) == stem(k[1]) and s[j] and s[j] == k[j]]
+            want += [(s[0], "update", k[0], by[0], k[1])] if by else []
+    got = candidates.resolved(filed(spark, staged), filed(spark, known)).collect()
+    assert sorted(tuple(r) for r in got if r["action"] == "update") == sorted(want) and {w[3] for w in want} == {"email", "phone", "address"}
+    inserted = [r for r in got if r["action"] == "insert"]
+    assert sorted(r["id"] for r in inserted) == sorted({s[0] for s in staged} - {w[0] for w in want}) and all(r["known_id"] is None for r in inserted)
+    said = [r["slug"] for r in inserted if r["slug"] is not None]
+    assert len(set(said)) == len(said) and not set(said) & {k[1] for k in known}
+    assert catalog.QUERIES["resolved_filings"](spark, "/root/testdata/sf0.001").columns == ["id", "action", "known_id", "matched_by", "slug"]
