@@ -31,6 +31,10 @@ SEGMENT_TOKENS, COMMON_WORDS = 1_000_000, 65_536
 WORDS, FILTER_BYTES = 4_000_000, 192_000_000
 #: Pairs counted together before they are shuffled; bytes of probes a task holds at once (filters that are not broadcast).
 FLUSH, PROBE_BYTES = 1_500_000, 16_000_000
+#: Probes of several chunks that are looked up at once.
+TOGETHER = 200_000
+#: A segment's bits are rows of so many bytes, small enough for the JVM's heap not to keep a region of its own for each.
+PIECE_BYTES = 1 << 18
 
 #: Marks before the first and after the last word; kinds of counts: of pairs, of words, of different words after a word.
 BEGIN, END = mix(np.array([(1 << 50) + 1, (1 << 50) + 2], np.uint64))
@@ -263,6 +267,11 @@ def _counted(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return left[first], right[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _pieces(bits: np.ndarray) -> list[bytes]:
+    whole = bits.astype("<u8").tobytes()
+    return [whole[i : i + PIECE_BYTES] for i in range(0, len(whole), PIECE_BYTES)]
+
+
 def _census(levels: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """Per kind and level: how many, and the sum of their counts."""
     out = np.zeros((3, len(LEVELS) + 1, 2), np.int64)
@@ -273,7 +282,8 @@ def _census(levels: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
 
 
 def counted_segments(docs: DataFrame, layout: Layout, ws: Workspace) -> DataFrame:
-    """Per segment its bits, a census of its levels, and the common words of its pairs with how many different words follow each there."""
+    """Per segment its bits in pieces, with the first of which come a census of its levels, and the common words of its pairs with how many
+    different words follow each there."""
 
     def build(table: pa.Table) -> pa.Table:
         out = counted(table)
@@ -290,22 +300,25 @@ def counted_segments(docs: DataFrame, layout: Layout, ws: Workspace) -> DataFram
         own = (n, total[~common], after[~common])
         levels = [level_of(x) for x in own]
         events = np.concatenate([_events(k, kind, level) for kind, (k, level) in enumerate(zip((pair_key(left, right), words[~common], words[~common]), levels, strict=True))])
+        pieces = _pieces(bits_of(events))
+        first_alone = lambda held: pa.array([held, *[None] * (len(pieces) - 1)], pa.list_(pa.int64()))
         return pa.table(
             {
-                "segment": table.column("segment").slice(0, 1),
-                "bits": pa.array([bits_of(events).astype("<u8").tobytes()], pa.binary()),
-                "census": pa.array([_census(levels, list(own)).ravel()], pa.list_(pa.int64())),
-                "common": pa.array([words[common].view(np.int64)], pa.list_(pa.int64())),
-                "after": pa.array([after[common]], pa.list_(pa.int64())),
+                "segment": pa.array([table.column("segment")[0].as_py()] * len(pieces), pa.int64()),
+                "piece": pa.array(range(len(pieces)), pa.int64()),
+                "bits": pa.array(pieces, pa.binary()),
+                "census": first_alone(_census(levels, list(own)).ravel()),
+                "common": first_alone(words[common].view(np.int64)),
+                "after": first_alone(after[common]),
             }
         )
 
     pairs = _cut_pairs(docs, layout)
-    return ws.keep(pairs.groupBy("segment").applyInArrow(build, "segment bigint, bits binary, census array<bigint>, common array<bigint>, after array<bigint>"), "segments")
+    return ws.keep(pairs.groupBy("segment").applyInArrow(build, "segment bigint, piece bigint, bits binary, census array<bigint>, common array<bigint>, after array<bigint>"), "segments")
 
 
 def train(docs: DataFrame, words: DataFrame, ws: Workspace) -> tuple[Model, DataFrame]:
-    """The model and its filter (segment, bits), learned from ``docs``; words: their ``word_counts``."""
+    """The model and its filter (segment, piece, bits), learned from ``docs``; words: their ``word_counts``."""
     told = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, vocabulary = told
     least = max(SEGMENT_TOKENS // 8, tokens // COMMON_WORDS)
@@ -328,8 +341,8 @@ def train(docs: DataFrame, words: DataFrame, ws: Workspace) -> tuple[Model, Data
     value = np.where(census[:, :, 0] > 0, mean, np.concatenate([[0], LEVELS])[None, :])
     value[:, 0] = 0
     bits = bits_of(np.concatenate([_events(layout.common, kind, levels[kind]) for kind in (WORD, AFTER)]))
-    last = ws.spark.createDataFrame([(layout.segments, bytearray(bits.astype("<u8").tobytes()))], "segment bigint, bits binary")
-    return Model(layout, tokens, vocabulary, value), segments.select("segment", "bits").unionByName(last)
+    last = ws.spark.createDataFrame([(layout.segments, i, bytearray(b)) for i, b in enumerate(_pieces(bits))], "segment bigint, piece bigint, bits binary")
+    return Model(layout, tokens, vocabulary, value), segments.select("segment", "piece", "bits").unionByName(last)
 
 
 def _fill(rows: DataFrame, held: np.ndarray) -> None:
@@ -347,14 +360,15 @@ def _fill(rows: DataFrame, held: np.ndarray) -> None:
 
 
 def _whole_filter(bits: DataFrame, segments: int) -> Filter:
-    """The segments of a bounded filter in one array, fetched one by one."""
+    """The segments of a bounded filter in one array, fetched piece by piece."""
     size = np.zeros(segments + 1, np.int64)
-    for r in bits.select("segment", (F.length("bits") / 8).cast("bigint").alias("n")).collect():
+    for r in bits.groupBy("segment").agg((F.sum(F.length("bits")) / 8).cast("bigint").alias("n")).collect():
         size[r["segment"]] = r["n"]
     start = np.cumsum(size) - size
     whole = np.zeros(int(size.sum()), np.uint64)
     for r in bits.toLocalIterator():
-        whole[start[r["segment"]] : start[r["segment"]] + size[r["segment"]]] = np.frombuffer(r["bits"], "<u8")
+        part, at = np.frombuffer(r["bits"], "<u8"), start[r["segment"]] + r["piece"] * PIECE_BYTES // 8
+        whole[at : at + len(part)] = part
     return Filter(whole, start, size)
 
 
@@ -425,58 +439,65 @@ def log_scores(docs: DataFrame, model: Model, bits: DataFrame, exact: DataFrame,
 
 
 def _scored_by_segments(texts: DataFrame, model: Model, bits: DataFrame, base, names: list[str], kinds: str, ws: Workspace) -> DataFrame:
-    """As with a broadcast filter, for filters of any size: what each chunk of texts asks goes to the segments, the levels come back to the chunk."""
+    """As with a broadcast filter, for filters of any size: what each chunk of texts asks goes to the segments, the levels come back to the chunk.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, row = TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
-        for many in batches:
-            for b in chunks(many, "text"):
-                one = [pa.array([list(range(row, row + b.num_rows))], pa.list_(pa.int64())), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([b.column("text").to_pylist()], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *one], ["chunk", "rows", "ids", "texts"])
-                chunk, row = chunk + 1, row + b.num_rows
+    Texts stay a row each beside their chunk's number, so that no row that Spark shuffles or sorts has the size of a chunk or a filter.
+    """
 
-    def asks(row: dict) -> tuple[Asked, np.ndarray, list[int]]:
+    def asks(texts: pa.Array) -> tuple[Asked, np.ndarray, list[int]]:
         """What a chunk asks, in order of segments, and where each segment's part begins."""
-        asked = model.asks(pa.array(row["texts"], pa.string()))
+        asked = model.asks(texts)
         order = np.argsort(asked.segments, kind="stable")
         first = np.flatnonzero(np.diff(asked.segments[order], prepend=-1))
         return asked, order, [*first.tolist(), len(order)]
 
+    own, probe = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.string()}, {"segment": pa.int64(), "keys": pa.binary(), "kinds": pa.binary()}
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                asked, order, edges = asks(row)
+        row = TaskContext.get().partitionId() << 33
+        for many in batches:
+            for b in chunks(many, "text"):
+                chunk, n = row, b.num_rows
+                row += n
+                texts = [pa.array(np.arange(chunk, row)), b.column("doc_id"), b.column("text").cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *texts, *(pa.nulls(n, t) for t in probe.values())], ["chunk", *own, *probe])
+                asked, order, edges = asks(b.column("text"))
                 parts = [order[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                arrays = [[row["chunk"]] * len(parts), [int(asked.segments[p[0]]) for p in parts]]
-                blobs = [[asked.keys[p].astype("<u8").tobytes() for p in parts], [asked.kinds[p].astype(np.uint8).tobytes() for p in parts]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in arrays), *(pa.array(x, pa.binary()) for x in blobs)], ["chunk", "segment", "keys", "kinds"])
+                told = [[int(asked.segments[p[0]]) for p in parts], [asked.keys[p].astype("<u8").tobytes() for p in parts], [asked.kinds[p].astype(np.uint8).tobytes() for p in parts]]
+                rest = [*(pa.nulls(len(parts), t) for t in own.values()), *(pa.array(x, t) for x, t in zip(told, probe.values(), strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk)), *rest], ["chunk", *own, *probe])
+        release()
 
-    held = ws.keep(texts.mapInArrow(gather, "chunk bigint, rows array<bigint>, ids array<bigint>, texts array<string>"), "chunks")
-    probes = ws.keep(held.mapInArrow(ask, "chunk bigint, segment bigint, keys binary, kinds binary"), "probes")
+    both = ws.keep(texts.mapInArrow(ask, "chunk bigint, row bigint, doc_id bigint, text string, segment bigint, keys binary, kinds binary"), "asked")
+    held, probes = both.filter("row is not null").select("chunk", *own), both.filter("segment is not null").select("chunk", *probe)
     # a segment with many probes is copied, and its probes are dealt out to the copies
-    copies = probes.groupBy("segment").agg(F.ceil(F.sum(F.length("keys")) / PROBE_BYTES).alias("copies"))
-    filters = bits.join(copies, "segment").select("segment", "bits", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
+    copies = probes.groupBy("segment").agg(F.ceil(F.sum(F.length("kinds")) * 8 / PROBE_BYTES).alias("copies"))
+    filters = bits.join(copies, "segment").select("segment", "piece", "bits", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
     dealt = probes.join(copies, "segment").withColumn("copy", F.pmod(F.xxhash64("chunk"), F.col("copies"))).drop("copies")
-    answer = "chunk bigint, segment bigint, levels binary"
 
     def answers(own: pa.Table, probes: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        filter = Filter.of({0: np.frombuffer(own.column("bits")[0].as_py(), "<u8")} if own.num_rows else {}, 0)
-        for row in probes.to_pylist():
-            keys, kind = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["kinds"], np.uint8)
-            out.append((row["chunk"], row["segment"], filter.levels(np.zeros(len(keys), np.int64), keys, kind).tobytes()))
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "segment", "levels"])
-
-    levels = filters.groupBy("segment", "copy").cogroup(dealt.groupBy("segment", "copy")).applyInArrow(answers, answer)
+        pieces = own.sort_by("piece").column("bits").to_pylist()
+        filter = Filter.of({0: np.frombuffer(b"".join(pieces), "<u8")} if pieces else {}, 0)
+        asked, of, levels, first = probes.column("keys").to_pylist(), probes.column("kinds").to_pylist(), [], 0
+        ends = np.cumsum([0, *map(len, of)])
+        while first < len(of):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOGETHER, side="right")) - 1)
+            keys, kind = np.frombuffer(b"".join(asked[first:last]), "<u8"), np.frombuffer(b"".join(of[first:last]), np.uint8)
+            told = filter.levels(np.zeros(len(keys), np.int64), keys, kind)
+            levels += [x.tobytes() for x in np.split(told, ends[first + 1 : last] - ends[first])]
+            first = last
+        return pa.table({"chunk": probes.column("chunk"), "segment": probes.column("segment"), "levels": pa.array(levels, pa.binary())})
+
+    levels = ws.keep(filters.groupBy("segment", "copy").cogroup(dealt.groupBy("segment", "copy")).applyInArrow(answers, "chunk bigint, segment bigint, levels binary"), "levels")
 
     def tell(chunk: pa.Table, levels: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        asked, order, edges = asks(row)
+        chunk = chunk.sort_by("row").combine_chunks()
+        asked, order, edges = asks(chunk.column("text").combine_chunks())
         told = dict(zip(levels.column("segment").to_pylist(), levels.column("levels").to_pylist(), strict=True))
         found = np.zeros(len(order), np.uint8)
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             found[order[x:y]] = np.frombuffer(told[int(asked.segments[order[x]])], np.uint8)
-        return pa.table([pa.array(row["rows"], pa.int64()), pa.array(row["ids"], pa.int64()), *base(asked), pa.array(model.scores(asked, found))], names=names)
+        return pa.table([chunk.column("row"), chunk.column("doc_id"), *base(asked), pa.array(model.scores(asked, found))], names=names)
 
     return held.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(tell, kinds)
 

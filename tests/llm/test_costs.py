@@ -6,6 +6,7 @@ import timeit
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
+from pyspark.sql import functions as F
 
 from agora.llm import alignment, catalog, lm, minhash, packing, passages
 from agora.llm.common import Workspace
@@ -151,3 +152,16 @@ def test_links_and_groups_of_texts_end_to_end():
     assert [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()] == [(10, 20), (10, 21), (0, 21), (12, 22), (7, 7)]
     assert n_links.tolist() == [4, 0, 1] and n_groups.tolist() == [2, 0, 1]
     assert digests == [hashlib.sha256(b"10,0|20,21;12|22").hexdigest(), "", hashlib.sha256(b"7|7").hexdigest()]
+
+
+def test_scoring_by_segments_keeps_rows_small(spark, monkeypatch):
+    """No row holds a chunk of texts or a segment of the filter: the memory of an executor would grow with them."""
+    kept, keep = [], Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, frame, label: kept.append(keep(self, frame, label)) or kept[-1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(300)], "doc_id bigint, text string")
+    far = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, Workspace(spark, "costs"), filter_bytes=1).collect()}
+    assert not [c for t in kept for c, kind in t.dtypes if kind == "array<string>"]
+    sizes = [t.agg(F.max(F.length(c))).first()[0] for t in kept for c in ("text", "bits") if c in t.columns]
+    assert len(sizes) == 2 and max(sizes) <= 1 << 18
+    near = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, Workspace(spark, "costs")).collect()}
+    assert far == near
